@@ -1 +1,88 @@
-QUERIES = {}
+"""Streams over the event table, run to the end of what is there."""
+
+from pyspark.sql import functions as F
+
+from shelfwatch.queries.tables import ATTEMPTS, Tables
+from shelfwatch.session import JOB_CONF, work_folder
+from shelfwatch.streaming import attempt_streams as st
+
+A = f"WITH a AS ({ATTEMPTS})"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _stream(t: Tables):
+    """The event file as a stream, shaped like the attempt table."""
+    spark = t.spark
+    source = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    source.createOrReplaceTempView("events")
+    return spark.sql(ATTEMPTS)
+
+
+def _run(t: Tables, name: str, stream):
+    folder = work_folder(t.spark, name)
+    query = st.append_parquet(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    query.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows")
+
+
+def _run_stateful(t: Tables, name: str, build):
+    """Keyed list state needs the RocksDB store; the session's own setting comes back afterwards."""
+    before = t.spark.conf.get(STATE_STORE)
+    t.spark.conf.set(STATE_STORE, JOB_CONF[STATE_STORE])
+    try:
+        return _run(t, name, build(_stream(t)))
+    finally:
+        t.spark.conf.set(STATE_STORE, before)
+
+
+def appended(t: Tables):
+    rows = _run(t, "r1", _stream(t).select("event_id", "site", "success", "latency_ms"))
+    return rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
+
+
+def distinct(t: Tables):
+    rows = _run(t, "r2", st.distinct_within(_stream(t), "ts", ["url"], "40 days"))
+    return rows.select("url").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+
+
+def metrics(t: Tables):
+    m = st.merged_metrics(_run_stateful(t, "r3", st.metrics_state))
+    return m.withColumn("avg_response_time", F.round("avg_response_time", 6)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+def cache(t: Tables):
+    def build(stream):
+        return st.cached_state(stream.filter("success"), ["site", "page_pattern"], "ts", "event_id", "level")
+
+    emitted = _run_stateful(t, "r4", build)
+    now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
+    return st.merged_cache(emitted, ["site", "page_pattern"], now).select(
+        "site", "page_pattern", F.col("value").cast("int").alias("level"))
+
+
+def history(t: Tables):
+    emitted = _run_stateful(t, "r5", st.history_state)
+    return st.merged_history(emitted, ["url"], 20).select("url", "history_rank", F.col("row_id").alias("event_id"))
+
+
+def windows(t: Tables):
+    rows = _run(t, "r6", st.windowed_stats(_stream(t), "ts"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "site", "block_type", "n")
+
+
+QUERIES = {
+    "r1_appended": (appended, f"{A} SELECT site, count(*) AS n, round(sum(latency_ms), 3) AS latency_ms FROM a GROUP BY 1"),
+    "r2_distinct_urls": (distinct, f"{A} SELECT DISTINCT url, 1 AS n FROM a"),
+    "r3_metrics": (metrics, f"""{A}, c AS (SELECT site, sum(success::INT)::BIGINT AS ok, sum((NOT success)::INT)::BIGINT AS bad, count(*) AS total FROM a GROUP BY 1),
+        n AS (SELECT site, avg(latency_ms) / 1000 AS mean FROM (SELECT site, latency_ms, row_number() OVER
+              (PARTITION BY site ORDER BY ts DESC, event_id DESC) AS r FROM a WHERE success) x WHERE r <= 50 GROUP BY 1)
+        SELECT c.site, round(coalesce(mean, 0.0), 6) AS avg_response_time, round(ok / total, 6) AS success_rate, ok AS success_count,
+               bad AS failure_count, total AS total_requests FROM c LEFT JOIN n ON n.site = c.site"""),
+    "r4_cached_levels": (cache, f"""{A} SELECT site, page_pattern, level FROM (SELECT *, row_number() OVER
+        (PARTITION BY site, page_pattern ORDER BY ts DESC, event_id DESC) AS r FROM a WHERE success) x
+        WHERE r = 1 AND TIMESTAMP '2024-01-31 00:00:00' - ts < INTERVAL 24 HOUR"""),
+    "r5_url_history": (history, f"""{A} SELECT url, r::INT AS history_rank, event_id FROM (SELECT *, row_number() OVER
+        (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS r FROM a) x WHERE r <= 20"""),
+    "r6_windowed_stats": (windows, f"""{A} SELECT strftime(ts, '%Y-%m-%d') AS day, site, block_type, count(*) AS n FROM a
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2, 3"""),
+}

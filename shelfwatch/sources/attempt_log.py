@@ -26,13 +26,13 @@ def backfilled(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_attempts(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """All *.jsonl files of a folder. Blank lines are skipped.
+def read_attempts(spark: SparkSession, path: str, strict: bool = False, pattern: str = "*.jsonl") -> DataFrame:
+    """All files of a folder that match the pattern. Blank lines are skipped.
 
     strict raises at the first bad line. Otherwise bad lines come back with their text in
     _corrupt_line, so none is lost unseen.
     """
-    reader = spark.read.option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.option("pathGlobFilter", pattern)
     if strict:
         lines = reader.schema(ATTEMPT_LINE_DDL).option("mode", "FAILFAST").json(path)
     else:
