@@ -7,7 +7,6 @@ from shelfwatch.session import JOB_CONF, work_folder
 from shelfwatch.streaming import attempt_streams as st
 
 A = f"WITH a AS ({ATTEMPTS})"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _stream(t: Tables):
@@ -26,13 +25,20 @@ def _run(t: Tables, name: str, stream):
 
 
 def _run_stateful(t: Tables, name: str, build):
-    """Keyed list state needs the RocksDB store; the session's own setting comes back afterwards."""
-    before = t.spark.conf.get(STATE_STORE)
-    t.spark.conf.set(STATE_STORE, JOB_CONF[STATE_STORE])
+    """Keyed list state needs the RocksDB store, and state with a time to live would ask for empty
+    batches without end. The session's own settings come back afterwards."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": JOB_CONF["spark.sql.streaming.stateStore.providerClass"],
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: t.spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        t.spark.conf.set(key, value)
     try:
         return _run(t, name, build(_stream(t)))
     finally:
-        t.spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            t.spark.conf.set(key, value)
 
 
 def appended(t: Tables):

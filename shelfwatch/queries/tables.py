@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.rules import phrases as P
 from shelfwatch.rules import sites as R
+from shelfwatch.session import ship_package
 
 PARTS_PER_PAGE = 24
 
@@ -17,6 +18,7 @@ PARTS_PER_PAGE = 24
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship_package(spark)
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

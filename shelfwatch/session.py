@@ -1,5 +1,7 @@
 """Session helpers: settings for jobs and tests, the shared work folder, small rule tables."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,20 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session.
+
+    Jobs started with the package in --py-files do not need it; a second copy does no harm.
+    """
+    if spark.conf.get("shelfwatch.shipped", None):
+        return
+    folder = tempfile.mkdtemp(prefix="shelfwatch-package-")  # read by the driver alone, which serves it
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(f"{folder}/shelfwatch", "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("shelfwatch.shipped", "true")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder the cluster names.
 

@@ -208,7 +208,11 @@ class _NewestValue(StatefulProcessor):
 def cached_state(
     stream: DataFrame, keys: list[str], ts: str, row_id: str, value: str, ttl_seconds: int = M.CACHE_SECONDS,
 ) -> DataFrame:
-    """Newest value per (keys, shard), emitted after each batch, with a time to live."""
+    """Newest value per (keys, shard), emitted after each batch, with a time to live.
+
+    With an available-now trigger switch spark.sql.streaming.noDataMicroBatches.enabled off: state
+    with a time to live always asks for one more batch.
+    """
     rows = sharded(stream.filter(F.col(value).isNotNull()), row_id).select(
         *keys, "shard", F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
         F.col(row_id).cast("long").alias("row_id"), F.col(value).cast("double").alias("value"),
