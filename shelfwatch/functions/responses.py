@@ -64,30 +64,49 @@ def is_blocked(verdict: Column) -> Column:
     return ~verdict.isin("none", "")
 
 
-def reasoned_verdict(status: Column, text: Column, lowered: Column) -> Column:
-    """struct(block_type, reason) from co-occurring words; reads no phrase on its own as proof."""
-
-    def verdict(name, reason):
-        return F.struct(F.lit(name).alias("block_type"), F.lit(reason).alias("reason"))
-
+# Outcomes of the reasoned verdict, by code.
+REASONED_OUTCOMES = [
+    ("none", "Normal response"),
+    ("http_403", "HTTP 403 forbidden"),
+    ("http_429", "HTTP 429 rate limited"),
+    ("http_451", "HTTP 451 unavailable"),
+    ("http_timeout", "Server error or timeout"),
+    ("cloudflare", "Cloudflare challenge detected"),
+    ("captcha", "CAPTCHA challenge detected"),
+    ("bot_detected", "Access denied"),
+    ("bot_detected", "Suspicious activity"),
+    ("empty_response", "Response content too short"),
+]
+
+
+def reasoned_code(status: Column, text: Column, lowered: Column) -> Column:
+    """Code of the reasoned verdict: a small integer, cheap to aggregate and shuffle."""
     interstitial = any_of(lowered, ["cloudflare", "cf-challenge", "checking your browser"])
     waiting = any_of(lowered, ["attention required", "just a moment"])
     human = any_of(lowered, ["verify you are human", "i am not a robot"])
-    return first_case(
-        [
-            (status == 403, verdict("http_403", "HTTP 403 forbidden")),
-            (status == 429, verdict("http_429", "HTTP 429 rate limited")),
-            (status == 451, verdict("http_451", "HTTP 451 unavailable")),
-            (status.isNull() | (status >= 500), verdict("http_timeout", "Server error or timeout")),
-            (interstitial & waiting, verdict("cloudflare", "Cloudflare challenge detected")),
-            (lowered.contains("captcha") & human, verdict("captcha", "CAPTCHA challenge detected")),
-            (any_of(lowered, ["access denied", "blocked your ip"]), verdict("bot_detected", "Access denied")),
-            (any_of(lowered, ["suspicious activity", "unusual traffic"]),
-             verdict("bot_detected", "Suspicious activity")),
-            (F.length(text) < 500, verdict("empty_response", "Response content too short")),
-        ],
-        verdict("none", "Normal response"),
-    )
+    conditions = [
+        status == 403,
+        status == 429,
+        status == 451,
+        status.isNull() | (status >= 500),
+        interstitial & waiting,
+        lowered.contains("captcha") & human,
+        any_of(lowered, ["access denied", "blocked your ip"]),
+        any_of(lowered, ["suspicious activity", "unusual traffic"]),
+        F.length(text) < 500,
+    ]
+    return first_case([(c, F.lit(code)) for code, c in enumerate(conditions, start=1)], F.lit(0))
+
+
+def reasoned_outcome(code: Column) -> Column:
+    """struct(block_type, reason) of a code."""
+    rows = [F.struct(F.lit(t).alias("block_type"), F.lit(r).alias("reason")) for t, r in REASONED_OUTCOMES]
+    return F.element_at(F.array(*rows), code + 1)
+
+
+def reasoned_verdict(status: Column, text: Column, lowered: Column) -> Column:
+    """struct(block_type, reason) from co-occurring words; reads no phrase on its own as proof."""
+    return reasoned_outcome(reasoned_code(status, text, lowered))
 
 
 def first_indicator(lowered: Column) -> Column:

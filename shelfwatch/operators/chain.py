@@ -14,7 +14,7 @@ from shelfwatch.functions.text import first_case
 from shelfwatch.functions.urls import site_by_domain
 from shelfwatch.operators.items import item_rows, merged, no_items, unified
 from shelfwatch.operators.nodes import TEMPLATE_DDL, default_template, profile_items, template_items, with_nodes
-from shelfwatch.operators.structured import json_ld_items
+from shelfwatch.operators.structured import with_json_ld
 from shelfwatch.rules import sites as R
 from shelfwatch.schemas import PRODUCT_DDL
 
@@ -48,9 +48,7 @@ def winning_steps(pages: DataFrame, payloads: DataFrame | None = None, keep: lis
     def reached(step, count):
         return F.coalesce(count >= least[step], F.lit(False))
 
-    local = pages.withColumn(
-        "_ld", F.when(least["json_ld"].isNotNull(), json_ld_items(F.col("html"), F.col("url"))).otherwise(no_items())
-    )
+    local = with_json_ld(pages, "_ld", where=least["json_ld"].isNotNull())
     # Pages already served send NULL to the node function and are never parsed there.
     local = with_nodes(local, F.when(~reached("json_ld", F.size("_ld")), F.col("html"))).select(
         *keep, "url", "site", "_ld",

@@ -45,8 +45,14 @@ def unified(products: DataFrame, *extra: str) -> DataFrame:
 
 
 def item_rows(pages: DataFrame, items: str, source: Column, keep: list[str]) -> DataFrame:
-    """One product row per item, with the page's kept columns and the item's position."""
-    rows = pages.select(*keep, source.alias("source"), F.posexplode(items).alias("pos", "_item"))
+    """One product row per item, with the page's kept columns and the item's position.
+
+    The outer form keeps the optimizer from adding a size filter below, which would run the whole
+    extraction a second time; pages without items drop out right after.
+    """
+    rows = pages.select(*keep, source.alias("source"), F.posexplode_outer(items).alias("pos", "_item")).filter(
+        F.col("_item").isNotNull()
+    )
     return unified(rows.select(*keep, "pos", "source", "_item.*"), *keep, "pos")
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.urls import is_product_api, site_by_brand
-from shelfwatch.operators.items import item, item_rows
+from shelfwatch.operators.items import item, item_rows, no_items
 
 LD_JSON = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""
 PAYLOAD_KEYS = ["products", "items", "results"]
-# The JSON parser accepts no deeper nesting than this, so a walk this long always ends.
-PARSER_DEPTH = 1000
-USUAL_DEPTH = 8
+# Steps walked in turn, each only where the ones before left something unsettled. The last is the
+# JSON parser's own nesting limit, so a walk always ends.
+WALK_DEPTHS = [4, 32, 1000]
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -47,8 +47,8 @@ def _is_product(v: Column) -> Column:
     return F.coalesce(_text(v, "$['@type']") == "Product", F.lit(False))
 
 
-def json_ld_items(html: Column, url: Column) -> Column:
-    """Array of items from the ld+json blocks of a page, first per name.
+def _json_ld_candidates(html: Column, url: Column) -> Column:
+    """All named products of a page's ld+json blocks, repeats included.
 
     A block that is no JSON is skipped whole; a list element that is no product is skipped alone.
     """
@@ -67,65 +67,84 @@ def json_ld_items(html: Column, url: Column) -> Column:
             images=_images(v, with_list=True),
         )
 
-    products = F.filter(F.transform(F.filter(entries, _is_product), product), lambda p: p["title"] != "")
-    return first_by(products, "title")
+    return F.filter(F.transform(F.filter(entries, _is_product), product), lambda p: p["title"] != "")
 
 
-def first_by(items: Column, field: str) -> Column:
-    """Items of an array without later repeats of a field's value."""
-    values = F.transform(items, lambda x: x[field])
-    return F.filter(items, lambda x, i: F.array_position(values, x[field]) == i + 1)
+def with_first(df: DataFrame, items: str, field: str) -> DataFrame:
+    """Drop from an array column the items that repeat an earlier item's field.
+
+    The list of values is a projection of its own: inside the lambda it would be built again for
+    every item. It is named twice there, because the optimizer folds in what is named once.
+    """
+    return (
+        df.withColumn("_values", F.transform(items, lambda x: x[field]))
+        .withColumn(items, F.filter(items, lambda x, i: (i < F.size("_values")) & (
+            F.array_position("_values", x[field]) == i + 1)))
+        .drop("_values")
+    )
+
+
+def with_json_ld(pages: DataFrame, name: str, where: Column | None = None) -> DataFrame:
+    """Pages with an array of items from their ld+json blocks, first per name."""
+    found = _json_ld_candidates(F.col("html"), F.col("url"))
+    if where is not None:
+        found = F.when(where, found).otherwise(no_items())
+    return with_first(pages.withColumn(name, found), name, "title")
 
 
 def json_ld_products(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Product rows of all pages from their ld+json blocks."""
     keep = keep or ["page_id"]
-    found = pages.select(*keep, "url", json_ld_items(F.col("html"), F.col("url")).alias("items"))
+    found = with_json_ld(pages.select(*keep, "url", "html"), "items").drop("html")
     return item_rows(found, "items", site_by_brand(F.col("url")), keep)
 
 
-def _descend(v: Column) -> Column:
-    """One step down: into the first payload key there is, else a product stays, else elements."""
-    step = None
-    for key in PAYLOAD_KEYS:
-        inner = _get(v, f"$.{key}", "variant")
-        there = inner.isNotNull()
-        step = F.when(there, F.array(inner)) if step is None else step.when(there, F.array(inner))
-    none = F.array().cast("array<variant>")
-    return step.when(_is_product(v), F.array(v)).otherwise(F.coalesce(_elements(v), none))
-
+def _state(v: Column, done: bool) -> Column:
+    return F.struct(v.alias("v"), F.lit(done).alias("done"))
 
-def _settled(v: Column) -> Column:
-    inner = [_get(v, f"$.{key}", "variant") for key in PAYLOAD_KEYS]
-    return _is_product(v) & inner[0].isNull() & inner[1].isNull() & inner[2].isNull()
 
+def _descend(at: Column) -> Column:
+    """One step down from a place in a payload: into the first payload key there is, else a
+    product is done, else into the elements of a list. Places that are done stay as they are."""
+    v = at["v"]
+    inside = [_get(v, f"$.{key}", "variant") for key in PAYLOAD_KEYS]
+    elements = F.coalesce(_elements(v), F.array().cast("array<variant>"))
+    step = F.when(at["done"], F.array(_state(v, True)))
+    for inner in inside:
+        step = step.when(inner.isNotNull(), F.array(_state(inner, False)))
+    return step.when(_is_product(v), F.array(_state(v, True))).otherwise(
+        F.transform(elements, lambda e: _state(e, False))
+    )
 
-def _walk(frontier: Column, steps: Column) -> Column:
-    return F.aggregate(steps, frontier, lambda acc, _: F.flatten(F.transform(acc, _descend)))
 
+def _walk(places: Column, steps: Column) -> Column:
+    return F.aggregate(steps, places, lambda acc, _: F.flatten(F.transform(acc, _descend)))
 
-def payload_items(body: Column) -> Column:
-    """Array of items in a JSON payload, found below products, items and results keys.
 
-    A usual payload settles within a few steps. Only one that has not goes on to the parser's own
-    nesting limit, so no depth is cut off.
-    """
-    start = F.array_compact(F.array(F.try_parse_json(body)))
-    found = _walk(start, F.sequence(F.lit(1), F.lit(USUAL_DEPTH)))
-    deeper = F.when(F.forall(found, _settled), F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(1), F.lit(PARSER_DEPTH))
+def _payload_item(v: Column) -> Column:
+    return item(
+        url=F.coalesce(_text(v, "$.url"), F.lit("")),
+        title=F.coalesce(_get(v, "$.name"), F.lit("")),
+        price=F.coalesce(_get(_offer(v), "$.price"), F.lit("")),
+        images=_images(v, with_list=False),
     )
-    products = _walk(found, deeper)
 
-    def product(v):
-        return item(
-            url=F.coalesce(_text(v, "$.url"), F.lit("")),
-            title=F.coalesce(_get(v, "$.name"), F.lit("")),
-            price=F.coalesce(_get(_offer(v), "$.price"), F.lit("")),
-            images=_images(v, with_list=False),
-        )
 
-    return F.transform(products, product)
+def with_payload_items(payloads: DataFrame, name: str) -> DataFrame:
+    """Payloads with an array of items found below products, items and results keys.
+
+    A usual payload settles within a few steps. Only one that has not goes on, up to the parser's
+    nesting limit, so no depth is cut off. Each walk is a projection of its own, so what it found
+    is not computed again by the next.
+    """
+    parsed = F.array_compact(F.array(F.try_parse_json("body")))
+    df = payloads.withColumn("_found", F.transform(parsed, lambda v: _state(v, False)))
+    for depth in WALK_DEPTHS:
+        steps = F.when(F.forall("_found", lambda at: at["done"]), F.array().cast("array<int>")).otherwise(
+            F.sequence(F.lit(1), F.lit(depth))
+        )
+        df = df.withColumn("_found", _walk(F.col("_found"), steps))
+    return df.withColumn(name, F.transform("_found", lambda at: _payload_item(at["v"]))).drop("_found")
 
 
 def product_payloads(responses: DataFrame) -> DataFrame:
@@ -142,5 +161,5 @@ def product_payloads(responses: DataFrame) -> DataFrame:
 def payload_products(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Product rows of all payloads."""
     keep = keep or ["page_id"]
-    found = payloads.select(*keep, payload_items(F.col("body")).alias("items"))
+    found = with_payload_items(payloads.select(*keep, "body"), "items").drop("body")
     return item_rows(found, "items", F.lit("unknown"), keep)

@@ -16,8 +16,9 @@ SLOT = "_slot"
 
 
 def with_slot(df: DataFrame, ts: str, slot_seconds: int) -> DataFrame:
+    """Start of the row's time slot, in microseconds."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn(SLOT, F.floor(micros / F.lit(slot_seconds * 1_000_000)))
+    return df.withColumn(SLOT, micros - F.pmod(micros, F.lit(slot_seconds * 1_000_000)))
 
 
 def _order(columns: list[str], newest: bool) -> list[Column]:
@@ -31,17 +32,21 @@ def top_rows(
     """The first n rows per key, by order.
 
     Two limits: per (key, shard), then per key. Both are rank filters, so map tasks already drop
-    what cannot qualify, and the last stage sees at most n * shards rows of a key.
+    what cannot qualify, and the last stage sees at most n * shards rows of a key. One shard is
+    enough where the keys themselves are known to be small.
     """
-    shard = F.pmod(F.xxhash64(*order), F.lit(shards))
     ordering = _order(order, newest)
     rn = rank or "_rank"
+    if shards > 1:
+        shard = F.pmod(F.xxhash64(*order), F.lit(shards))
+        df = (
+            df.withColumn("_shard", shard)
+            .withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_shard").orderBy(*ordering)))
+            .filter(F.col("_r") <= n)
+            .drop("_r", "_shard")
+        )
     return (
-        df.withColumn("_shard", shard)
-        .withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_shard").orderBy(*ordering)))
-        .filter(F.col("_r") <= n)
-        .drop("_r", "_shard")
-        .withColumn(rn, F.row_number().over(W.partitionBy(*keys).orderBy(*ordering)))
+        df.withColumn(rn, F.row_number().over(W.partitionBy(*keys).orderBy(*ordering)))
         .filter(F.col(rn) <= n)
         .drop(*([] if rank else [rn]))
     )

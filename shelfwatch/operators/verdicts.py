@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.responses import reasoned_verdict, with_lowered
+from shelfwatch.functions.responses import reasoned_code, reasoned_outcome, with_lowered
 from shelfwatch.rules.phrases import VERDICT_KEY_CHARS
 
 
@@ -11,21 +11,21 @@ def shared_verdicts(responses: DataFrame, id_column: str) -> DataFrame:
     """id, status_code, verdict struct. The first response (by id) of an opening decides for all.
 
     Every response is labelled in place, which is cheaper than shuffling its text. The shuffle
-    carries only (key, id, label); groups combine in the map tasks, and only openings whose
+    carries only (key, id, code); groups combine in the map tasks, and only openings whose
     responses disagree come back, so a common opening is not a hot join key unless it must be.
     """
+    opening = F.left("text", F.lit(VERDICT_KEY_CHARS))
     labelled = with_lowered(responses).select(
-        id_column, "status_code",
-        F.sha2(F.left("text", F.lit(VERDICT_KEY_CHARS)), 256).alias("_key"),
-        reasoned_verdict(F.col("status_code"), F.col("text"), F.col("lowered")).alias("_own"),
+        id_column, "status_code", F.coalesce("status_code", F.lit(-1)).alias("_status"),
+        F.sha2(opening, 256).alias("_key"),
+        reasoned_code(F.col("status_code"), F.col("text"), F.col("lowered")).alias("_own"),
     )
-    status = F.coalesce("status_code", F.lit(-1))
     deciding = (
-        labelled.groupBy(status.alias("_status"), "_key")
+        labelled.groupBy("_status", "_key")
         .agg(F.min_by("_own", id_column).alias("_first"), F.min("_own").alias("_lo"), F.max("_own").alias("_hi"))
         .filter(F.col("_lo") != F.col("_hi"))
         .select("_status", "_key", "_first")
     )
-    return labelled.withColumn("_status", status).join(deciding, ["_status", "_key"], "left").select(
-        id_column, "status_code", F.coalesce("_first", "_own").alias("verdict")
+    return labelled.join(deciding, ["_status", "_key"], "left").select(
+        id_column, "status_code", reasoned_outcome(F.coalesce("_first", "_own")).alias("verdict")
     )

@@ -391,8 +391,9 @@ def strategy_union(t: Tables):
 def first_links(t: Tables):
     """First occurrence of every link of a page, with its place among the first ones."""
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
-    links = F.transform(hrefs, lambda h: F.struct(h.alias("href")))
-    return t("pages").select("page_id", F.posexplode(structured.first_by(links, "href")).alias("pos", "l")).select(
+    pages = t("pages").select("page_id", F.transform(hrefs, lambda h: F.struct(h.alias("href"))).alias("links"))
+    first = structured.with_first(pages, "links", "href")
+    return first.select("page_id", F.posexplode_outer("links").alias("pos", "l")).filter("l IS NOT NULL").select(
         "page_id", "pos", "l.href")
 
 

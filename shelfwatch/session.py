@@ -60,13 +60,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/shelfwatch/{name}-{uuid.uuid4().hex}"
 
 
-def rule_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
-    """A fixed rule list as a one-partition DataFrame, safe to broadcast: its size is the code's.
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
 
-    The rows are literals in the plan, so they need no Python workers.
-    """
+
+def rule_table(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A fixed rule list as a local relation, safe to broadcast: its size is the code's."""
     names = [part.strip().split(" ", 1) for part in ddl.split(",")]
-    structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, names)]) for row in rows
-    ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    columns = ", ".join(name for name, _ in names)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules({columns})").select(
+        *[F.col(name).cast(kind) for name, kind in names]
+    )
