@@ -73,7 +73,8 @@ def history(t: Tables):
 
 def windows(t: Tables):
     rows = _run(t, "r6", st.windowed_stats(_stream(t), "ts"))
-    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "site", "block_type", "n")
+    utc = F.to_utc_timestamp("window_start", F.current_timezone())
+    return rows.select(F.date_format(utc, "yyyy-MM-dd").alias("day"), "site", "block_type", "n")
 
 
 QUERIES = {

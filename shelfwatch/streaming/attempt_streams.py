@@ -5,12 +5,15 @@ spread over several state partitions. Every state here can be merged exactly: co
 the last n of a key are among the last n of its shards. The `merged_*` functions do that on read.
 """
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from shelfwatch.operators.timeline import top_rows
 from shelfwatch.rules import modules as M
@@ -18,6 +21,10 @@ from shelfwatch.sources.attempt_log import ATTEMPT_LINE_DDL, backfilled
 
 SHARDS = 16
 
+# The driver-side process that prepares stateful processors does not see shipped Python files, so
+# the processors of this module travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_attempts(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Attempt rows as JSON lines files land in the log folder."""
@@ -37,8 +44,11 @@ def append_parquet(stream: DataFrame, path: str, checkpoint: str, **trigger) ->
 
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
-    """Event time as TIMESTAMP (a zone-less column is refused by watermarks), with its watermark."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    """Event time with its watermark. A zone-less time, which watermarks refuse, is read as UTC."""
+    time = F.col(ts)
+    if isinstance(stream.schema[ts].dataType, TimestampNTZType):
+        time = F.convert_timezone(F.lit("UTC"), F.current_timezone(), time)
+    return stream.withColumn(ts, time.cast("timestamp")).withWatermark(ts, late)
 
 
 def distinct_within(stream: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
