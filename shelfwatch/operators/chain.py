@@ -17,6 +17,7 @@ from shelfwatch.operators.nodes import TEMPLATE_DDL, default_template, profile_i
 from shelfwatch.operators.structured import with_json_ld
 from shelfwatch.rules import sites as R
 from shelfwatch.schemas import PRODUCT_DDL
+from shelfwatch.session import work_folder
 
 
 def minimums(site: Column) -> dict[str, Column]:
@@ -80,9 +81,18 @@ def winning_steps(pages: DataFrame, payloads: DataFrame | None = None, keep: lis
 
 
 def chain_products(pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Product rows of the winning steps, with strategy and method."""
+    """Product rows of the winning steps, with strategy and method.
+
+    With payloads the winners are needed twice: for their own items, and to pick the pages whose
+    payload rows count. They are written to the shared work folder first, without HTML, so pages
+    are extracted once.
+    """
     keep = keep or ["page_id"]
     winners = winning_steps(pages, payloads, keep)
+    if payloads is not None:
+        folder = work_folder(pages.sparkSession, "chain")
+        winners.write.parquet(folder)
+        winners = pages.sparkSession.read.parquet(folder)
     columns = [*dict.fromkeys([*keep, "strategy", "method"])]
     source = F.coalesce("site", F.lit("unknown"))
     rows = item_rows(winners, "items", source, columns)
@@ -101,7 +111,7 @@ def empty_content(pages: DataFrame, products: DataFrame, key: str = "page_id") -
     plain = F.col("render").isin("none", "playwright", "cloudscraper")
     return (
         pages.filter((F.col("verdict") == "none") & plain)
-        .join(products.select(key), key, "left_anti")
+        .join(products.select(key).distinct(), key, "left_anti")
         .withColumn("block_type", F.lit("empty_content"))
     )
 

@@ -68,8 +68,9 @@ def batch_run(
 ) -> dict[str, DataFrame]:
     """Classify pages, extract products by chain, clean, write per site and date, and report.
 
-    pages needs page_id, url, html and render. Pages are read once for extraction; their verdicts
-    are read again without HTML for the list of empty ones.
+    pages needs page_id, url, html and render. Pages are scanned twice, once for the verdict table
+    and once for extraction: labelling a page again costs less than shuffling its HTML to join the
+    table. Every later step reads written tables without HTML.
     """
     verdicts = classified(pages)
     verdicts.drop("html").write.mode("overwrite").parquet(f"{folder}/verdicts")

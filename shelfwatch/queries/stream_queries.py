@@ -47,7 +47,7 @@ def appended(t: Tables):
 
 
 def distinct(t: Tables):
-    rows = _run(t, "r2", st.distinct_within(_stream(t), "ts", ["url"], "40 days"))
+    rows = _run(t, "r2", st.distinct_within(_stream(t), "ts", ["url"], "event_id", "40 days"))
     return rows.select("url").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -51,11 +51,6 @@ def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
     return stream.withColumn(ts, time.cast("timestamp")).withWatermark(ts, late)
 
 
-def distinct_within(stream: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """First row per key within the watermark. Rows with an empty key are the caller's to keep apart."""
-    return timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
-
-
 def windowed_stats(stream: DataFrame, ts: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Attempts by time window, site and block type. Partial counts combine before the shuffle."""
     return (
@@ -79,6 +74,22 @@ def sharded(stream: DataFrame, row_id: str, shards: int = SHARDS) -> DataFrame:
     return stream.withColumn("shard", F.pmod(F.xxhash64(row_id), F.lit(shards)).cast("int"))
 
 
+def distinct_within(
+    stream: DataFrame, ts: str, keys: list[str], row_id: str, late: str = "1 hour", shards: int = SHARDS
+) -> DataFrame:
+    """First row per key within the watermark. Rows with an empty key are the caller's to keep apart.
+
+    Repeats drop per (key, shard) first, so a key with very many rows is spread out; then at most
+    one row per shard is left to compare by key alone.
+    """
+    return (
+        sharded(timed(stream, ts, late), row_id, shards)
+        .dropDuplicatesWithinWatermark([*keys, "shard"])
+        .drop("shard")
+        .dropDuplicatesWithinWatermark(keys)
+    )
+
+
 class _LastRows(StatefulProcessor):
     """Keeps the newest rows of a key as (micros, id, value) and two counters.
 
