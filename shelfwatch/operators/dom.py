@@ -20,10 +20,11 @@ TOKEN = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts")
+    __slots__ = ("tag", "attrs", "classes", "parent", "parts")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
+        self.classes = attrs["class"].split() if "class" in attrs else ()
 
     def walk(self):
         stack = [p for p in reversed(self.parts) if isinstance(p, Node)]
@@ -131,7 +132,7 @@ def _passes(node, tests):
         if kind == "tag":
             ok = name == "*" or node.tag == name
         elif kind == "cls":
-            ok = name in node.attrs.get("class", "").split()
+            ok = name in node.classes
         elif kind == "has":
             ok = name in node.attrs
         elif kind == "=":
@@ -159,12 +160,20 @@ def _matches(node, steps):
     return False
 
 
+def _any_match(node, alternatives):
+    for steps in alternatives:
+        if _matches(node, steps):
+            return True
+    return False
+
+
 def select(root: Node, selector: str) -> list:
     """All matching nodes below root, in document order."""
     alternatives = compile_selector(selector)
-    return [n for n in root.walk() if any(_matches(n, steps) for steps in alternatives)]
+    return [n for n in root.walk() if _any_match(n, alternatives)]
 
 
-def select_one(root: Node, selector: str):
+def first(nodes, selector: str):
+    """First match among nodes given in document order, such as root.walk() or a list of it."""
     alternatives = compile_selector(selector)
-    return next((n for n in root.walk() if any(_matches(n, steps) for steps in alternatives)), None)
+    return next((n for n in nodes if _any_match(n, alternatives)), None)

@@ -41,11 +41,12 @@ def template_nodes(root, url: str, template: dict) -> list:
         return []  # an empty selector matches nothing it could be applied to
     rows = []
     for node in items[: S.ITEMS_PER_PAGE]:
-        part = {f: dom.select_one(node, s) for f, s in used.items()}
+        inner = list(node.walk())
+        part = {f: dom.first(inner, s) for f, s in used.items()}
         price, image, link = part["price_selector"], part["image_selector"], part["link_selector"]
         fraction = None
         if price is not None and template["price_fraction_selector"]:
-            fraction = dom.select_one(node, template["price_fraction_selector"])
+            fraction = dom.first(inner, template["price_fraction_selector"])
         href = link.attrs.get("href", "") if link is not None else ""
         attribute = template["product_id_attribute"]
         rows.append(_raw(
@@ -72,7 +73,8 @@ def profile_nodes(root, url: str, site: str) -> list:
     image_sel = S.PROFILE_IMAGE_SELECTORS.get(site, "img")
     rows, seen = [], set()
     for node in dom.select(root, item_sel):
-        image = dom.select_one(node, image_sel)
+        inner = list(node.walk())
+        image = dom.first(inner, image_sel)
         src = image.attrs.get("src") if image is not None else None
         lazy = image.attrs.get("data-src") if image is not None and site not in S.SRC_ONLY_IMAGES else None
         if not link_sel and site == "target":
@@ -86,10 +88,10 @@ def profile_nodes(root, url: str, site: str) -> list:
             rows.append(_raw(title=title, price=box.content() if box is not None else "", src=src,
                              lazy_src=lazy, link=prefix + href))
             continue
-        title = _first_content(node, title_sel, title_alt)
-        price = _first_content(node, price_sel, price_alt)
+        title = _first_content(inner, title_sel, title_alt)
+        price = _first_content(inner, price_sel, price_alt)
         identity = node.attrs.get("data-asin", "") if site == "amazon" else None
-        link = dom.select_one(node, link_sel) if link_sel else None
+        link = dom.first(inner, link_sel) if link_sel else None
         if identity is not None:
             address = prefix + identity if identity else ""
         elif link is None:
@@ -101,9 +103,9 @@ def profile_nodes(root, url: str, site: str) -> list:
     return rows
 
 
-def _first_content(node, *selectors):
+def _first_content(nodes, *selectors):
     for selector in selectors:
-        found = dom.select_one(node, selector) if selector else None
+        found = dom.first(nodes, selector) if selector else None
         if found is not None:
             return found.content()
     return ""
@@ -183,17 +185,17 @@ def profile_items(raw: Column, site: Column) -> Column:
     return F.filter(F.transform(raw, clean), kept)
 
 
-def with_nodes(pages: DataFrame, html: Column | None = None) -> DataFrame:
-    """Pages with a `nodes` struct. Expects url, site, html and template columns."""
-    return pages.withColumn(
-        "nodes", page_nodes(F.col("html") if html is None else html, "url", F.coalesce("site", F.lit("")), "template")
-    )
+def with_nodes(pages: DataFrame, html: Column | None = None, css: bool = True, profile: bool = True) -> DataFrame:
+    """Pages with a `nodes` struct. Expects url, html, and site and template columns where used."""
+    site = F.coalesce("site", F.lit("")) if profile else F.lit("")
+    template = F.col("template") if css else F.lit(None).cast(TEMPLATE_DDL)
+    return pages.withColumn("nodes", page_nodes(F.col("html") if html is None else html, "url", site, template))
 
 
 def template_products(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Product rows by selector template, at most 20 items of a page."""
     keep = keep or ["page_id"]
-    found = with_nodes(pages).select(
+    found = with_nodes(pages, profile=False).select(
         *keep, "site", template_items(F.col("nodes.css"), F.col("url")).alias("items")
     )
     return item_rows(found, "items", F.col("site"), keep)
@@ -202,8 +204,7 @@ def template_products(pages: DataFrame, keep: list[str] | None = None) -> DataFr
 def profile_products(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Product rows by site profile."""
     keep = keep or ["page_id"]
-    plain = pages.withColumn("template", F.lit(None).cast(TEMPLATE_DDL))
-    found = with_nodes(plain).select(
+    found = with_nodes(pages, css=False).select(
         *keep, "site", profile_items(F.col("nodes.profile"), F.col("site")).alias("items")
     )
     return item_rows(found, "items", F.col("site"), keep)

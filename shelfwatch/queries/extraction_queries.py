@@ -186,7 +186,7 @@ FROM n WHERE r <= 20 AND p_partkey % 17 <> 0"""
 
 def capped_counts(t: Tables):
     """Items per page under the cap, counted before any row rule."""
-    raw = nodes.with_nodes(_template_pages(t))
+    raw = nodes.with_nodes(_template_pages(t), profile=False)
     return raw.select("page_id", F.size("nodes.css").alias("items"))
 
 

@@ -140,8 +140,13 @@ PAGE_SQL = f"CAST(floor(p_partkey / {PARTS_PER_PAGE}.0) AS BIGINT)"
 
 
 def joined_items(parts: DataFrame, text, sep: str, name: str) -> DataFrame:
-    """page_id and the texts of its parts joined in key order; at most PARTS_PER_PAGE per page."""
+    """page_id and the texts of its parts joined in key order; at most PARTS_PER_PAGE per page.
+
+    The shuffle keeps its partition count, as pages read from storage would have many splits; left
+    alone, small tables would shrink to one task and the node functions would run in it alone.
+    """
     entries = F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("text"))))
-    return parts.groupBy(page_of()).agg(
+    count = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.withColumn("page_id", page_of()).repartition(count, "page_id").groupBy("page_id").agg(
         F.array_join(F.transform(entries, lambda e: e["text"]), sep).alias(name)
     )

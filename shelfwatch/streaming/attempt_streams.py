@@ -8,6 +8,7 @@ the last n of a key are among the last n of its shards. The `merged_*` functions
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,42 +92,41 @@ def distinct_within(
 
 
 class _LastRows(StatefulProcessor):
-    """Keeps the newest rows of a key as (micros, id, value) and two counters.
+    """Keeps the newest rows of a key as (micros, id, value) and two counters, in one value.
 
     Emits the whole kept state once per batch, so the newest emission of a (key, shard) is its
-    state. Rows arrive as text keys and plain columns micros, row_id, value and success.
+    state. Rows arrive as key values and plain columns micros, row_id, value and success.
     """
 
     def __init__(self, kept: int, key_names: list[str]):
         self.kept, self.key_names = kept, key_names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "micros long, row_id long, value double")
-        self.counts = handle.getValueState("counts", "ok long, bad long")
+        self.state = handle.getValueState(
+            "state", "ok long, bad long, micros array<long>, row_id array<long>, value array<double>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.rows.get()) if self.rows.exists() else []
-        ok, bad = self.counts.get() if self.counts.exists() else (0, 0)
+        held = self.state.get()
+        ok, bad, *columns = held if held is not None else (0, 0, [], [], [])
+        micros, ids, values = (np.asarray(c, t) for c, t in zip(columns, (np.int64, np.int64, np.float64)))
         for batch in rows:
-            good = batch[batch["success"]]
-            ok += len(good)
-            bad += len(batch) - len(good)
-            # Keep the list short while reading, so a long batch never piles up here.
-            newest = good.nlargest(self.kept, ["micros", "row_id"])
-            held.extend(newest[["micros", "row_id", "value"]].itertuples(index=False, name=None))
-            held = sorted(tuple(r) for r in held)[-self.kept:]
-        held = [(int(m), int(i), float(v)) for m, i, v in held]
-        if held:
-            self.rows.put(held)
-        self.counts.update((int(ok), int(bad)))
-        names = dict(zip(self.key_names, key))
-        width = max(len(held), 1)
+            good = batch["success"].to_numpy(bool)
+            ok += int(good.sum())
+            bad += int((~good).sum())
+            micros = np.concatenate([micros, batch["micros"].to_numpy(np.int64)[good]])
+            ids = np.concatenate([ids, batch["row_id"].to_numpy(np.int64)[good]])
+            values = np.concatenate([values, batch["value"].to_numpy(np.float64)[good]])
+            # Cut after every piece, so a long batch never piles up here.
+            newest = np.lexsort((ids, micros))[-self.kept:]
+            micros, ids, values = micros[newest], ids[newest], values[newest]
+        state = (int(ok), int(bad), micros.tolist(), ids.tolist(), values.tolist())
+        self.state.update(state)
+        width = max(len(state[2]), 1)
         yield pd.DataFrame({
-            **{n: [v] * width for n, v in names.items()},
-            "ok": [int(ok)] * width, "bad": [int(bad)] * width,
-            "micros": [r[0] for r in held] or [None],
-            "row_id": [r[1] for r in held] or [None],
-            "value": [r[2] for r in held] or [None],
+            **{n: [v] * width for n, v in zip(self.key_names, key)},
+            "ok": [state[0]] * width, "bad": [state[1]] * width,
+            "micros": state[2] or [None], "row_id": state[3] or [None], "value": state[4] or [None],
         })
 
     def close(self) -> None:
@@ -135,13 +135,14 @@ class _LastRows(StatefulProcessor):
 
 def last_rows_state(
     stream: DataFrame, keys: list[str], ts: str, row_id: str, value: str, kept: int, success: Column | None = None,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Rolling state per (keys, shard): the last rows and counters, emitted after each batch.
 
     With success given, only successful rows enter the history; failures are counted alone.
     """
     ok = F.lit(True) if success is None else success
-    rows = sharded(stream, row_id).select(
+    rows = sharded(stream, row_id, shards).select(
         *keys, "shard", F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
         F.col(row_id).cast("long").alias("row_id"), F.col(value).cast("double").alias("value"), ok.alias("success"),
     )
@@ -161,9 +162,9 @@ def metrics_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id") -
     )
 
 
-def history_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
-    """Last attempts per URL."""
-    return last_rows_state(stream, ["url"], ts, row_id, "latency_ms", M.ATTEMPTS_KEPT)
+def history_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id", shards: int = 4) -> DataFrame:
+    """Last attempts per URL. URLs are many and mostly small, so they get fewer shards than sites."""
+    return last_rows_state(stream, ["url"], ts, row_id, "latency_ms", M.ATTEMPTS_KEPT, shards=shards)
 
 
 def _current(emitted: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,11 +213,11 @@ class _NewestValue(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = tuple(self.held.get()) if self.held.exists() else None
+        held = self.held.get()
+        newest = None if held is None else tuple(held)
         for batch in rows:
-            top = batch.nlargest(1, ["micros", "row_id"])
-            for row in top[["micros", "row_id", "value"]].itertuples(index=False, name=None):
-                newest = row if newest is None else max(newest, row)
+            top = max(zip(batch["micros"].tolist(), batch["row_id"].tolist(), batch["value"].tolist()))
+            newest = top if newest is None else max(newest, top)
         newest = (int(newest[0]), int(newest[1]), float(newest[2]))
         self.held.update(newest)
         names = {n: [v] for n, v in zip(self.key_names, key)}

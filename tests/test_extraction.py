@@ -20,7 +20,7 @@ def test_selectors(selector, count):
 
 
 def test_text_skips_scripts_and_joins_stripped_strings():
-    item = dom.select_one(dom.parse(PAGE), "li.product")
+    item = dom.first(dom.parse(PAGE).walk(), "li.product")
     assert item.text() == "One &two$5"
     assert item.content().startswith("One & two")
 
