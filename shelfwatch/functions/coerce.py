@@ -2,16 +2,25 @@
 
 A verdict is JSON text of an object. Missing fields take their default. A field of the wrong kind
 makes the verdict invalid, and each verdict type says what it keeps then. Text that is no JSON
-object reads as an empty object.
+object reads as an empty object. The functions take the parsed VARIANT; `with_verdict` parses the
+text once per row in a projection of its own.
 """
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.rules import modules as M
 from shelfwatch.rules.selectors import TEMPLATE_FIELDS
 
 
+def with_verdict(df: DataFrame, json: str, verdict: Callable[[Column], Column], name: str = "verdict") -> DataFrame:
+    """Add a typed verdict read from a JSON text column."""
+    parsed = df.withColumn("_raw", F.try_parse_json(json))
+    return parsed.withColumn(name, verdict(F.col("_raw"))).drop("_raw")
+
+
 def _field(raw: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(raw, f"$.{name}", kind)
 
@@ -36,9 +45,8 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def selector_verdict(json: Column) -> Column:
+def selector_verdict(raw: Column) -> Column:
     """Template fields; when any field is no text, the site alone is kept."""
-    raw = F.try_parse_json(json)
     defaults = {"site": "", "page_type": "search", **dict.fromkeys(TEMPLATE_FIELDS, "")}
     valid = _all([_text_ok(raw, n) for n in defaults])
     site = _text(raw, "site", "")
@@ -48,20 +56,18 @@ def selector_verdict(json: Column) -> Column:
     ])
 
 
-def block_verdict(json: Column) -> Column:
+def block_verdict(raw: Column) -> Column:
     """block_type, reasoning and suggested_action; text fields are kept even beside a bad one."""
-    raw = F.try_parse_json(json)
     defaults = {"block_type": "unknown", "reasoning": "", "suggested_action": "retry_same"}
     return F.struct(*[_text(raw, n, d).alias(n) for n, d in defaults.items()])
 
 
-def threshold_verdict(json: Column) -> Column:
+def threshold_verdict(raw: Column) -> Column:
     """Timeouts, delay range and reasoning; any bad field gives all defaults.
 
     Numbers may come as text. The delay may be a list or a list written as JSON text, and an empty
     one takes its default.
     """
-    raw = F.try_parse_json(json)
 
     def number(name, default):
         there = _kind(raw, name) != ""
@@ -91,9 +97,8 @@ def threshold_verdict(json: Column) -> Column:
     )
 
 
-def url_format_verdict(json: Column) -> Column:
+def url_format_verdict(raw: Column) -> Column:
     """URL format fields; well-formed fields are kept even beside a bad one."""
-    raw = F.try_parse_json(json)
     defaults = {"site": "", "search_url_pattern": "", "search_param": "q", "page_param": "page",
                 "product_url_pattern": ""}
     scripted = F.coalesce(_field(raw, "uses_js_rendering", "boolean"), F.lit(True))

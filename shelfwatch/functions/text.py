@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    """True when text contains any of the words. Plain byte search, no regex engine."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    """True when text contains any of the words. Plain byte search, no regex engine.
+
+    A word that contains another one adds nothing and is not searched for.
+    """
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in needed])
 
 
 def first_case(branches: list[tuple[Column, Column]], default: Column) -> Column:

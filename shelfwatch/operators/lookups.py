@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.operators.timeline import as_of
+from shelfwatch.operators.timeline import as_of, as_of_each
 from shelfwatch.rules import modules as M
 from shelfwatch.rules import sites as R
 from shelfwatch.session import rule_table
@@ -101,15 +101,18 @@ def latest_values(values: DataFrame, keys: list[str], value: str, now, ttl_secon
 
 
 def initial_levels(
-    lookups: DataFrame, successes: DataFrame, computed: DataFrame, ttl_seconds: int = M.CACHE_SECONDS
+    lookups: DataFrame, successes: DataFrame, computed: DataFrame, ttl_seconds: int = M.CACHE_SECONDS,
+    ts: str = "ts", tie: str = "event_id",
 ) -> DataFrame:
     """Level at each lookup: last fresh success, else last fresh computed value, else the table."""
     keys = ["site", "page_pattern"]
-    step = cached_value(lookups, successes, keys, "level", ttl_seconds, name="_success_level")
-    step = cached_value(step, computed, keys, "level", ttl_seconds, name="_computed_level")
-    return start_levels(step.withColumnRenamed("level", "_own_level") if "level" in step.columns else step).withColumn(
+    plain = lookups.drop("level")
+    found = as_of_each(
+        plain, {"_success_level": successes, "_computed_level": computed}, keys, ts, tie, "level", ttl_seconds
+    )
+    return start_levels(found).withColumn(
         "level", F.coalesce("_success_level", "_computed_level", "level")
-    ).drop("_success_level", "_computed_level", "_own_level")
+    ).drop("_success_level", "_computed_level")
 
 
 def with_best_config(tasks: DataFrame, best: DataFrame) -> DataFrame:

@@ -109,48 +109,52 @@ def as_of(
     lookups: DataFrame, values: DataFrame, keys: list[str], ts: str, tie: str, value: str,
     ttl_seconds: int | None = None, name: str | None = None, slot_seconds: int = 3600,
 ) -> DataFrame:
-    """Attach to each lookup the key's newest earlier value, if younger than the time to live.
+    """Attach to each lookup the key's newest earlier value, if younger than the time to live."""
+    return as_of_each(lookups, {name or value: values}, keys, ts, tie, value, ttl_seconds, slot_seconds)
+
+
+def as_of_each(
+    lookups: DataFrame, sources: dict[str, DataFrame], keys: list[str], ts: str, tie: str, value: str,
+    ttl_seconds: int | None = None, slot_seconds: int = 3600,
+) -> DataFrame:
+    """Attach to each lookup the newest earlier value of every source, in one pass over all rows.
 
     "Earlier" is by (ts, tie); a value at the very same position is not seen. The summary of a
     slot is its newest value, so carry-in is one running maximum over the key's slots.
     """
-    out = name or value
+    places = {name: f"_new_{i}" for i, name in enumerate(sources)}
     newest = F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v"))
-    looked = with_slot(lookups, ts, slot_seconds).withColumn("_new", F.lit(None).cast(_entry_type(values, ts, tie, value)))
-    given = with_slot(
-        values.select(*keys, ts, tie, value).filter(F.col(value).isNotNull()), ts, slot_seconds
-    ).select(*keys, ts, tie, SLOT, newest.alias("_new"))
-    rows = looked.withColumn("_is_value", F.lit(0)).unionByName(
-        given.withColumn("_is_value", F.lit(1)), allowMissingColumns=True
-    )
-    # Slots of lookups appear here too, with a NULL summary, so each finds its carry-in.
+    looked = with_slot(lookups, ts, slot_seconds).withColumn("_is_value", F.lit(0))
+    rows = looked
+    # Slots of lookups are in the carry table too, with NULL summaries, so each finds its carry-in.
+    slots = looked.select(*keys, SLOT)
+    for name, values in sources.items():
+        given = with_slot(
+            values.select(*keys, ts, tie, value).filter(F.col(value).isNotNull()), ts, slot_seconds
+        ).select(*keys, ts, tie, SLOT, newest.alias(places[name]), F.lit(1).alias("_is_value"))
+        rows = rows.unionByName(given, allowMissingColumns=True)
+        slots = slots.unionByName(given.select(*keys, SLOT, places[name]), allowMissingColumns=True)
     earlier = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        looked.select(*keys, SLOT, "_new")
-        .unionByName(given.select(*keys, SLOT, "_new"))
-        .groupBy(*keys, SLOT)
-        .agg(F.max("_new").alias("_last"))
-        .withColumn("_carry", F.max("_last").over(earlier))
-        .drop("_last")
+    carry = slots.groupBy(*keys, SLOT).agg(*[F.max(p).alias(p) for p in places.values()]).select(
+        *keys, SLOT, *[F.max(p).over(earlier).alias(f"{p}_carry") for p in places.values()]
     )
     within = (
         W.partitionBy(*keys, SLOT).orderBy(ts, tie, "_is_value")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    found = F.coalesce(F.col("_seen"), F.col("_carry"))
-    fresh = F.lit(True)
-    if ttl_seconds is not None:
-        age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(found["at"].cast("timestamp"))
-        fresh = age < F.lit(ttl_seconds * 1_000_000)
+
+    def result(name, place):
+        found = F.coalesce(F.col(f"{place}_seen"), F.col(f"{place}_carry"))
+        fresh = F.lit(True)
+        if ttl_seconds is not None:
+            age = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(found["at"].cast("timestamp"))
+            fresh = age < F.lit(ttl_seconds * 1_000_000)
+        return F.when(fresh, found["v"]).alias(name)
+
+    kept = [c for c in lookups.columns if c not in places]
     return (
         rows.join(carry, [*keys, SLOT])
-        .withColumn("_seen", F.max("_new").over(within))
+        .select("*", *[F.max(p).over(within).alias(f"{p}_seen") for p in places.values()])
         .filter(F.col("_is_value") == 0)
-        .withColumn(out, F.when(fresh, found["v"]))
-        .drop(SLOT, "_new", "_is_value", "_carry", "_seen")
+        .select(*kept, *[result(n, p) for n, p in places.items()])
     )
-
-
-def _entry_type(values: DataFrame, ts: str, tie: str, value: str) -> str:
-    types = dict(values.dtypes)
-    return f"struct<at:{types[ts]},tie:{types[tie]},v:{types[value]}>"

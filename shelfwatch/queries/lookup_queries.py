@@ -101,7 +101,7 @@ FROM k LEFT JOIN b ON b.site = k.site"""
 
 def invalidated(t: Tables):
     cache = t.attempts().groupBy("site").agg(F.max("event_id").alias("newest"))
-    stale = t.attempts().filter("level = 8 AND latency_ms > 15000").select("site")
+    stale = t.attempts().filter("site LIKE 'site1%' AND NOT success").select("site")
     return ol.invalidate(cache, stale, ["site"])
 
 
@@ -121,5 +121,5 @@ QUERIES = {
     "j5_initial_levels": (initial_levels, INITIAL_SQL),
     "j6_best_config_first": (best_first, BEST_SQL),
     "j7_invalidated_cache": (invalidated, f"""{A} SELECT site, max(event_id) AS newest FROM a GROUP BY 1
-        HAVING max(CASE WHEN level = 8 THEN latency_ms ELSE 0 END) <= 15000"""),
+        HAVING max(CASE WHEN site LIKE 'site1%' AND NOT success THEN 1 ELSE 0 END) = 0"""),
 }

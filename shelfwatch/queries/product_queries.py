@@ -84,7 +84,7 @@ def selector_verdicts(t: Tables):
         _id(',"title_selector":"h', '"'), F.when(F.col("event_id") % 3 == 0, F.lit(',"page_type":"detail"')).otherwise(F.lit("")),
         F.lit(',"unknown_key":[1]}'))
     text = F.when(F.col("event_id") % 11 == 0, F.lit("not json")).otherwise(raw)
-    return t.attempts().select("event_id", coerce.selector_verdict(text).alias("v")).select("event_id", "v.*")
+    return coerce.with_verdict(t.attempts().select("event_id", text.alias("raw")), "raw", coerce.selector_verdict, "v").select("event_id", "v.*")
 
 
 SELECTOR_SQL = f"""WITH a AS ({ATTEMPTS}), r AS (SELECT event_id, site AS s, event_id % 11 <> 0 AS j, event_id % 11 <> 0 AND event_id % 5 <> 0 AS ok FROM a)
@@ -98,7 +98,7 @@ def block_verdicts(t: Tables):
         F.lit('{"reasoning":'), F.when(F.col("event_id") % 5 == 0, F.lit("null")).otherwise(_id('"because ', '"')),
         F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(',"block_type":"'), "block_type", F.lit('"'))).otherwise(F.lit("")),
         F.when(F.col("event_id") % 4 == 0, F.lit(',"suggested_action":"skip"')).otherwise(F.lit("")), F.lit("}"))
-    return t.attempts().select("event_id", coerce.block_verdict(raw).alias("v")).select("event_id", "v.*")
+    return coerce.with_verdict(t.attempts().select("event_id", raw.alias("raw")), "raw", coerce.block_verdict, "v").select("event_id", "v.*")
 
 
 BLOCK_SQL = f"""WITH a AS ({ATTEMPTS}) SELECT event_id, CASE WHEN event_id % 3 > 0 THEN block_type ELSE 'unknown' END AS block_type,
@@ -114,7 +114,7 @@ def threshold_verdicts(t: Tables):
              .when(e % 6 == 2, F.lit(',"delay_after":"four"')).when(e % 6 == 3, F.lit(',"delay_after":[]'))
              .when(e % 6 == 4, F.lit(',"delay_after":7')).otherwise(F.lit("")))
     raw = F.concat(F.lit("{"), request, delay, F.lit(',"reasoning":"r"}'))
-    v = t.attempts().select("event_id", coerce.threshold_verdict(raw).alias("v"))
+    v = coerce.with_verdict(t.attempts().select("event_id", raw.alias("raw")), "raw", coerce.threshold_verdict, "v")
     return v.select("event_id", "v.request_timeout", "v.page_load_timeout", "v.reasoning",
                     F.element_at("v.delay_after", 1).alias("delay_min"), F.element_at("v.delay_after", 2).alias("delay_max"))
 
@@ -131,7 +131,7 @@ def url_format_verdicts(t: Tables):
         F.lit('{"site":"'), F.col("site"), F.lit('"'), F.when(e % 3 == 0, F.lit(',"search_param":"k"')).otherwise(F.lit("")),
         F.when(e % 4 == 0, F.lit(',"uses_js_rendering":false')).otherwise(F.lit("")),
         _id(',"search_url_pattern":"https://x/', '?q={query}"'), F.lit("}"))
-    return t.attempts().select("event_id", coerce.url_format_verdict(raw).alias("v")).select("event_id", "v.*")
+    return coerce.with_verdict(t.attempts().select("event_id", raw.alias("raw")), "raw", coerce.url_format_verdict, "v").select("event_id", "v.*")
 
 
 URL_FORMAT_SQL = f"""WITH a AS ({ATTEMPTS}) SELECT event_id, site, 'https://x/' || event_id || '?q={{query}}' AS search_url_pattern,

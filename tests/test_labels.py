@@ -110,7 +110,7 @@ def test_search_from_format(spark, pattern, page, url):
     ('{"reasoning": 5, "page_load_timeout": 9}', (30.0, 30.0, [3.0, 8.0], "")),
 ])
 def test_threshold_verdict(spark, raw, expected):
-    got = one(spark, coerce.threshold_verdict(F.col("raw")), raw=raw)
+    got = one(spark, coerce.threshold_verdict(F.try_parse_json("raw")), raw=raw)
     assert (got.request_timeout, got.page_load_timeout, got.delay_after, got.reasoning) == expected
 
 
