@@ -7,13 +7,15 @@ join, which brings in payload counts when a payload table is given.
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwatch.functions.text import first_case
 from shelfwatch.functions.urls import site_by_domain
 from shelfwatch.operators.items import item_rows, merged, no_items, unified
-from shelfwatch.operators.nodes import TEMPLATE_DDL, default_template, profile_items, template_items, with_nodes
+from shelfwatch.operators.nodes import default_template, profile_items, template_items, with_nodes
 from shelfwatch.operators.structured import with_json_ld
 from shelfwatch.rules import sites as R
 from shelfwatch.schemas import PRODUCT_DDL
@@ -119,52 +121,48 @@ def empty_content(pages: DataFrame, products: DataFrame, key: str = "page_id") -
 class Extractors:
     """User extraction functions by (site, kind): pages in, product rows out.
 
-    A function takes and returns DataFrames, so it can be plain Spark or wrap Python code with
-    `python_extractor`. Sites without an entry go to the template step.
+    A frame function takes its site's pages as a DataFrame and returns product rows. A Python
+    function takes (html, url) and returns product dicts; all of those run in one pass over the
+    pages, in Arrow batches. Sites without an entry go to the template step.
     """
 
     def __init__(self):
-        self._by_key: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
+        self._frames: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {}
+        self._functions: dict[tuple[str, str], Callable[[str, str], list[dict]]] = {}
 
     def register(self, site: str, kind: str, extract: Callable[[DataFrame], DataFrame]) -> None:
-        self._by_key[(site, kind)] = extract
+        self._frames[(site, kind)] = extract
+
+    def register_python(self, site: str, kind: str, extract: Callable[[str, str], list[dict]]) -> None:
+        self._functions[(site, kind)] = extract
 
     def run(self, pages: DataFrame, kind: str = "list") -> DataFrame:
-        """Products of all registered sites' pages; each function sees its own site's pages."""
+        """Products of all registered sites' pages. pages has page_id, site, url and html."""
+        functions = {site: f for (site, k), f in self._functions.items() if k == kind}
         parts = [
             unified(f(pages.filter(F.col("site") == site)), "page_id")
-            for (site, k), f in self._by_key.items() if k == kind
+            for (site, k), f in self._frames.items() if k == kind
         ]
+        if functions:
+            parts.append(_python_products(pages.filter(F.col("site").isin(list(functions))), functions))
         if not parts:
             return unified(pages.limit(0).select("page_id"), "page_id")
         return merged(*parts)
 
 
-def python_extractor(extract: Callable[[str, str], list[dict]]) -> Callable[[DataFrame], DataFrame]:
-    """Wrap extract(html, url) -> product dicts as a DataFrame function, run in Arrow batches."""
-    import pyarrow as pa
-
-    def run(pages: DataFrame) -> DataFrame:
-        kind = pages.schema["page_id"].dataType.simpleString()
-        ddl = f"page_id {kind}, {PRODUCT_DDL}"
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = to_arrow_schema(_parse_datatype_string(ddl))
-
-        def batches(it):
-            for batch in it:
-                rows = []
-                for page in batch.to_pylist():
-                    for found in extract(page["html"], page["url"]):
-                        rows.append({"page_id": page["page_id"], **found})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        return pages.select("page_id", "url", "html").mapInArrow(batches, ddl)
-
-    return run
+def _python_products(pages: DataFrame, functions: dict[str, Callable[[str, str], list[dict]]]) -> DataFrame:
+    kind = pages.schema["page_id"].dataType.simpleString()
+    shape = unified(pages.limit(0).select("page_id"), "page_id").schema
+    arrow = to_arrow_schema(shape)
+    missing = {"rating": 0.0, "review_count": 0, "images": []}
 
+    def batches(it):
+        for batch in it:
+            rows = []
+            for page in batch.to_pylist():
+                for found in functions[page["site"]](page["html"], page["url"]):
+                    row = {n: missing.get(n, "") for n in arrow.names}
+                    rows.append({**row, **found, "page_id": page["page_id"]})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-__all__ = [
-    "Extractors", "TEMPLATE_DDL", "chain_products", "empty_content", "minimums", "python_extractor", "winning_steps",
-]
+    return pages.select("page_id", "site", "url", "html").mapInArrow(batches, f"page_id {kind}, {PRODUCT_DDL}")

@@ -299,7 +299,7 @@ def chain_rules(t: Tables):
 def empty_content(t: Tables):
     pages = jobs.classified(t("pages")).withColumn(
         "render", F.when(F.col("page_id") % 4 == 0, F.lit("other")).otherwise(F.lit("none")))
-    products = t("part").filter(_k() % 3 == 0).select(_k().alias("page_id"))
+    products = t("part").filter("p_size > 30").select(_k().alias("page_id"))
     return chain.empty_content(pages, products).select("page_id", "block_type")
 
 
@@ -340,7 +340,7 @@ CLEANED_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_partkey ||
 
 # ---- Templates -------------------------------------------------------------------------------
 
-KEYS_SQL = f"SELECT site, p_type AS page_type, max(p_partkey) AS hi, min(p_partkey) AS lo FROM (SELECT *, {REQUEST_SITE} AS site FROM part) x GROUP BY 1, 2"
+KEYS_SQL = f"SELECT site, p_type AS page_type, max(p_partkey) AS hi FROM (SELECT *, {REQUEST_SITE} AS site FROM part) x GROUP BY 1, 2"
 
 
 def resolved_templates(t: Tables):
@@ -351,7 +351,8 @@ def resolved_templates(t: Tables):
         return keys.filter(condition).select("site", "page_type", named.alias("template"))
 
     resolved = nodes.resolved_templates(
-        keys.withColumn("has_sample", F.col("lo") % 4 != 0), rows("hi % 3 = 0", "cached "), rows("hi % 2 = 0", "stored "))
+        keys.withColumn("has_sample", F.col("page_type") != "MEDIUM"), rows("page_type = 'SMALL'", "cached "),
+        rows("page_type IN ('SMALL', 'MEDIUM', 'LARGE')", "stored "))
     return resolved.select("site", "page_type", "origin", F.col("template.title_selector").alias("title_selector"),
                            F.col("template.price_selector").alias("price_selector"))
 
@@ -363,7 +364,7 @@ def _default_sql(field, site="site"):
     return f"CASE {site} {branches} ELSE {quoted(rest[field]) if field in rest else 'NULL'} END"
 
 
-RESOLVED_SQL = f"""WITH k AS ({KEYS_SQL}), o AS (SELECT *, CASE WHEN hi % 3 = 0 THEN 'cached' WHEN hi % 2 = 0 AND lo % 4 <> 0 THEN 'stored' ELSE 'default' END AS origin FROM k)
+RESOLVED_SQL = f"""WITH k AS ({KEYS_SQL}), o AS (SELECT *, CASE page_type WHEN 'SMALL' THEN 'cached' WHEN 'LARGE' THEN 'stored' ELSE 'default' END AS origin FROM k)
 SELECT site, page_type, origin, CASE WHEN origin = 'default' THEN {_default_sql('title_selector')} ELSE origin || ' ' || hi END AS title_selector,
   CASE WHEN origin = 'default' THEN {_default_sql('price_selector')} END AS price_selector FROM o"""
 
@@ -412,7 +413,7 @@ def python_rules(t: Tables):
         end = html.find("</h1>", start)
         return [{"source": "shop", "url": url, "title": html[start + 4:end]}] if start >= 0 else []
 
-    extractors.register("shop", "list", chain.python_extractor(headings))
+    extractors.register_python("shop", "list", headings)
     pages = t("pages").withColumn("site", F.when(F.col("page_id") % 2 == 0, F.lit("shop")).otherwise(F.lit("other")))
     return extractors.run(pages).select("page_id", "source", "url", "title", "price")
 
@@ -447,7 +448,7 @@ QUERIES = {
     "e16_capped_items": (capped_counts, f"SELECT {PAGE_SQL} AS page_id, least(20, count(*))::INT AS items FROM part GROUP BY 1"),
     "e17_empty_content": (empty_content, f"""WITH p AS (SELECT page_id, html, lower(html) AS t, 200 AS s FROM pages)
         SELECT page_id, 'empty_content' AS block_type FROM p WHERE {verdict_sql('s', 'html', 't', 'length(html)')} = 'none'
-        AND page_id % 4 <> 0 AND page_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)"""),
+        AND page_id % 4 <> 0 AND page_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 30)"""),
     "e18_unified_items": (unified_items, """SELECT p_partkey, '' AS source, '' AS url, p_name AS title, p_retailprice::VARCHAR AS price, '' AS currency,
         0.0::DOUBLE AS rating, 0 AS review_count, p_brand AS brand, '' AS description, 0 AS images, '' AS availability, '' AS asin,
         '' AS seller, '' AS shipping, '' AS category, '' AS extracted_at FROM part"""),

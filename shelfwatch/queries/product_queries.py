@@ -244,21 +244,21 @@ TEMPLATES = f"SELECT site, p_type AS page_type, max(p_partkey) AS hi FROM (SELEC
 
 def template_table(t: Tables):
     table = TemplateTable(t.spark, work_folder(t.spark, "templates"))
-    keys = t.view(TEMPLATES, "part").filter("hi % 4 = 0")
+    keys = t.view(TEMPLATES, "part")
 
     def rows(df, text):
         fields = [F.concat(F.lit(text), F.col("hi")).alias(f) if f == "title_selector" else F.lit("").alias(f) for f in TEMPLATE_FIELDS]
         return df.select("site", "page_type", *fields)
 
     table.save(rows(keys, "first "))
-    table.save(rows(keys.filter("hi % 3 = 0"), "second "))
-    table.delete(keys.filter("hi % 5 = 0"))
+    table.save(rows(keys.filter("page_type = 'SMALL'"), "second "))
+    table.delete(keys.filter("page_type = 'PROMO'"))
     return table.all().select("site", "page_type", "title_selector")
 
 
 def template_sites(t: Tables):
     table = TemplateTable(t.spark, work_folder(t.spark, "templates"))
-    keys = t.view(TEMPLATES, "part").filter("hi % 4 = 0")
+    keys = t.view(TEMPLATES, "part")
     table.save(keys.select("site", "page_type", *[F.lit("").alias(f) for f in TEMPLATE_FIELDS]))
     return table.sites()
 
@@ -281,6 +281,6 @@ QUERIES = {
     "s07_csv_products": (csv_products, f"{READ_BACK_SQL}, '2024-02-01' AS crawl_date FROM part"),
     "s08_run_dump": (run_dump, "SELECT 's' || (p_partkey % 5) AS source, count(*) AS n, count(*) AS n_csv FROM part GROUP BY 1"),
     "s09_template_table": (template_table, f"""WITH k AS ({TEMPLATES}) SELECT site, page_type,
-        CASE WHEN hi % 3 = 0 THEN 'second ' ELSE 'first ' END || hi AS title_selector FROM k WHERE hi % 4 = 0 AND hi % 5 <> 0"""),
-    "s09_template_sites": (template_sites, f"WITH k AS ({TEMPLATES}) SELECT DISTINCT site FROM k WHERE hi % 4 = 0"),
+        CASE page_type WHEN 'SMALL' THEN 'second ' ELSE 'first ' END || hi AS title_selector FROM k WHERE page_type <> 'PROMO'"""),
+    "s09_template_sites": (template_sites, f"WITH k AS ({TEMPLATES}) SELECT DISTINCT site FROM k"),
 }

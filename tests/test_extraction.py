@@ -96,3 +96,15 @@ def test_unregistered_site_uses_default_chain(spark):
     df = spark.createDataFrame([("menards",), ("ebay",), ("amazon",), ("x",)], "site string")
     got = {r[0]: tuple(r)[1:] for r in df.select("site", *chain.minimums(F.col("site")).values()).collect()}
     assert got == {"menards": (3, 5, None, 3), "ebay": (5, 5, 10, 3), "amazon": (None, 5, None, 3), "x": (3, 5, None, 3)}
+
+
+def test_user_extractors(spark):
+    found = chain.Extractors()
+    found.register_python("a", "list", lambda html, url: [{"title": html}, {"title": "second", "rating": 2.5}])
+    found.register_python("b", "list", lambda html, url: [{"title": "from b", "images": ["x"]}])
+    found.register("c", "list", lambda pages: pages.select("page_id", F.upper("html").alias("title")))
+    rows = [(1, "a", "u", "one"), (2, "b", "u", "two"), (3, "c", "u", "three"), (4, "d", "u", "four")]
+    df = spark.createDataFrame(rows, "page_id long, site string, url string, html string")
+    got = sorted((r.page_id, r.title, r.rating, r.images) for r in found.run(df).collect())
+    assert got == [(1, "one", 0.0, []), (1, "second", 2.5, []), (2, "from b", 0.0, ["x"]), (3, "THREE", 0.0, [])]
+    assert found.run(df, "detail").count() == 0

@@ -12,6 +12,7 @@ from shelfwatch.queries.tables import Tables
 from shelfwatch.rules.selectors import TEMPLATE_FIELDS
 from shelfwatch.session import JOB_CONF
 from shelfwatch.sources import attempt_log
+from shelfwatch.sources.pages import stream_pages
 from shelfwatch.sources.templates import TemplateTable
 from shelfwatch.streaming import attempt_streams as st
 
@@ -101,3 +102,18 @@ def test_late_rows_are_counted(spark, tmp_path):
     query = st.append_parquet(st.windowed_stats(stream, "ts"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
     assert st.dropped_rows(query) == 1
+
+
+def test_log_and_page_streams(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text('{"site": "amazon", "success": true, "timestamp": "2024-01-01T00:00:00"}\n\n{"site": "ebay"}\n')
+    query = st.append_parquet(st.stream_attempts(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination(60)
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("site").collect()
+    assert [(r.site, r.strategy_tier, str(r.event_time)) for r in rows] == [("amazon", 1, "2024-01-01 00:00:00"), ("ebay", 1, "None")]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    pages.write.parquet(str(tmp_path / "pages"))
+    landed = stream_pages(spark, str(tmp_path / "pages"), pages.schema)
+    query = st.append_parquet(jobs.classified(landed).drop("headers"), str(tmp_path / "verdicts"), str(tmp_path / "check2"))
+    query.awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "verdicts")).count() == pages.count()
