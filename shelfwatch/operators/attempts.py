@@ -95,8 +95,10 @@ def site_metrics(attempts: DataFrame, kept: int = M.RESPONSE_TIMES_KEPT) -> Data
     )
 
 
-def pacing(metrics: DataFrame) -> DataFrame:
-    """Timeout and delay recommendation from site metrics."""
+def pacing(
+    metrics: DataFrame, request_timeout: float = M.REQUEST_TIMEOUT, page_load_timeout: float = M.PAGE_LOAD_TIMEOUT
+) -> DataFrame:
+    """Timeout and delay recommendation from site metrics and the configured base timeouts."""
     rate, mean, total = F.col("success_rate"), F.col("avg_response_time"), F.col("total_requests")
     known = total >= 5
     by_rate = F.when(rate < 0.5, 2.0).when(rate < 0.8, 1.5).otherwise(1.0)
@@ -114,8 +116,8 @@ def pacing(metrics: DataFrame) -> DataFrame:
 
     return metrics.select(
         "*",
-        bounded(M.REQUEST_TIMEOUT, 5.0, 60.0).alias("request_timeout"),
-        bounded(M.PAGE_LOAD_TIMEOUT, 10.0, 120.0).alias("page_load_timeout"),
+        bounded(request_timeout, 5.0, 60.0).alias("request_timeout"),
+        bounded(page_load_timeout, 10.0, 120.0).alias("page_load_timeout"),
         seconds(low, 1).alias("delay_min"),
         seconds(high, 3).alias("delay_max"),
         F.when(known, F.least(F.lit(1.0), total / 20.0)).otherwise(F.lit(0.0)).alias("confidence"),

@@ -94,8 +94,9 @@ def distinct_within(
 class _LastRows(StatefulProcessor):
     """Keeps the newest rows of a key as (micros, id, value) and two counters, in one value.
 
-    Emits the whole kept state once per batch, so the newest emission of a (key, shard) is its
-    state. Rows arrive as key values and plain columns micros, row_id, value and success.
+    Emits once per batch the rows that entered the history in it, with the counters so far. A row is
+    emitted at most once, so a reader has the history by ranking what was emitted. Rows arrive as
+    key values and plain columns micros, row_id, value and success.
     """
 
     def __init__(self, kept: int, key_names: list[str]):
@@ -110,6 +111,7 @@ class _LastRows(StatefulProcessor):
         held = self.state.get()
         ok, bad, *columns = held if held is not None else (0, 0, [], [], [])
         micros, ids, values = (np.asarray(c, t) for c, t in zip(columns, (np.int64, np.int64, np.float64)))
+        new = np.zeros(len(micros), bool)
         for batch in rows:
             good = batch["success"].to_numpy(bool)
             ok += int(good.sum())
@@ -117,16 +119,17 @@ class _LastRows(StatefulProcessor):
             micros = np.concatenate([micros, batch["micros"].to_numpy(np.int64)[good]])
             ids = np.concatenate([ids, batch["row_id"].to_numpy(np.int64)[good]])
             values = np.concatenate([values, batch["value"].to_numpy(np.float64)[good]])
+            new = np.concatenate([new, np.ones(len(micros) - len(new), bool)])
             # Cut after every piece, so a long batch never piles up here.
             newest = np.lexsort((ids, micros))[-self.kept:]
-            micros, ids, values = micros[newest], ids[newest], values[newest]
-        state = (int(ok), int(bad), micros.tolist(), ids.tolist(), values.tolist())
-        self.state.update(state)
-        width = max(len(state[2]), 1)
+            micros, ids, values, new = micros[newest], ids[newest], values[newest], new[newest]
+        self.state.update((int(ok), int(bad), micros.tolist(), ids.tolist(), values.tolist()))
+        width = max(int(new.sum()), 1)
         yield pd.DataFrame({
             **{n: [v] * width for n, v in zip(self.key_names, key)},
-            "ok": [state[0]] * width, "bad": [state[1]] * width,
-            "micros": state[2] or [None], "row_id": state[3] or [None], "value": state[4] or [None],
+            "ok": [int(ok)] * width, "bad": [int(bad)] * width,
+            "micros": micros[new].tolist() or [None], "row_id": ids[new].tolist() or [None],
+            "value": values[new].tolist() or [None],
         })
 
     def close(self) -> None:
@@ -137,7 +140,7 @@ def last_rows_state(
     stream: DataFrame, keys: list[str], ts: str, row_id: str, value: str, kept: int, success: Column | None = None,
     shards: int = SHARDS,
 ) -> DataFrame:
-    """Rolling state per (keys, shard): the last rows and counters, emitted after each batch.
+    """Rolling state per (keys, shard): counters and the rows that entered the history, per batch.
 
     With success given, only successful rows enter the history; failures are counted alone.
     """
@@ -167,25 +170,20 @@ def history_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id", s
     return last_rows_state(stream, ["url"], ts, row_id, "latency_ms", M.ATTEMPTS_KEPT, shards=shards)
 
 
-def _current(emitted: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the newest emission of every (keys, shard): the one with the highest counters."""
-    names = [*keys, "shard"]
-    newest = emitted.groupBy(*names).agg(F.max(F.col("ok") + F.col("bad")).alias("_seen"))
-    return emitted.join(newest, names).filter(F.col("ok") + F.col("bad") == F.col("_seen")).drop("_seen")
-
-
 def merged_history(emitted: DataFrame, keys: list[str], kept: int) -> DataFrame:
-    """Last rows per key out of the emitted shard states, newest first as history_rank 1."""
-    rows = _current(emitted, keys).filter(F.col("row_id").isNotNull())
-    return top_rows(rows.select(*keys, "micros", "row_id", "value"), keys, ["micros", "row_id"], kept, rank="history_rank")
+    """Last rows per key out of all emitted ones, newest first as history_rank 1."""
+    rows = emitted.filter(F.col("row_id").isNotNull()).select(*keys, "micros", "row_id", "value")
+    return top_rows(rows, keys, ["micros", "row_id"], kept, rank="history_rank")
 
 
 def merged_metrics(emitted: DataFrame) -> DataFrame:
-    """Per site: mean seconds of the last successes, success rate and counts."""
-    current = _current(emitted, ["site"])
+    """Per site: mean seconds of the last successes, success rate and counts.
+
+    Counters only grow, so a shard's newest ones are its largest.
+    """
     counts = (
-        current.select("site", "shard", "ok", "bad").distinct().groupBy("site")
-        .agg(F.sum("ok").alias("success_count"), F.sum("bad").alias("failure_count"))
+        emitted.groupBy("site", "shard").agg(F.max("ok").alias("ok"), F.max("bad").alias("bad"))
+        .groupBy("site").agg(F.sum("ok").alias("success_count"), F.sum("bad").alias("failure_count"))
     )
     means = merged_history(emitted, ["site"], M.RESPONSE_TIMES_KEPT).groupBy("site").agg(
         (F.avg("value") / 1000).alias("mean")
