@@ -118,13 +118,20 @@ def first_indicator(lowered: Column) -> Column:
     return first_case([(lowered.contains(w), found(True, m)) for w, m in P.INDICATORS], found(False, ""))
 
 
-def vendor_label(lowered: Column, headers: Column | None = None, vendors: list[str] | None = None) -> Column:
-    """First vendor with a signature in the text or the headers (a map), "" for none."""
-    seen = lowered
-    if headers is not None:
-        seen = F.concat(lowered, F.lower(F.coalesce(F.to_json(headers), F.lit(""))))
+def with_header_text(df: DataFrame, headers: str = "headers", name: str = "header_text") -> DataFrame:
+    """Headers (a map) as lowercased JSON text, in a projection of its own."""
+    return df.withColumn(name, F.lower(F.coalesce(F.to_json(headers), F.lit(""))))
+
+
+def vendor_label(lowered: Column, header_text: Column | None = None, vendors: list[str] | None = None) -> Column:
+    """First vendor with a signature in the lowercased text or header text, "" for none."""
+
+    def seen(signatures):
+        in_text = any_of(lowered, signatures)
+        return in_text if header_text is None else any_of(header_text, signatures) | in_text
+
     rules = [(v, s) for v, s in P.VENDOR_SIGNATURES if vendors is None or v in vendors]
-    return first_case([(any_of(seen, s), F.lit(v)) for v, s in rules], F.lit(""))
+    return first_case([(seen(s), F.lit(v)) for v, s in rules], F.lit(""))
 
 
 def block_reason(status: Column, text: Column, lowered: Column, vendor: Column) -> Column:

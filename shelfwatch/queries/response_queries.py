@@ -87,11 +87,16 @@ def first_indicator(t: Tables):
     return _responses(t).select("doc_id", fr.first_indicator(F.col("lowered")).alias("v")).select("doc_id", "v.*")
 
 
+def _with_headers(t: Tables):
+    named = _responses(t).withColumn("headers", F.create_map(F.lit("server"), F.col("server")))
+    return fr.with_header_text(named)
+
+
 def vendor_labels(t: Tables):
-    headers = F.create_map(F.lit("server"), F.col("server"))
-    return _responses(t).select(
-        "doc_id", fr.vendor_label(F.col("lowered"), headers).alias("vendor"),
-        fr.vendor_label(F.col("lowered"), headers, P.SHORT_VENDORS).alias("short_vendor"),
+    seen = F.col("lowered"), F.col("header_text")
+    return _with_headers(t).select(
+        "doc_id", fr.vendor_label(*seen).alias("vendor"),
+        fr.vendor_label(*seen, P.SHORT_VENDORS).alias("short_vendor"),
     )
 
 
@@ -102,9 +107,9 @@ def vendor_sql(short=False):
 
 
 def block_reasons(t: Tables):
-    vendor = fr.vendor_label(F.col("lowered"), F.create_map(F.lit("server"), F.col("server")))
+    vendor = fr.vendor_label(F.col("lowered"), F.col("header_text"))
     status = F.coalesce(F.col("status_code"), F.lit(0))
-    return _responses(t).withColumn("vendor", vendor).select(
+    return _with_headers(t).withColumn("vendor", vendor).select(
         "doc_id", fr.block_reason(status, F.col("text"), F.col("lowered"), F.col("vendor")).alias("reason"))
 
 

@@ -48,8 +48,7 @@ def test_content_length_counts_on_its_own(spark):
     ("px-captcha", "", "perimeterx"), ("", "BIG-IP", "f5_asm"), ("cloudflare incapsula", "", "incapsula"), ("plain", "nginx", ""),
 ])
 def test_vendor_label(spark, text, header, vendor):
-    headers = F.create_map(F.lit("server"), F.col("header"))
-    assert one(spark, fr.vendor_label(F.lower("text"), headers), text=text, header=header) == vendor
+    assert one(spark, fr.vendor_label(F.lower("text"), F.lower("header")), text=text, header=header) == vendor
 
 
 @pytest.mark.parametrize("status, text, vendor, reason", [
