@@ -1,7 +1,8 @@
 """A small node tree and selector matcher for use inside Arrow batches.
 
-Covers what the selector rules use: tag, .class, #id, [attr], [attr='v'], [attr*='v'], compounds of
-these, descendant and child steps, and comma lists. Everything after node selection is Catalyst.
+Covers tag, .class, #id, [attr] with =, *=, ^=, $= and ~=, compounds of these, descendant, child and
+sibling steps, and comma lists; pseudo-classes are not covered. Everything after node selection is
+Catalyst.
 """
 
 import re
@@ -13,12 +14,20 @@ VOID_TAGS = {
 }
 HIDDEN_TAGS = {"script", "style", "template"}
 TOKEN = re.compile(
-    r"""\s*(?P<step>>)\s*|(?P<gap>\s+)|(?P<tag>[A-Za-z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
-    r"""|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>\*?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]""",
+    r"""\s*(?P<step>[>+~])\s*|(?P<gap>\s+)|(?P<tag>[A-Za-z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)"""
+    r"""|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]""",
     re.X,
 )
 
 
+ATTRIBUTE_TESTS = {
+    "*=": lambda have, value: value in have,
+    "^=": str.startswith,
+    "$=": str.endswith,
+    "~=": lambda have, value: value in have.split(),
+}
+
+
 class Node:
     __slots__ = ("tag", "attrs", "classes", "parent", "parts")
 
@@ -138,26 +147,37 @@ def _passes(node, tests):
         elif kind == "=":
             ok = node.attrs.get(name) == value
         else:
-            ok = bool(value) and value in node.attrs.get(name, "")
+            ok = bool(value) and name in node.attrs and ATTRIBUTE_TESTS[kind](node.attrs[name], value)
         if not ok:
             return False
     return True
 
 
+def _related(node, combinator):
+    """Nodes a step may continue at, nearest first."""
+    if combinator in "+~":
+        before = []
+        for part in node.parent.parts:
+            if part is node:
+                break
+            if isinstance(part, Node):
+                before.append(part)
+        before.reverse()
+        return before[:1] if combinator == "+" else before
+    above, found = node.parent, []
+    while above is not None and above.tag:
+        found.append(above)
+        if combinator == ">":
+            break
+        above = above.parent
+    return found
+
+
 def _matches(node, steps):
     combinator, tests = steps[-1]
     if not _passes(node, tests):
         return False
-    if len(steps) == 1:
-        return True
-    above = node.parent
-    while above is not None and above.tag:
-        if _matches(above, steps[:-1]):
-            return True
-        if combinator == ">":
-            return False
-        above = above.parent
-    return False
+    return len(steps) == 1 or any(_matches(other, steps[:-1]) for other in _related(node, combinator))
 
 
 def _any_match(node, alternatives):

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.urls import is_product_api, site_by_brand
 from shelfwatch.operators.items import item, item_rows, no_items
 
-LD_JSON = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script"""
+# Comments and scripts are taken as whole tokens, so a script inside a comment is no script and a
+# comment mark inside a script is no comment.
+TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script"
+LD_JSON = (
+    r"""(?is)^<script\b[^>]*\stype\s*=\s*(?-i:"application/ld\+json"|'application/ld\+json'|"""
+    r"""application/ld\+json(?=[\s>]))[^>]*>(.*)</script$"""
+)
 PAYLOAD_KEYS = ["products", "items", "results"]
 # Steps walked in turn, each only where the ones before left something unsettled. The last is the
 # JSON parser's own nesting limit, so a walk always ends.
@@ -52,8 +58,12 @@ def _json_ld_candidates(html: Column, url: Column) -> Column:
 
     A block that is no JSON is skipped whole; a list element that is no product is skipped alone.
     """
-    blocks = F.regexp_extract_all(html, F.lit(LD_JSON), 1)
-    parsed = F.transform(blocks, F.try_parse_json)
+    # Most pages have no such block; a byte search spares them the regex.
+    tokens = F.when(html.contains("ld+json"), F.regexp_extract_all(html, F.lit(TOKEN), 0)).otherwise(
+        F.array().cast("array<string>")
+    )
+    blocks = F.filter(tokens, lambda b: b.rlike(LD_JSON))
+    parsed = F.transform(blocks, lambda b: F.try_parse_json(F.regexp_extract(b, LD_JSON, 1)))
     entries = F.flatten(F.transform(parsed, lambda v: F.coalesce(_elements(v), F.array(v))))
 
     def product(v):

@@ -14,6 +14,8 @@ PAGE = """<html><body><ul id="main" class="list wide"><li class="product a" data
     ("li", 2), ("li.product", 1), ("#main > li", 2), ("ul li h2", 2), ("body > li", 0), ("[data-asin]", 1),
     ("[data-asin='1']", 1), ('[class*="wid"]', 1), ("div[itemtype*='Product']", 1), ("h2, span", 3), ("li.product.a", 1),
     (".list.wide .price", 1), ("img[src=a.png]", 1), ("[class*='']", 0),
+    ("li.product + li", 1), ("h2 ~ img", 1), ("h2 + img", 0), ("[class^=list]", 1), ("[class$='wide']", 1),
+    ("[class~=wide]", 1), ("[class~=wid]", 0), ("ul li.other > h2 ~ br + img", 1), ("h2 > b, h2 + span", 2),
 ])
 def test_selectors(selector, count):
     assert len(dom.select(dom.parse(PAGE), selector)) == count
@@ -25,7 +27,7 @@ def test_text_skips_scripts_and_joins_stripped_strings():
     assert item.content().startswith("One & two")
 
 
-@pytest.mark.parametrize("selector", ["a:hover", "a + b", ""])
+@pytest.mark.parametrize("selector", ["a:hover", "a ! b", ""])
 def test_unsupported_selectors_raise(selector):
     with pytest.raises(ValueError):
         dom.compile_selector(selector)
@@ -54,10 +56,15 @@ def test_json_ld_shapes(spark):
     html = """<script type="application/ld+json">{"@type":"Product","name":"Solo","offers":[],"brand":7,"image":["i.png"]}</script>
     <script data-x="1" type='application/ld+json'>[3, null, "s", {"@type":["Product"],"name":"list type"},
       {"@type":"Product","name":"Solo","offers":{"price":"9"}}, {"@type":"Product","name":"Two","offers":{"price":9.50,"priceCurrency":"USD"},
-      "brand":{"name":"B"},"image":{"url":"x"}}]</script><script type="text/javascript">{"@type":"Product","name":"no"}</script>"""
+      "brand":{"name":"B"},"image":{"url":"x"}}]</script><script type="text/javascript">{"@type":"Product","name":"no"}</script>
+    <!-- <script type="application/ld+json">{"@type":"Product","name":"commented"}</script> -->
+    <script>if (a <!--b) {}</script><script data-type="application/ld+json">{"@type":"Product","name":"other attribute"}</script>
+    <script type="application/ld+json; v=1">{"@type":"Product","name":"other type"}</script>
+    <script async type=application/ld+json>{"@type":"Product","name":"Three","offers":null}</SCRIPT>"""
     df = spark.createDataFrame([(1, "https://www.ebay.com/x", html)], "page_id long, url string, html string")
     got = [(r.pos, r.source, r.title, r.price, r.brand, r.images) for r in structured.json_ld_products(df).orderBy("pos").collect()]
-    assert got == [(0, "ebay", "Solo", "", "", ["i.png"]), (1, "ebay", "Two", "USD 9.5", "B", [])]
+    assert got == [(0, "ebay", "Solo", "", "", ["i.png"]), (1, "ebay", "Two", "USD 9.5", "B", []),
+                   (2, "ebay", "Three", "", "", [])]
 
 
 def deep(levels):
