@@ -5,7 +5,8 @@ fixed time slots; each (key, slot) is windowed on its own and a small per-slot s
 what a slot needs from earlier ones. Results equal the plain window exactly. Rows are shuffled
 once by (key, slot); only summaries are shuffled by key.
 
-Keys must be non-null (missing text is "" in the schemas) and (ts, tie) must order a key's rows.
+(ts, tie) must order a key's rows. A missing key reads as "" or 0, as in the table schemas, so the
+joins on keys lose no row; a missing time comes first.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,17 @@ from pyspark.sql import functions as F
 SLOT = "_slot"
 
 
-def with_slot(df: DataFrame, ts: str, slot_seconds: int) -> DataFrame:
-    """Start of the row's time slot, in microseconds."""
+BEFORE_ALL_SLOTS = -(2**62)
+
+
+def with_slot(df: DataFrame, keys: list[str], ts: str, slot_seconds: int) -> DataFrame:
+    """Fill missing keys and add the start of the row's time slot, in microseconds."""
+    types = dict(df.dtypes)
+    for key in keys:
+        df = df.withColumn(key, F.coalesce(F.col(key), F.lit("" if types[key] == "string" else 0).cast(types[key])))
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumn(SLOT, micros - F.pmod(micros, F.lit(slot_seconds * 1_000_000)))
+    slot = micros - F.pmod(micros, F.lit(slot_seconds * 1_000_000))
+    return df.withColumn(SLOT, F.coalesce(slot, F.lit(BEFORE_ALL_SLOTS)))
 
 
 def _order(columns: list[str], newest: bool) -> list[Column]:
@@ -56,7 +64,7 @@ def positions(
     df: DataFrame, keys: list[str], ts: str, tie: str, name: str = "position", slot_seconds: int = 3600
 ) -> DataFrame:
     """Row number per key in time order, starting at 1."""
-    slotted = with_slot(df, ts, slot_seconds)
+    slotted = with_slot(df, keys, ts, slot_seconds)
     earlier = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         slotted.groupBy(*keys, SLOT)
@@ -81,7 +89,7 @@ def rolling_mean(
     The summary of a slot is its last n - 1 rows; a slot's carry-in is the last n - 1 rows of all
     earlier summaries, found in the n - 1 slots before it since no kept slot is empty.
     """
-    rows = with_slot(df, ts, slot_seconds)
+    rows = with_slot(df, keys, ts, slot_seconds)
     entry = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))
     tails = (
         top_rows(rows.select(*keys, SLOT, ts, tie, value), [*keys, SLOT], [ts, tie], n - 1, shards=1)
@@ -124,13 +132,13 @@ def as_of_each(
     """
     places = {name: f"_new_{i}" for i, name in enumerate(sources)}
     newest = F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v"))
-    looked = with_slot(lookups, ts, slot_seconds).withColumn("_is_value", F.lit(0))
+    looked = with_slot(lookups, keys, ts, slot_seconds).withColumn("_is_value", F.lit(0))
     rows = looked
     # Slots of lookups are in the carry table too, with NULL summaries, so each finds its carry-in.
     slots = looked.select(*keys, SLOT)
     for name, values in sources.items():
         given = with_slot(
-            values.select(*keys, ts, tie, value).filter(F.col(value).isNotNull()), ts, slot_seconds
+            values.select(*keys, ts, tie, value).filter(F.col(value).isNotNull()), keys, ts, slot_seconds
         ).select(*keys, ts, tie, SLOT, newest.alias(places[name]), F.lit(1).alias("_is_value"))
         rows = rows.unionByName(given, allowMissingColumns=True)
         slots = slots.unionByName(given.select(*keys, SLOT, places[name]), allowMissingColumns=True)

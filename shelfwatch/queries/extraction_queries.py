@@ -172,7 +172,7 @@ def template_products(t: Tables):
 TEMPLATE_SQL = f"""
 WITH n AS (SELECT *, {PAGE_SQL} AS page_id, row_number() OVER (PARTITION BY {PAGE_SQL} ORDER BY p_partkey) AS r,
            {PAGE_SQL} % 3 AS s FROM part)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) - 1 AS pos,
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) - 1)::INT AS pos,
   CASE s WHEN 0 THEN 'amazon' WHEN 1 THEN 'walmart' ELSE 'shop' END AS source,
   CASE s WHEN 0 THEN 'https://www.amazon.com/dp/' || p_partkey || '?x=1' WHEN 1 THEN 'https://www.walmart.com/ip/' || p_partkey
          ELSE 'https://shop.example.com/product/' || p_partkey END AS url, p_name AS title,

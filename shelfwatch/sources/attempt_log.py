@@ -12,7 +12,7 @@ CORRUPT = "_corrupt_line"
 def backfilled(lines: DataFrame) -> DataFrame:
     """Missing keys filled with their typed defaults; the timestamp text parsed beside it."""
     numbers = {"status_code": 0, "full_html_size": 0, "strategy_tier": 1, "ip_rotation_count": 0}
-    texts = ["waf_detected", "human_friendly_summary"]
+    texts = ["site", "page_pattern", "url", "block_type", "response_snippet", "waf_detected", "human_friendly_summary"]
     out = lines
     for name, value in numbers.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))

@@ -70,7 +70,7 @@ def test_log_reading(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"site": "ebay", "success": false, "status_code": 403}\nnot json\n')
     (tmp_path / "c.txt").write_text('{"site": "ignored"}\n')
     lines = attempt_log.in_file_order(attempt_log.read_attempts(spark, str(tmp_path))).collect()
-    assert [(r.site, r.status_code, r.strategy_tier) for r in lines] == [("ebay", 403, 1), (None, 0, 1), ("amazon", 0, 1)]
+    assert [(r.site, r.status_code, r.strategy_tier) for r in lines] == [("ebay", 403, 1), ("", 0, 1), ("amazon", 0, 1)]
     assert lines[1][attempt_log.CORRUPT] == "not json"
     with pytest.raises(Exception):
         attempt_log.read_attempts(spark, str(tmp_path), strict=True).collect()

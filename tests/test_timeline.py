@@ -96,3 +96,14 @@ def test_shared_verdict_of_first_response(spark):
     df = spark.createDataFrame(data, "id long, status_code int, text string")
     got = {r.id: r.verdict.block_type for r in shared_verdicts(df, "id").collect()}
     assert got == {1: "none", 2: "none", 3: "none", 4: "http_timeout", 5: "bot_detected"}
+
+
+def test_missing_keys_and_times_keep_their_rows(spark):
+    data = [(1, None, 5), (2, None, 3), (3, "a", None), (4, "a", 1), (5, None, None)]
+    df = spark.createDataFrame(data, "n int, key string, second int").withColumn("ts", F.timestamp_seconds("second"))
+    got = {r.n: (r.key, r.p) for r in tl.positions(df, ["key"], "ts", "n", "p", 2).collect()}
+    assert got == {1: ("", 3), 2: ("", 2), 3: ("a", 1), 4: ("a", 2), 5: ("", 1)}
+    means = {r.n: r.m for r in tl.rolling_mean(df.withColumn("v", F.col("n") * 1.0), ["key"], "ts", "n", "v", 2, "m", 2).collect()}
+    assert means == {5: 5.0, 2: 3.5, 1: 1.5, 3: 3.0, 4: 3.5}
+    found = {r.n: r.n_before for r in tl.as_of(df, df, ["key"], "ts", "n", "n", None, "n_before", 2).collect()}
+    assert found == {5: None, 2: 5, 1: 2, 3: None, 4: 3}
