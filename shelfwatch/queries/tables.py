@@ -5,6 +5,8 @@ of the SQL twin. Every derived page holds a fixed number of parts, so pages stay
 number grows with the data.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def view(self, sql: str, *names: str) -> DataFrame:
-        """Run a shared SQL text over the named tables."""
-        for name in names:
-            self(name).createOrReplaceTempView(name)
-        return self.spark.sql(sql)
+    def view(self, sql: str, name: str, table: DataFrame | None = None) -> DataFrame:
+        """Run a shared SQL text over the named table, or over a frame that stands for it."""
+        over_frame = re.sub(rf"\bFROM {name}\b", f"FROM {{{name}}}", sql)
+        return self.spark.sql(over_frame, **{name: self(name) if table is None else table})
 
     def attempts(self) -> DataFrame:
         return self.view(ATTEMPTS, "events")

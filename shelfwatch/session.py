@@ -13,7 +13,8 @@ JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Of a repeated JSON key the last one counts, as in most JSON readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Pages are large rows: keep Arrow batches small in rows, the byte limit still applies.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.streaming.stateStore.providerClass":

@@ -75,7 +75,7 @@ def deep(levels):
     ('{"products":[{"@type":"Product","name":"a"},{"x":1},[{"results":{"@type":"Product","name":"b"}}]]}', ["a", "b"]),
     ('{"products":null,"items":[{"@type":"Product","name":"hidden"}]}', []),
     ('{"@type":"Product","name":"top","items":[]}', []), ("[]", []), ("broken", []), ("5", []),
-    (deep(3), ["deep"]), (deep(30), ["deep"]), (deep(300), ["deep"]),
+    ('{"products":[],"products":{"@type":"Product","name":"last key"}}', ["last key"]), (deep(3), ["deep"]), (deep(30), ["deep"]), (deep(300), ["deep"]),
 ])
 def test_payload_walk(spark, body, names):
     df = spark.createDataFrame([(1, body)], "page_id long, body string")
