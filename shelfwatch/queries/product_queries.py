@@ -182,7 +182,7 @@ def append_log(t: Tables):
     a = t.attempts().select(F.col("event_id").cast("string").alias("trace_id"), "site", "success", "latency_ms")
     attempt_log.append_attempts(a.filter("success"), folder)
     attempt_log.append_attempts(a.filter("NOT success"), folder)
-    back = attempt_log.in_file_order(attempt_log.read_attempts(t.spark, folder, pattern="*.json"))
+    back = attempt_log.in_file_order(attempt_log.read_attempts(t.spark, folder))
     return back.groupBy("site", "success").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
 
 
@@ -234,7 +234,7 @@ def run_dump(t: Tables):
     folder = work_folder(t.spark, "run")
     product_files.write_run(_products(t), folder)
     back = product_files.read_products_json(t.spark, f"{folder}/json")
-    from_csv = product_files.read_products_csv(t.spark, f"{folder}/csv")
+    from_csv = product_files.read_products_csv(t.spark, f"{folder}/csv", dated=False)
     return back.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(
         from_csv.groupBy("source").agg(F.count(F.lit(1)).alias("n_csv")), "source")
 

@@ -7,6 +7,8 @@ from shelfwatch.functions.responses import sample
 from shelfwatch.schemas import ATTEMPT_LINE_DDL
 
 CORRUPT = "_corrupt_line"
+# Crawlers leave .jsonl files; Spark's own JSON writer names its files .json.
+LOG_FILES = "*.{jsonl,json}"
 
 
 def backfilled(lines: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def backfilled(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_attempts(spark: SparkSession, path: str, strict: bool = False, pattern: str = "*.jsonl") -> DataFrame:
+def read_attempts(spark: SparkSession, path: str, strict: bool = False, pattern: str = LOG_FILES) -> DataFrame:
     """All files of a folder that match the pattern. Blank lines are skipped.
 
     strict raises at the first bad line. Otherwise bad lines come back with their text in

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 from shelfwatch.schemas import PRODUCT_DDL
 
+# Text is kept as it is: blanks at the ends, quotes, and "" apart from NULL.
+CSV_FORMAT = {
+    "header": True, "escape": '"', "nullValue": "\u0000",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
 
 def _dated(products: DataFrame, crawl_date: Column | None) -> DataFrame:
     date = F.current_date() if crawl_date is None else crawl_date
@@ -28,27 +34,24 @@ def write_products_json(products: DataFrame, path: str, crawl_date: Column | Non
 def write_products_csv(products: DataFrame, path: str, crawl_date: Column | None = None, mode: str = "append") -> None:
     """CSV with a header in every file; images as JSON text."""
     flat = products.withColumn("images", F.to_json("images"))
-    _dated(flat, crawl_date).write.mode(mode).option("header", True).option("escape", '"').partitionBy(
-        "source", "crawl_date"
-    ).csv(path)
+    _dated(flat, crawl_date).write.mode(mode).options(**CSV_FORMAT).partitionBy("source", "crawl_date").csv(path)
 
 
 def write_run(products: DataFrame, folder: str) -> None:
     """The whole run as JSON lines and as CSV."""
     products.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/json")
-    products.withColumn("images", F.to_json("images")).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(f"{folder}/csv")
+    products.withColumn("images", F.to_json("images")).write.mode("overwrite").options(**CSV_FORMAT).csv(f"{folder}/csv")
 
 
 def read_products_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{PRODUCT_DDL}, crawl_date string").json(path)
 
 
-def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
-    flat = PRODUCT_DDL.replace("images array<string>", "images string")
-    schema = f"{flat}, crawl_date string" if "crawl_date" not in flat else flat
-    return (
-        spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False)
-        .csv(path).withColumn("images", F.from_json("images", "array<string>"))
-    )
+def read_products_csv(spark: SparkSession, path: str, dated: bool = True) -> DataFrame:
+    """Products back from CSV; dated for the site and date folders, else for a run's own dump.
+
+    Text may hold line breaks, so a file is read by one task; the writers keep files small.
+    """
+    schema = (f"{PRODUCT_DDL}, crawl_date string" if dated else PRODUCT_DDL).replace("images array<string>", "images string")
+    flat = spark.read.schema(schema).options(**CSV_FORMAT, multiLine=True, enforceSchema=False).csv(path)
+    return flat.withColumn("images", F.from_json("images", "array<string>"))

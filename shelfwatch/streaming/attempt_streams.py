@@ -18,7 +18,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from shelfwatch.operators.timeline import top_rows
 from shelfwatch.rules import modules as M
-from shelfwatch.sources.attempt_log import ATTEMPT_LINE_DDL, backfilled
+from shelfwatch.sources.attempt_log import ATTEMPT_LINE_DDL, LOG_FILES, backfilled
 
 SHARDS = 16
 
@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def stream_attempts(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Attempt rows as JSON lines files land in the log folder."""
     return backfilled(
-        spark.readStream.schema(ATTEMPT_LINE_DDL).option("pathGlobFilter", "*.jsonl")
+        spark.readStream.schema(ATTEMPT_LINE_DDL).option("pathGlobFilter", LOG_FILES)
         .option("maxFilesPerTrigger", files_per_trigger).json(path)
     )
 
