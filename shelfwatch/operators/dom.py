@@ -6,6 +6,7 @@ Catalyst.
 """
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -70,6 +71,7 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
         values = {}
@@ -79,16 +81,21 @@ class _Builder(HTMLParser):
         self.at.parts.append(node)
         if tag not in VOID_TAGS:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.at = self.at.parent
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.at.closest((tag,))
-        if node is not None:
-            self.at = node.parent
+        """Close the nearest open tag of this name and all within; a stray end tag is ignored."""
+        if not self.open[tag]:
+            return
+        closed = None
+        while closed != tag:
+            closed = self.at.tag
+            self.open[closed] -= 1
+            self.at = self.at.parent
 
     def handle_data(self, data):
         parts = self.at.parts

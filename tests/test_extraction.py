@@ -115,3 +115,11 @@ def test_user_extractors(spark):
     got = sorted((r.page_id, r.title, r.rating, r.images) for r in found.run(df).collect())
     assert got == [(1, "one", 0.0, []), (1, "second", 2.5, []), (2, "from b", 0.0, ["x"]), (3, "THREE", 0.0, [])]
     assert found.run(df, "detail").count() == 0
+
+
+def test_stray_and_unclosed_tags():
+    root = dom.parse("<div><p>a</b></i><br/><span/>b</div>c</div><p>d")
+    assert [n.tag for n in root.walk()] == ["div", "p", "br", "span", "p"]
+    assert dom.first(root.walk(), "div").text() == "ab" and root.text() == "abcd"
+    deep = dom.parse("<li><a>x</b></i>" * 20000)  # nothing here is ever closed
+    assert sum(1 for _ in deep.walk()) == 40000
