@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 import traceback
@@ -57,7 +58,7 @@ def compare(spark_df, con, sql):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
     from shelfwatch.session import local_session
 
