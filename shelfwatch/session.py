@@ -30,7 +30,6 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
 
@@ -49,15 +48,17 @@ def ship_package(spark: SparkSession) -> None:
     spark.conf.set("shelfwatch.shipped", "true")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder the cluster names.
+def work_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A new folder for a written table, below `base` or the shared folder in spark.checkpoint.dir.
 
-    Where the setting is absent, as in a bare local test, it is set to a temporary folder once.
+    A cluster must name one of them. Only a local session, whose tasks all run in this process, may
+    name neither; it then works below the machine's temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shelfwatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a shared folder for written tables: set spark.checkpoint.dir or pass one")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/shelfwatch/{name}-{uuid.uuid4().hex}"
 
 
