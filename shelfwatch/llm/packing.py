@@ -11,6 +11,7 @@ Defined results: a NULL or empty text is the end token alone; repeated rows are
 kept; an empty table gives no pieces.
 """
 
+import functools
 import re
 import zlib
 from collections import defaultdict
@@ -41,22 +42,42 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As _encoded for single words, in lines of many; a word's last token says that it is the last."""
+        out = []
+        for at in range(0, len(words), 512):
+            ids = self._encoded([" ".join(words[at : at + 512])])[0]
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [_WORD.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
         new = set()
         for words in plain:
             new.update(words or ())
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, self._encoded(new), strict=True))
+        new = list(new.difference(self.known))
+        self.known.update(zip(new, self._words(new), strict=True))
         get = self.known.__getitem__
-        return [self._encoded([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain, strict=True)]
+        out = [self._encoded([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, plain, strict=True)]
+        if len(self.known) > CACHED_WORDS:  # full: this call's new words are not kept
+            for w in new:
+                del self.known[w]
+        return out
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, which serves many tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
@@ -64,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     end = np.asarray([END], "<u4").tobytes()
 
     def cut(batches):
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
