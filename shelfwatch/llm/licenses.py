@@ -14,7 +14,7 @@ words has no pair and no label. The templates are fixed in this module, so their
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import steps, text_key, text_of, words_of
+from shelfwatch.llm.common import saved, steps, text_key, text_of, words_of
 
 # What separates words, base phrases with labels, and license wording with labels.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -71,7 +71,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """Finds: doc_id, _key, label, base, first_word, share. Base finds are exact places."""
     by = ["doc_id", "_key", "template", "label", "base", "size"]
     # Repeated rows vote once: places are counted as a set, at most a template long.
-    voted = hits(docs).groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places"))
+    voted = saved(hits(docs).groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places")), "license-votes")
     base = voted.filter("base AND size(places) = size - 1").select(
         "doc_id", "_key", "label", "base", F.col("diagonal").cast("long").alias("first_word"), F.lit(1.0).alias("share")
     )
