@@ -13,11 +13,17 @@ from shelfwatch.rules import phrases as P
 
 
 def with_lowered(df: DataFrame, text: str = "text", name: str = "lowered") -> DataFrame:
-    return df.withColumn(name, F.lower(F.col(text)))
+    return df.withColumn(name, F.lower(_text(F.col(text))))
+
+
+def _text(text: Column) -> Column:
+    """A response without a text is an empty one."""
+    return F.coalesce(text, F.lit(""))
 
 
 def content_verdict(status: Column, text: Column, lowered: Column, content_length: Column) -> Column:
     """Verdict name: status rules, listing markers, phrases, then size. "none" is real content."""
+    text, lowered = _text(text), _text(lowered)
     challenge = [p for p in P.CHALLENGE_PHRASES if p not in P.IGNORED_WHEN_LONG]
     short = (F.length(text) < P.SHORT_TEXT_CHARS) | (content_length < P.SHORT_BODY_CHARS)
     return first_case(
@@ -37,7 +43,7 @@ def content_verdict(status: Column, text: Column, lowered: Column, content_lengt
 
 def text_verdict(status: Column, text: Column, lowered: Column) -> Column:
     """content_verdict with the text length as content length."""
-    return content_verdict(status, text, lowered, F.length(text))
+    return content_verdict(status, text, lowered, F.length(_text(text)))
 
 
 def _status_branches(status: Column) -> list:
@@ -49,7 +55,7 @@ def _status_branches(status: Column) -> list:
 
 def status_verdict(status: Column, text: Column, is_html: Column) -> Column:
     """Verdict from the status, plus the size of html responses; "" when not blocked."""
-    small = is_html & (F.length(text) < P.SHORT_TEXT_CHARS)
+    small = is_html & (F.length(_text(text)) < P.SHORT_TEXT_CHARS)
     return first_case([*_status_branches(status), (small, F.lit("empty_response"))], F.lit(""))
 
 
@@ -81,6 +87,7 @@ REASONED_OUTCOMES = [
 
 def reasoned_code(status: Column, text: Column, lowered: Column) -> Column:
     """Code of the reasoned verdict: a small integer, cheap to aggregate and shuffle."""
+    text, lowered = _text(text), _text(lowered)
     interstitial = any_of(lowered, ["cloudflare", "cf-challenge", "checking your browser"])
     waiting = any_of(lowered, ["attention required", "just a moment"])
     human = any_of(lowered, ["verify you are human", "i am not a robot"])

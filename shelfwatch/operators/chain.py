@@ -35,11 +35,13 @@ def minimums(site: Column) -> dict[str, Column]:
     return out
 
 
-def winning_steps(pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def winning_steps(
+    pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None, limit: int | None = None
+) -> DataFrame:
     """One row per page: the winning step, its method and its items (payload items stay apart).
 
     pages has page_id, url and html, optionally site and template. payloads holds product rows by
-    page_id.
+    page_id. limit caps the template items of a page, none by default.
     """
     keep = keep or ["page_id"]
     if "site" not in pages.columns:
@@ -56,7 +58,7 @@ def winning_steps(pages: DataFrame, payloads: DataFrame | None = None, keep: lis
     local = with_nodes(local, F.when(~reached("json_ld", F.size("_ld")), F.col("html"))).select(
         *keep, "url", "site", "_ld",
         F.coalesce(profile_items(F.col("nodes.profile"), F.coalesce("site", F.lit(""))), no_items()).alias("_profile"),
-        F.coalesce(template_items(F.col("nodes.css"), F.col("url")), no_items()).alias("_css"),
+        F.coalesce(template_items(F.col("nodes.css"), F.col("url"), limit), no_items()).alias("_css"),
     )
     if payloads is None:
         local = local.withColumn("_payload_count", F.lit(0))
@@ -82,19 +84,22 @@ def winning_steps(pages: DataFrame, payloads: DataFrame | None = None, keep: lis
     )
 
 
-def chain_products(pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def chain_products(
+    pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None,
+    limit: int | None = None, folder: str | None = None,
+) -> DataFrame:
     """Product rows of the winning steps, with strategy and method.
 
     With payloads the winners are needed twice: for their own items, and to pick the pages whose
-    payload rows count. They are written to the shared work folder first, without HTML, so pages
-    are extracted once.
+    payload rows count. They are written below `folder` or the shared work folder first, without
+    HTML, so pages are extracted once.
     """
     keep = keep or ["page_id"]
-    winners = winning_steps(pages, payloads, keep)
+    winners = winning_steps(pages, payloads, keep, limit)
     if payloads is not None:
-        folder = work_folder(pages.sparkSession, "chain")
-        winners.write.parquet(folder)
-        winners = pages.sparkSession.read.parquet(folder)
+        path = work_folder(pages.sparkSession, "chain", folder)
+        winners.write.parquet(path)
+        winners = pages.sparkSession.read.parquet(path)
     columns = [*dict.fromkeys([*keep, "strategy", "method"])]
     source = F.coalesce("site", F.lit("unknown"))
     rows = item_rows(winners, "items", source, columns)
@@ -123,7 +128,8 @@ class Extractors:
 
     A frame function takes its site's pages as a DataFrame and returns product rows. A Python
     function takes (html, url) and returns product dicts; all of those run in one pass over the
-    pages, in Arrow batches. Sites without an entry go to the template step.
+    pages, in Arrow batches. A page on which a Python function raises, or gives what is no product,
+    is skipped. Sites without an entry go to the template step.
     """
 
     def __init__(self):
@@ -160,9 +166,13 @@ def _python_products(pages: DataFrame, functions: dict[str, Callable[[str, str],
         for batch in it:
             rows = []
             for page in batch.to_pylist():
-                for found in functions[page["site"]](page["html"], page["url"]):
-                    row = {n: missing.get(n, "") for n in arrow.names}
-                    rows.append({**row, **found, "page_id": page["page_id"]})
+                try:
+                    own = [{n: missing.get(n, "") for n in arrow.names} | found | {"page_id": page["page_id"]}
+                           for found in functions[page["site"]](page["html"], page["url"])]
+                    pa.RecordBatch.from_pylist(own, schema=arrow)
+                except Exception:  # noqa: BLE001  user code: one page must not end the job
+                    continue
+                rows += own
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return pages.select("page_id", "site", "url", "html").mapInArrow(batches, f"page_id {kind}, {PRODUCT_DDL}")

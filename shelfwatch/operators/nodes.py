@@ -21,7 +21,9 @@ from shelfwatch.rules import selectors as S
 RAW_FIELDS = ["title", "price", "fraction", "rating", "reviews", "src", "lazy_src", "link", "product_id"]
 RAW_ARROW = pa.list_(pa.struct([(f, pa.string()) for f in RAW_FIELDS]))
 _RAW_TYPE = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in RAW_FIELDS]))
-NODES_TYPE = T.StructType([T.StructField("css", _RAW_TYPE), T.StructField("profile", _RAW_TYPE)])
+NODES_TYPE = T.StructType([
+    T.StructField("css", _RAW_TYPE), T.StructField("profile", _RAW_TYPE), T.StructField("error", T.StringType()),
+])
 TEMPLATE_DDL = "struct<" + ",".join(f"{f}:string" for f in S.TEMPLATE_FIELDS) + ">"
 
 
@@ -30,7 +32,7 @@ def _raw(**fields):
 
 
 def template_nodes(root, url: str, template: dict) -> list:
-    """Raw fields of the first items of a page under a selector template."""
+    """Raw fields of the items of a page under a selector template."""
     items = dom.select(root, template["list_container"]) if template["list_container"] else []
     if not items and template["product_selector"]:
         items = dom.select(root, template["product_selector"])
@@ -40,7 +42,7 @@ def template_nodes(root, url: str, template: dict) -> list:
     if not all(used.values()):
         return []  # an empty selector matches nothing it could be applied to
     rows = []
-    for node in items[: S.ITEMS_PER_PAGE]:
+    for node in items:
         inner = list(node.walk())
         part = {f: dom.first(inner, s) for f, s in used.items()}
         price, image, link = part["price_selector"], part["image_selector"], part["link_selector"]
@@ -113,24 +115,38 @@ def _first_content(nodes, *selectors):
 
 @F.arrow_udf(NODES_TYPE)
 def page_nodes(html: pa.Array, url: pa.Array, site: pa.Array, template: pa.Array) -> pa.Array:
-    """Raw nodes of each page under its template (css) and its site's profile; NULL html gives NULL."""
-    css, profile, present = [], [], []
+    """Raw nodes of each page under its template (css) and its site's profile; NULL html gives NULL.
+
+    A page that cannot be parsed or read gives no nodes and says why in `error`; the others go on.
+    """
+    css, profile, errors, present = [], [], [], []
     for page, address, name, rules in zip(html, url, site, template):
         text = page.as_py()
         present.append(text is not None)
         if text is None:
             css.append(None)
             profile.append(None)
+            errors.append(None)
             continue
-        root, base, rules = dom.parse(text), address.as_py() or "", rules.as_py()
+        found, failed = {"css": [], "profile": []}, []
+        base, rules = address.as_py() or "", rules.as_py()
         try:
-            css.append(template_nodes(root, base, rules) if rules else [])
-        except ValueError:  # a selector outside the supported set finds nothing
-            css.append([])
-        profile.append(profile_nodes(root, base, name.as_py()))
+            root = dom.parse(text)
+        except Exception as e:  # noqa: BLE001  any markup may come in; one page must not end the job
+            failed.append(f"parse: {type(e).__name__}: {e}")
+        else:
+            for part, select in (("css", lambda: template_nodes(root, base, rules) if rules else []),
+                                 ("profile", lambda: profile_nodes(root, base, name.as_py()))):
+                try:
+                    found[part] = select()
+                except Exception as e:  # noqa: BLE001  such as a selector outside the supported set
+                    failed.append(f"{part}: {type(e).__name__}: {e}")
+        css.append(found["css"])
+        profile.append(found["profile"])
+        errors.append("; ".join(failed) or None)
     return pa.StructArray.from_arrays(
-        [pa.array(css, RAW_ARROW), pa.array(profile, RAW_ARROW)], names=["css", "profile"],
-        mask=pa.array([not p for p in present]),
+        [pa.array(css, RAW_ARROW), pa.array(profile, RAW_ARROW), pa.array(errors, pa.string())],
+        names=["css", "profile", "error"], mask=pa.array([not p for p in present]),
     )
 
 
@@ -144,8 +160,10 @@ def default_template(site: Column) -> Column:
     return first_case(branches, template_struct(S.DEFAULT_TEMPLATES[""]))
 
 
-def template_items(raw: Column, url: Column) -> Column:
-    """Items from raw template nodes; kept when there is a title or a price."""
+def template_items(raw: Column, url: Column, limit: int | None = None) -> Column:
+    """Items from raw template nodes, the first `limit` or all; kept when there is a title or a price."""
+    if limit is not None:
+        raw = F.slice(raw, 1, limit)
 
     def clean(r):
         return item(
@@ -192,11 +210,11 @@ def with_nodes(pages: DataFrame, html: Column | None = None, css: bool = True, p
     return pages.withColumn("nodes", page_nodes(F.col("html") if html is None else html, "url", site, template))
 
 
-def template_products(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Product rows by selector template, at most 20 items of a page."""
+def template_products(pages: DataFrame, keep: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Product rows by selector template: the first `limit` items of a page, or all."""
     keep = keep or ["page_id"]
     found = with_nodes(pages, profile=False).select(
-        *keep, "site", template_items(F.col("nodes.css"), F.col("url")).alias("items")
+        *keep, "site", template_items(F.col("nodes.css"), F.col("url"), limit).alias("items")
     )
     return item_rows(found, "items", F.col("site"), keep)
 

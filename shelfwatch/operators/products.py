@@ -1,9 +1,12 @@
 """Product validation and dedup."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwatch.session import work_folder
+
 MIN_TITLE_CHARS = 5
 
 
@@ -16,27 +19,50 @@ def validated(products: DataFrame) -> DataFrame:
     )
 
 
-def _first_per(products: DataFrame, key: list[Column], exempt: Column, row_key: list[str], order: list[str]):
-    """Keep the first row per key. Exempt rows use their own row key, so they stay apart.
+def _with_first(rest: DataFrame) -> DataFrame:
+    """_first: the row comes first of all rows that share one of its keys. Minima combine in the map tasks."""
+    for key in ("_id", "_url"):
+        least = rest.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_place").alias(f"{key}_least"))
+        rest = rest.join(least, key, "left")
+    first = [F.col(k).isNull() | (F.col(f"{k}_least") == F.col("_place")) for k in ("_id", "_url")]
+    return rest.withColumn("_first", first[0] & first[1]).drop("_id_least", "_url_least")
 
-    The rank filter runs in the map tasks too, so of a key's many copies each task sends one on.
-    """
-    own = [F.when(exempt, F.col(c)) for c in row_key]
-    w = W.partitionBy(*key, *own).orderBy(*order, *row_key)
-    return products.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
+def deduplicated(
+    products: DataFrame, row_key: list[str], order: list[str] | None = None,
+    page_url: str | None = None, folder: str | None = None,
+) -> DataFrame:
+    """What stays of the products if each is dropped when an earlier kept one has its (source, asin) or url.
 
-def deduplicated(products: DataFrame, row_key: list[str], order: list[str] | None = None) -> DataFrame:
-    """Drop repeats by (source, asin), then by url; an empty key exempts a row.
+    row_key names columns that identify a row, such as page and position; earlier is by extraction
+    time with the row key as tie-break. An empty key binds nothing, and neither does a url that is
+    the page's own address, in the column page_url.
 
-    row_key names columns that identify a row, such as page and position. The first row by
-    extraction time stays, with the row key as tie-break.
+    Decided in rounds, each written below `folder` or the shared folder: rows that come first by
+    both keys stay, rows that share a key with them go, the rest enters the next round. A row that
+    goes thus never pushes out another one. Every round decides at least one row; most take a few.
     """
-    order = order or ["extracted_at"]
-    by_id = _first_per(
-        products, [F.col("source"), F.col("asin")], F.coalesce("asin", F.lit("")) == "", row_key, order
-    )
-    return _first_per(by_id, [F.col("url")], F.coalesce("url", F.lit("")) == "", row_key, order)
+    place = F.struct(*[F.col(c) for c in [*(order or ["extracted_at"]), *row_key]])
+    by_url = F.coalesce("url", F.lit("")) != ""
+    if page_url is not None:
+        by_url = by_url & ~F.col("url").eqNullSafe(F.col(page_url))
+    rest = products.withColumns({
+        "_place": place,
+        "_id": F.when(F.coalesce("asin", F.lit("")) != "", F.to_json(F.struct("source", "asin"))),
+        "_url": F.when(by_url, F.col("url")),
+    })
+    kept = []
+    while True:
+        path = work_folder(products.sparkSession, "dedup", folder)
+        _with_first(rest).write.parquet(path)
+        decided = products.sparkSession.read.parquet(path)
+        first = decided.filter("_first")
+        kept.append(first)
+        rest = decided.filter("NOT _first").drop("_first")
+        for key in ("_id", "_url"):
+            rest = rest.join(first.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, kept).select(*products.columns)
 
 
 def by_source(products: DataFrame) -> DataFrame:

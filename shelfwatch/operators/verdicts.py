@@ -1,24 +1,28 @@
-"""Verdict sharing: responses with the same status and the same opening share one verdict."""
+"""Verdict sharing: responses with the same status and the same text, or opening, share one verdict."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.responses import reasoned_code, reasoned_outcome, with_lowered
-from shelfwatch.rules.phrases import VERDICT_KEY_CHARS
 
 
-def shared_verdicts(responses: DataFrame, id_column: str) -> DataFrame:
-    """id, status_code, verdict struct. The first response (by id) of an opening decides for all.
+def shared_verdicts(responses: DataFrame, id_column: str, key_chars: int | None = None) -> DataFrame:
+    """id, status_code, verdict struct. Responses that share their whole text share its verdict.
 
-    Every response is labelled in place, which is cheaper than shuffling its text. The shuffle
-    carries only (key, id, code); groups combine in the map tasks, and only openings whose
-    responses disagree come back, so a common opening is not a hot join key unless it must be.
+    With key_chars, the first response (by id) of each opening of that length decides for all of
+    them, which gives a response another one's verdict where texts part later. Every response is
+    labelled in place, which is cheaper than shuffling its text. Then the shuffle carries only
+    (key, id, code); groups combine in the map tasks, and only openings whose responses disagree
+    come back, so a common opening is not a hot join key unless it must be.
     """
-    opening = F.left("text", F.lit(VERDICT_KEY_CHARS))
+    own = reasoned_code(F.col("status_code"), F.col("text"), F.col("lowered"))
+    if key_chars is None:
+        return with_lowered(responses).select(id_column, "status_code", reasoned_outcome(own).alias("verdict"))
+    opening = F.left(F.coalesce("text", F.lit("")), F.lit(key_chars))
     labelled = with_lowered(responses).select(
         id_column, "status_code", F.coalesce("status_code", F.lit(-1)).alias("_status"),
         F.sha2(opening, 256).alias("_key"),
-        reasoned_code(F.col("status_code"), F.col("text"), F.col("lowered")).alias("_own"),
+        own.alias("_own"),
     )
     deciding = (
         labelled.groupBy("_status", "_key")

@@ -43,9 +43,9 @@ def search_tasks(queries: DataFrame, pages: int, variant: str = "batch") -> Data
 def classified(pages: DataFrame, verdict: str = "verdict") -> DataFrame:
     """Pages with site, page pattern and content verdict.
 
-    Without a status the response counts as 200, since it was stored.
+    In a table without statuses a response counts as 200, since it was stored; a NULL status is a timeout.
     """
-    status = F.coalesce("status_code", F.lit(200)) if "status_code" in pages.columns else F.lit(200)
+    status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     named = pages.withColumn("site", fu.site_by_domain(F.col("url")))
     lowered = fr.with_lowered(named, "html")
     return (
@@ -64,24 +64,28 @@ def content_counts(pages: DataFrame) -> DataFrame:
 
 def batch_run(
     spark: SparkSession, pages: DataFrame, attempts: DataFrame, folder: str,
-    payloads: DataFrame | None = None, crawl_date: Column | None = None,
+    payloads: DataFrame | None = None, crawl_date: Column | None = None, distinct: bool = False,
 ) -> dict[str, DataFrame]:
     """Classify pages, extract products by chain, clean, write per site and date, and report.
 
     pages needs page_id, url, html and render. Pages are scanned twice, once for the verdict table
     and once for extraction: labelling a page again costs less than shuffling its HTML to join the
-    table. Every later step reads written tables without HTML.
+    table. Every later step reads written tables without HTML. All products are kept unless distinct.
     """
     verdicts = classified(pages)
     verdicts.drop("html").write.mode("overwrite").parquet(f"{folder}/verdicts")
     content = verdicts.filter(F.col("verdict") == "none")
-    chain_products(content, payloads).write.mode("overwrite").parquet(f"{folder}/extracted")
+    chain_products(content, payloads, folder=folder).write.mode("overwrite").parquet(f"{folder}/extracted")
     extracted = spark.read.parquet(f"{folder}/extracted")
-    clean = deduplicated(validated(unified(extracted, "page_id", "pos")), ["page_id", "pos"])
-    clean.drop("is_valid").write.mode("overwrite").parquet(f"{folder}/products")
+    clean = validated(unified(extracted, "page_id", "pos"))
+    if distinct:
+        addresses = labelled_pages(spark, folder)
+        clean = clean.join(addresses, "page_id", "left")
+        clean = deduplicated(clean, ["page_id", "pos"], page_url="page_url", folder=folder).drop("page_url")
+    clean.write.mode("overwrite").parquet(f"{folder}/products")
     products = spark.read.parquet(f"{folder}/products")
-    write_products_json(products.drop("page_id", "pos"), f"{folder}/json", crawl_date, "overwrite")
-    write_products_csv(products.drop("page_id", "pos"), f"{folder}/csv", crawl_date, "overwrite")
+    write_products_json(products.drop("page_id", "pos", "is_valid"), f"{folder}/json", crawl_date, "overwrite")
+    write_products_csv(products.drop("page_id", "pos", "is_valid"), f"{folder}/csv", crawl_date, "overwrite")
     labelled = spark.read.parquet(f"{folder}/verdicts")
     return {
         "products": products,
@@ -92,13 +96,19 @@ def batch_run(
     }
 
 
-def item_flow(pages: DataFrame) -> DataFrame:
-    """Pages of known sites to clean items by selector template, page by page."""
+def labelled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id and page_url of a batch run's pages."""
+    return spark.read.parquet(f"{folder}/verdicts").select("page_id", F.col("url").alias("page_url"))
+
+
+def item_flow(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages of known sites to clean, distinct items by selector template; `limit` items of a page, or all."""
     known = pages.withColumn("site", fu.site_by_domain(F.col("url"))).filter(F.col("site").isNotNull())
     typed = known.withColumn("page_type", fu.page_type(F.col("url"))).withColumn(
         "template", default_template(F.col("site"))
     )
-    return deduplicated(validated(template_products(typed)), ["page_id", "pos"])
+    found = template_products(typed.withColumn("page_url", F.col("url")), ["page_id", "page_url"], limit)
+    return deduplicated(validated(found), ["page_id", "pos"], page_url="page_url").drop("page_url")
 
 
 def build_example_sets(

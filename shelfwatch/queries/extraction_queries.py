@@ -164,7 +164,7 @@ def _template_pages(t: Tables):
 
 
 def template_products(t: Tables):
-    return nodes.template_products(_template_pages(t)).select(
+    return nodes.template_products(_template_pages(t), limit=S.ITEMS_PER_PAGE).select(
         "page_id", "pos", "source", "url", "title", "price", "rating", "review_count", "asin",
         F.array_join("images", ",").alias("image"))
 
@@ -187,7 +187,14 @@ FROM n WHERE r <= 20 AND p_partkey % 17 <> 0"""
 def capped_counts(t: Tables):
     """Items per page under the cap, counted before any row rule."""
     raw = nodes.with_nodes(_template_pages(t), profile=False)
-    return raw.select("page_id", F.size("nodes.css").alias("items"))
+    return raw.select("page_id", F.size(F.slice("nodes.css", 1, S.ITEMS_PER_PAGE)).alias("items"))
+
+
+def all_counts(t: Tables):
+    """All template items of each page; a tenth of the pages is followed by markup no parser accepts."""
+    broken = _template_pages(t).withColumn("html", F.when(F.col("page_id") % 10 == 3, F.lit("<p><![foo[bar]]>")).otherwise(F.col("html")))
+    return nodes.with_nodes(broken, profile=False).select(
+        "page_id", F.size("nodes.css").alias("items"), F.col("nodes.error").isNotNull().alias("failed"))
 
 
 def _profile_pages(t: Tables):
@@ -265,12 +272,12 @@ def _chain_inputs(t: Tables):
 
 def chain_steps(t: Tables):
     pages, payloads = _chain_inputs(t)
-    return chain.winning_steps(pages, payloads).select("page_id", "strategy", "method", "product_count")
+    return chain.winning_steps(pages, payloads, limit=S.ITEMS_PER_PAGE).select("page_id", "strategy", "method", "product_count")
 
 
 def chain_products(t: Tables):
     pages, payloads = _chain_inputs(t)
-    return chain.chain_products(pages, payloads).select("page_id", "strategy", "title", "price")
+    return chain.chain_products(pages, payloads, limit=S.ITEMS_PER_PAGE).select("page_id", "strategy", "title", "price")
 
 
 CHAIN_CTE = f"""{LD_CTE}, x AS (SELECT *, {PAGE_SQL} AS page_id, {PAGE_SQL} % 5 AS kind,
@@ -299,7 +306,7 @@ def chain_rules(t: Tables):
 def empty_content(t: Tables):
     pages = jobs.classified(t("pages")).withColumn(
         "render", F.when(F.col("page_id") % 4 == 0, F.lit("other")).otherwise(F.lit("none")))
-    products = t("part").filter("p_size > 30").select(_k().alias("page_id"))
+    products = t("part").select(F.when(F.col("p_size") > 30, _k()).otherwise(-1).alias("page_id"))
     return chain.empty_content(pages, products).select("page_id", "block_type")
 
 
@@ -420,7 +427,7 @@ def python_rules(t: Tables):
 
 def item_flow(t: Tables):
     pages = _html_pages(t, {"amazon": _amazon_item(), "walmart": _walmart_item()})
-    return jobs.item_flow(pages.drop("site")).select("page_id", "source", "title", "price", "url", "is_valid")
+    return jobs.item_flow(pages.drop("site"), S.ITEMS_PER_PAGE).select("page_id", "source", "title", "price", "url", "is_valid")
 
 
 QUERIES = {
@@ -446,6 +453,8 @@ QUERIES = {
     "e15_default_templates": (default_templates, f"""SELECT site, n, {', '.join(f'{_default_sql(f)} AS {f}' for f in S.TEMPLATE_FIELDS)}
         FROM (SELECT site, count(*) AS n FROM (SELECT {REQUEST_SITE} AS site FROM part) x GROUP BY 1) y"""),
     "e16_capped_items": (capped_counts, f"SELECT {PAGE_SQL} AS page_id, least(20, count(*))::INT AS items FROM part GROUP BY 1"),
+    "e16_all_items": (all_counts, f"""SELECT {PAGE_SQL} AS page_id, CASE WHEN {PAGE_SQL} % 10 = 3 THEN 0 ELSE count(*) END::INT AS items,
+        {PAGE_SQL} % 10 = 3 AS failed FROM part GROUP BY {PAGE_SQL}"""),
     "e17_empty_content": (empty_content, f"""WITH p AS (SELECT page_id, html, lower(html) AS t, 200 AS s FROM pages)
         SELECT page_id, 'empty_content' AS block_type FROM p WHERE {verdict_sql('s', 'html', 't', 'length(html)')} = 'none'
         AND page_id % 4 <> 0 AND page_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 30)"""),

@@ -39,10 +39,17 @@ def deduplicated(t: Tables):
     return op.deduplicated(_copies(t), ["p_partkey", "copy"]).select("p_partkey", "copy", "source", "url", "asin")
 
 
-DEDUP_SQL = f"""WITH c AS ({COPIES}),
-  a AS (SELECT *, CASE WHEN asin = '' THEN 1 ELSE row_number() OVER (PARTITION BY source, asin ORDER BY extracted_at, p_partkey, copy) END AS r FROM c),
-  b AS (SELECT *, CASE WHEN url = '' THEN 1 ELSE row_number() OVER (PARTITION BY url ORDER BY extracted_at, p_partkey, copy) END AS q FROM a WHERE r = 1)
-SELECT p_partkey, copy, source, url, asin FROM b WHERE q = 1"""
+DEDUP_SQL = f"""WITH RECURSIVE c AS ({COPIES}),
+  rounds AS (
+    SELECT p_partkey, copy, source, url, asin, extracted_at, FALSE AS kept FROM c
+    UNION ALL
+    SELECT p_partkey, copy, source, url, asin, extracted_at, first AS kept FROM (
+      SELECT *, bool_or(first) OVER (PARTITION BY source, asin) AS by_id, bool_or(first) OVER (PARTITION BY url) AS by_url FROM (
+        SELECT *, (asin = '' OR row_number() OVER (PARTITION BY source, asin ORDER BY extracted_at, p_partkey, copy) = 1)
+              AND (url = '' OR row_number() OVER (PARTITION BY url ORDER BY extracted_at, p_partkey, copy) = 1) AS first
+        FROM rounds WHERE NOT kept) a) b
+    WHERE first OR NOT ((asin <> '' AND by_id) OR (url <> '' AND by_url)))
+SELECT p_partkey, copy, source, url, asin FROM rounds WHERE kept"""
 
 
 def validated(t: Tables):

@@ -50,13 +50,11 @@ def text_verdict(t: Tables):
 
 
 def status_verdict(t: Tables):
-    known = _responses(t).filter(F.col("status_code").isNotNull())
-    return known.select("doc_id", fr.status_verdict(F.col("status_code"), F.col("text"), F.col("is_html")).alias("block_type"))
+    return _responses(t).select("doc_id", fr.status_verdict(F.col("status_code"), F.col("text"), F.col("is_html")).alias("block_type"))
 
 
 def layered_verdict(t: Tables):
-    known = _responses(t).filter(F.col("status_code").isNotNull())
-    return known.select("doc_id", fr.layered_verdict(F.col("status_code"), F.col("text"), F.col("lowered"), F.col("is_html")).alias("block_type"))
+    return _responses(t).select("doc_id", fr.layered_verdict(F.col("status_code"), F.col("text"), F.col("lowered"), F.col("is_html")).alias("block_type"))
 
 
 LAYER_STATUS = [("status_code IN (403, 429, 451)", "'http_' || status_code"), ("status_code >= 500", "'http_5xx'")]
@@ -189,12 +187,21 @@ LABEL_SQL = f"""{BASE} SELECT doc_id, CASE WHEN status_code = 200 AND {_has(P.CH
   ], "''")} ELSE '' END AS label FROM r"""
 
 
+def _nullable(t: Tables):
+    """Every thirteenth response has no text; the twin has an empty one in its place."""
+    return t.responses().withColumn("text", F.when(F.col("doc_id") % 13 != 0, F.col("text")))
+
+
 def verdict_sharing(t: Tables):
     # A third opening is shared on purpose: short openings repeat across documents.
     r = t.responses().withColumn(
         "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("same opening "), F.lit(40)), "text"))
         .otherwise(F.col("text")))
-    return shared_verdicts(r, "doc_id").select("doc_id", "verdict.*")
+    return shared_verdicts(r, "doc_id", P.VERDICT_KEY_CHARS).select("doc_id", "verdict.*")
+
+
+def whole_text_verdicts(t: Tables):
+    return shared_verdicts(_nullable(t), "doc_id").select("doc_id", "verdict.*")
 
 
 SHARING_SQL = f"""WITH d AS ({RESPONSES}),
@@ -236,10 +243,9 @@ QUERIES = {
         SELECT page_id, {verdict_sql('s', 'html', 't', 'length(html)')} AS verdict FROM p"""),
     "k02_text_verdict": (text_verdict, f"{BASE} SELECT doc_id, {verdict_sql('status_code', 'text', 't', 'length(text)')} AS block_type FROM r"),
     "k03_status_verdict": (status_verdict, f"""{BASE} SELECT doc_id, {_case([*LAYER_STATUS,
-        ("is_html AND length(text) < 1000", "'empty_response'")], "''")} AS block_type FROM r WHERE status_code IS NOT NULL"""),
+        ("is_html AND length(text) < 1000", "'empty_response'")], "''")} AS block_type FROM r"""),
     "k04_layered_verdict": (layered_verdict, f"""{BASE} SELECT doc_id, {_case([*LAYER_STATUS,
-        ("is_html", verdict_sql('status_code', 'text', 't', 'length(text)'))], "''")} AS block_type FROM r
-        WHERE status_code IS NOT NULL"""),
+        ("is_html", verdict_sql('status_code', 'text', 't', 'length(text)'))], "''")} AS block_type FROM r"""),
     "k05_reasoned_verdict": (reasoned_verdict, f"{BASE} SELECT doc_id, {REASONED_TYPE} AS block_type, {REASONED_TEXT} AS reason FROM r"),
     "k06_first_indicator": (first_indicator, f"""{BASE} SELECT doc_id, {_has([w for w, _ in P.INDICATORS])} AS hit,
         {_case([(f"contains(t, {quoted(w)})", quoted(m)) for w, m in P.INDICATORS], "''")} AS message FROM r"""),
@@ -249,6 +255,9 @@ QUERIES = {
     "k10_header_digests": (header_digests, HEADER_SQL),
     "k11_challenge_labels": (challenge_labels, LABEL_SQL),
     "k12_shared_verdicts": (verdict_sharing, SHARING_SQL),
+    "k12_whole_text_verdicts": (whole_text_verdicts, f"""WITH r AS (SELECT *, lower(text) AS t FROM (SELECT * REPLACE (
+        CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text) FROM ({RESPONSES}) d))
+        SELECT doc_id, {REASONED_TYPE} AS block_type, {REASONED_TEXT} AS reason FROM r"""),
     "k13_samples": (samples, SAMPLES_SQL),
     "k14_attempt_costs": (attempt_costs, f"""WITH a AS ({ATTEMPTS}) SELECT event_id,
         round(CASE WHEN render <> 'none' THEN latency_ms / 1000 * 0.001 ELSE 0.0 END, 9) AS cost FROM a"""),

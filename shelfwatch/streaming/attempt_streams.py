@@ -75,20 +75,12 @@ def sharded(stream: DataFrame, row_id: str, shards: int = SHARDS) -> DataFrame:
     return stream.withColumn("shard", F.pmod(F.xxhash64(row_id), F.lit(shards)).cast("int"))
 
 
-def distinct_within(
-    stream: DataFrame, ts: str, keys: list[str], row_id: str, late: str = "1 hour", shards: int = SHARDS
-) -> DataFrame:
+def distinct_within(stream: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """First row per key within the watermark. Rows with an empty key are the caller's to keep apart.
 
-    Repeats drop per (key, shard) first, so a key with very many rows is spread out; then at most
-    one row per shard is left to compare by key alone.
+    One state per key, of which the expiry of the emitted row is all it holds.
     """
-    return (
-        sharded(timed(stream, ts, late), row_id, shards)
-        .dropDuplicatesWithinWatermark([*keys, "shard"])
-        .drop("shard")
-        .dropDuplicatesWithinWatermark(keys)
-    )
+    return timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 class _LastRows(StatefulProcessor):

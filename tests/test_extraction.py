@@ -43,7 +43,27 @@ def test_template_cap_and_fallbacks(spark):
     rows = [(1, "shop", "https://x/", many), (2, "shop", "https://x/", ""), (3, "shop", "https://x/", "<div><h3>loose</h3><div>"),
             (4, "shop", "https://x/", "<li class='product'><h2>unclosed<li class='product'><h2>next")]
     got = nodes.template_products(pages(spark, rows)).groupBy("page_id").count().collect()
-    assert {r.page_id: r["count"] for r in got} == {1: 20, 3: 1, 4: 2}
+    assert {r.page_id: r["count"] for r in got} == {1: 100, 3: 1, 4: 2}
+    assert nodes.template_products(pages(spark, rows[:1]), limit=20).count() == 20
+
+
+def test_a_bad_page_fails_alone(spark):
+    rows = [(1, "shop", "https://x/", "<p><![foo[bar]]>"), (2, "shop", "https://x/", "<li class='product'><h2>fine</h2></li>")]
+    assert [r.page_id for r in nodes.template_products(pages(spark, rows)).collect()] == [2]
+    errors = {r.page_id: r.error for r in nodes.with_nodes(pages(spark, rows)).select("page_id", "nodes.error").collect()}
+    assert errors[1].startswith("parse: ") and errors[2] is None
+
+
+def test_a_raising_function_skips_its_page(spark):
+    def rule(html, url):
+        if "bad" in html:
+            raise ValueError(html)
+        return [{"title": html}]
+
+    extractors = chain.Extractors()
+    extractors.register_python("shop", "list", rule)
+    rows = [(1, "shop", "u", "bad"), (2, "shop", "u", "good")]
+    assert [(r.page_id, r.title) for r in extractors.run(pages(spark, rows)).collect()] == [(2, "good")]
 
 
 def test_empty_template_finds_nothing(spark):

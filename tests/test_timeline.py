@@ -73,29 +73,32 @@ def test_dedup_against_a_seen_set(spark):
             for i in range(200)]
     df = spark.createDataFrame(data, "n int, source string, url string, asin string, extracted_at string")
     got = {r.n for r in deduplicated(df, ["n"]).collect()}
-    kept, seen = [], set()
+    ids, urls, want = set(), set(), set()
     for row in sorted(data, key=lambda r: (r[4], r[0])):
-        key = (row[1], row[3])
-        if row[3] and key in seen:
-            continue
-        seen.add(key)
-        kept.append(row)
-    urls, want = set(), set()
-    for row in kept:
-        if row[2] and row[2] in urls:
+        if (row[3] and (row[1], row[3]) in ids) or (row[2] and row[2] in urls):
             continue
+        ids.add((row[1], row[3]))
         urls.add(row[2])
         want.add(row[0])
     assert got == want
 
 
+def test_dedup_of_chained_keys_and_page_addresses(spark):
+    data = [("A", "u1", "a1", 1), ("B", "u1", "a2", 2), ("C", "u2", "a2", 3), ("D", "p", "", 4), ("E", "p", "", 5), ("F", "q", "", 6), ("G", "q", "", 7)]
+    df = spark.createDataFrame([(n, "s", u, a, t, "p") for n, u, a, t in data], "n string, source string, url string, asin string, extracted_at int, page_url string")
+    assert {r.n for r in deduplicated(df, ["n"], page_url="page_url").collect()} == {"A", "C", "D", "E", "F"}
+    assert deduplicated(df.filter("false"), ["n"]).count() == 0
+
+
 def test_shared_verdict_of_first_response(spark):
     opening = "o" * 500
     data = [(3, 200, opening + " captcha i am not a robot"), (1, 200, opening), (2, 200, opening + " access denied"),
             (4, None, opening), (5, 200, "access denied" + opening)]
     df = spark.createDataFrame(data, "id long, status_code int, text string")
-    got = {r.id: r.verdict.block_type for r in shared_verdicts(df, "id").collect()}
+    got = {r.id: r.verdict.block_type for r in shared_verdicts(df, "id", 500).collect()}
     assert got == {1: "none", 2: "none", 3: "none", 4: "http_timeout", 5: "bot_detected"}
+    own = {r.id: r.verdict.block_type for r in shared_verdicts(df, "id").collect()}
+    assert own == {1: "none", 2: "bot_detected", 3: "captcha", 4: "http_timeout", 5: "bot_detected"}
 
 
 def test_missing_keys_and_times_keep_their_rows(spark):
