@@ -135,7 +135,7 @@ REPORT_SQL = f"""{REPORT_CTE} SELECT s.site, coalesce(q.n, 0) AS products, ok ||
 
 
 def report_totals(t: Tables):
-    few = _products(t).filter(F.col("source").isin("site1", "site2", "site39"))
+    few = _products(t).withColumn("source", F.when(F.col("source").isin("site1", "site2", "site39"), F.col("source")).otherwise("elsewhere"))
     return oa.sites_with_products(oa.site_report(t.attempts(), few))
 
 

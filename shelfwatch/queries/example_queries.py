@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from shelfwatch.operators import examples as ox
+from shelfwatch.plans import jobs
 from shelfwatch.queries.tables import ATTEMPTS, Tables
 from shelfwatch.rules import modules as M
+from shelfwatch.session import work_folder
 
 A = f"WITH a AS ({ATTEMPTS})"
 CONFIG = ["route", "render", "change_ua", "use_cookies", "use_human_scroll"]
@@ -90,18 +92,18 @@ SELECT event_id, CASE abs(guess - level) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.
 def readiness(t: Tables):
     """Module states come from a build log kept in the events: some modules were built before."""
     builds = t.attempts().filter("success").select(
-        F.when(F.col("event_id") % 3 == 0, F.lit("strategy_selector")).when(F.col("event_id") % 3 == 1, F.lit("block_detector"))
+        F.when(F.col("event_id") % 3 == 0, F.lit("strategy_selector")).when(F.col("event_id") % 12 == 1, F.lit("block_detector"))
         .otherwise(F.lit("initial_tier_selector")).alias("module"),
         F.col("ts").cast("timestamp").alias("built_at"),
-        F.col("event_id").alias("rows")).filter("module <> 'block_detector' OR rows < 300")
+        F.col("event_id").alias("rows"))
     states = ox.version_states(builds)
     now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
     return ox.readiness(t.attempts(), states, now).select("module", "version", "total_traces", "new_traces", "enough", "ready", "reason")
 
 
 _MODULE_VALUES = ", ".join(f"('{n}', {a}, {b}, {c})" for n, a, b, c, _ in M.MODULES)
-READINESS_SQL = f"""{A}, b AS (SELECT CASE event_id % 3 WHEN 0 THEN 'strategy_selector' WHEN 1 THEN 'block_detector' ELSE 'initial_tier_selector' END AS module,
-    ts, event_id AS rows FROM a WHERE success AND (event_id % 3 <> 1 OR event_id < 300)),
+READINESS_SQL = f"""{A}, b AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'strategy_selector' WHEN event_id % 12 = 1 THEN 'block_detector' ELSE 'initial_tier_selector' END AS module,
+    ts, event_id AS rows FROM a WHERE success),
   s AS (SELECT module, count(*)::INT AS version, max(ts) AS last_built, max_by(rows, ts) AS last_rows FROM b GROUP BY 1),
   m(module, least, least_new, gap) AS (VALUES {_MODULE_VALUES}), n AS (SELECT count(*) AS total FROM a),
   j AS (SELECT m.module, coalesce(version, 0) AS version, total, total - coalesce(last_rows, 0) AS fresh, least, least_new, gap, coalesce(last_rows, 0) AS last_rows,
@@ -111,7 +113,25 @@ READINESS_SQL = f"""{A}, b AS (SELECT CASE event_id % 3 WHEN 0 THEN 'strategy_se
 SELECT module, version, total AS total_traces, fresh AS new_traces, fresh >= least_new AND total >= least AS enough, reason = 'ready' AS ready, reason FROM r"""
 
 
+def example_sets(t: Tables):
+    """The sets that a first build writes, with the readiness report of their modules."""
+    folder, none = work_folder(t.spark, "examples"), F.lit(None).cast("string")
+    rows = t.attempts().withColumns({
+        "initial_level": F.col("level").cast("string"), **{c: none for c in
+        ("start_level", "difficulty_hint", "failure_history", "confidence", "reasoning")}})
+    states = t.spark.createDataFrame([], "module string, version int, last_built timestamp, last_built_rows long")
+    report = jobs.build_example_sets(t.spark, rows, states, F.to_timestamp(F.lit("2024-01-31 00:00:00")), folder)
+    written = t.spark.read.option("mergeSchema", "true").parquet(folder).groupBy("module").agg(F.count(F.lit(1)).alias("examples"))
+    return report.join(written, "module", "left").select("module", "total_traces", "ready", F.coalesce("examples", F.lit(0)).alias("examples"))
+
+
+EXAMPLE_SETS_SQL = f"""{A}, m(module, least, least_new, gap) AS (VALUES {_MODULE_VALUES}), n AS (SELECT count(*) AS total, sum(success::INT)::BIGINT AS good FROM a)
+SELECT module, total AS total_traces, total >= least AND total >= least_new AS ready,
+  CASE WHEN total >= least AND total >= least_new AND module IN ('strategy_selector', 'initial_tier_selector') THEN good ELSE 0 END AS examples FROM m, n"""
+
+
 QUERIES = {
+    "example_sets": (example_sets, EXAMPLE_SETS_SQL),
     "m1_s10_exported_examples": (exported, EXPORT_SQL),
     "m2_outcome_examples": (outcomes, OUTCOME_SQL),
     "m3_level_examples": (levels, LEVELS_SQL),

@@ -13,6 +13,7 @@ from shelfwatch.queries.tables import PAGE_SQL, SHOP_URLS, Tables, joined_items,
 from shelfwatch.queries.url_queries import REQUEST_SITE, _contains
 from shelfwatch.rules import sites as R
 from shelfwatch.rules import selectors as S
+from shelfwatch.session import work_folder
 
 
 def _k() -> Column:
@@ -430,7 +431,18 @@ def item_flow(t: Tables):
     return jobs.item_flow(pages.drop("site"), S.ITEMS_PER_PAGE).select("page_id", "source", "title", "price", "url", "is_valid")
 
 
+def batch_products(t: Tables):
+    """Products of a whole batch run over the chain pages; a marker makes every page real content."""
+    pages, payloads = _chain_inputs(t)
+    pages = pages.select("page_id", "url", F.concat("html", F.lit("product-title")).alias("html"), F.lit("none").alias("render"))
+    out = jobs.batch_run(t.spark, pages, t.attempts(), work_folder(t.spark, "batch"), payloads)
+    return out["products"].select("page_id", "title", "price", "is_valid")
+
+
 QUERIES = {
+    "batch_products": (batch_products, f"""WITH {CHAIN_CTE.replace("r <= 20 AND ", "")} SELECT cand.page_id, title,
+        CASE WHEN length(title) >= 5 AND NOT regexp_matches(price, '[0-9]') THEN '' ELSE price END AS price, length(title) >= 5 AS is_valid
+        FROM cand JOIN won ON won.page_id = cand.page_id AND won.strategy = cand.strategy"""),
     "e01_json_ld": (json_ld, f"""WITH {LD_CTE} SELECT page_id, pos::INT AS pos, CASE WHEN page_id % 2 = 0 THEN 'ebay' ELSE 'unknown' END AS source,
         title, price, brand, image FROM ld"""),
     "e02_template_products": (template_products, TEMPLATE_SQL),

@@ -71,7 +71,9 @@ def history(t: Tables):
 
 
 def windows(t: Tables):
-    rows = _run(t, "r6", st.windowed_stats(_stream(t), "ts"))
+    """All days: those the stream closed, and the last ones, still open when it ended."""
+    closed = _run(t, "r6", st.windowed_stats(_stream(t), "ts"))
+    rows = closed.unionByName(st.open_windows(t.attempts(), closed, "ts"))
     utc = F.to_utc_timestamp("window_start", F.current_timezone())
     return rows.select(F.date_format(utc, "yyyy-MM-dd").alias("day"), "site", "block_type", "n")
 
@@ -90,5 +92,5 @@ QUERIES = {
     "r5_url_history": (history, f"""{A} SELECT url, r::INT AS history_rank, event_id FROM (SELECT *, row_number() OVER
         (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS r FROM a) x WHERE r <= 20"""),
     "r6_windowed_stats": (windows, f"""{A} SELECT strftime(ts, '%Y-%m-%d') AS day, site, block_type, count(*) AS n FROM a
-        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2, 3"""),
+        GROUP BY 1, 2, 3"""),
 }

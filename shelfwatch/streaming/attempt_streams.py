@@ -62,8 +62,25 @@ def windowed_stats(stream: DataFrame, ts: str, width: str = "1 day", late: str =
     )
 
 
+def open_windows(rows: DataFrame, emitted: DataFrame, ts: str, width: str = "1 day") -> DataFrame:
+    """The windows of `rows`, a batch read of what was streamed, that a stopped stream still held open.
+
+    A stream emits a window once the watermark has passed it, so the open ones start after the last emitted.
+    """
+    last = emitted.agg(F.max("window_start").alias("_last"))  # one row
+    return windowed_stats(rows, ts, width).join(F.broadcast(last)).filter(
+        F.col("_last").isNull() | (F.col("window_start") > F.col("_last"))).drop("_last")
+
+
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows dropped as older than the watermark, over the query's recent progress."""
+    """Rows dropped as older than the watermark, over the whole run of the query.
+
+    Spark keeps the progress of the last spark.sql.streaming.numRecentProgressUpdates batches; if a longer
+    run has lost its first ones, this raises instead of counting less.
+    """
+    limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    if len(query.recentProgress) >= limit:
+        raise ValueError(f"over {limit} batches: raise spark.sql.streaming.numRecentProgressUpdates")
     return sum(
         op.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
