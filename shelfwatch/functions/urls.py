@@ -144,7 +144,7 @@ def resolve_link(base: Column, href: Column) -> Column:
     known = (href == "") | (plain_base & (absolute | from_host | other_scheme
                                           | href.rlike(r"^//[^/?#]+/.*[^?#]$") & ~dotted
                                           | href.rlike(r"^#.") | href.rlike(r"^\?[^#]+$")))
-    rest = _join_links(base, F.when(~known, href))
+    rest = _join_links(F.when(~known, base), F.when(~known, href))
     return (
         F.when(href == "", base)
         .when(~known, rest)

@@ -22,8 +22,9 @@ def percent_text(part: Column, total: Column) -> Column:
 def attempt_stats(attempts: DataFrame) -> DataFrame:
     """One row of totals with the counts by block type as a map.
 
-    Rows collapse to one per (site, pattern, block type) first, so the distinct counts and the map
-    are built from that small set. The site list itself is `distinct_sites`, a table.
+    Rows collapse to one per (site, pattern, block type) first, in one scan; grouping sets over that
+    small set give the counts by type and the different sites and patterns at once. The lists of
+    sites and patterns themselves are `distinct_sites` and `distinct_patterns`, tables.
     """
     cells = attempts.groupBy("site", "page_pattern", "block_type").agg(
         F.count(F.lit(1)).alias("n"),
@@ -31,18 +32,17 @@ def attempt_stats(attempts: DataFrame) -> DataFrame:
         F.count_if("llm_decision").alias("decided"),
         F.sum("cost_estimate").alias("cost"),
     )
-    by_type = cells.groupBy("block_type").agg(
-        F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("decided").alias("decided"),
-        F.sum("cost").alias("cost"),
+    by = ("block_type", "site", "page_pattern")
+    sets = cells.groupingSets([[c] for c in by], *by).agg(
+        F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("decided").alias("decided"), F.sum("cost").alias("cost"),
+        *[(F.grouping(c) == 0).alias(f"by_{c}") for c in by],
     )
-    distinct = cells.agg(
-        F.countDistinct("site").alias("site_count"), F.countDistinct("page_pattern").alias("pattern_count")
-    )
-    entry = F.when(F.col("n").isNotNull(), F.struct("block_type", "n"))
-    totals = by_type.unionByName(distinct, allowMissingColumns=True).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "ok", "decided", "cost")],
-        F.max("site_count").alias("site_count"), F.max("pattern_count").alias("pattern_count"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("block_types"),
+    typed = F.col("by_block_type")
+    totals = sets.agg(
+        *[F.coalesce(F.sum(F.when(typed, F.col(c))), F.lit(0)).alias(c) for c in ("n", "ok", "decided", "cost")],
+        F.count_if(F.col("by_site") & F.col("site").isNotNull()).alias("site_count"),
+        F.count_if(F.col("by_page_pattern") & F.col("page_pattern").isNotNull()).alias("pattern_count"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(typed, F.struct("block_type", "n"))))).alias("block_types"),
     )
     return totals.select(
         F.col("n").alias("total"), F.col("ok").alias("success"), (F.col("n") - F.col("ok")).alias("failed"),
@@ -190,7 +190,7 @@ def last_successful_level(attempts: DataFrame) -> DataFrame:
 
 def recent_by_url(attempts: DataFrame, kept: int = M.ATTEMPTS_KEPT) -> DataFrame:
     """The last attempts of every URL, newest first as history_rank 1."""
-    return top_rows(attempts, ["url"], [TS, ID], kept, rank="history_rank")
+    return top_rows(attempts, ["url"], [TS, ID], kept, rank="history_rank", shards=1)
 
 
 def recent_by_site(attempts: DataFrame, n: int = 5) -> DataFrame:

@@ -19,8 +19,8 @@ from shelfwatch.operators.products import deduplicated, validated
 from shelfwatch.sources.product_files import write_products_csv, write_products_json
 
 
-def search_tasks(queries: DataFrame, pages: int, variant: str = "batch") -> DataFrame:
-    """One task per (site, query, page) for registered sites: url, page pattern, start level.
+def search_urls(queries: DataFrame, pages: int, variant: str = "batch") -> DataFrame:
+    """One url per (site, query, page) for registered sites.
 
     queries has site and query. The template table is fixed and broadcast; pages are exploded.
     """
@@ -29,15 +29,19 @@ def search_tasks(queries: DataFrame, pages: int, variant: str = "batch") -> Data
     paged = F.when(
         F.col("suffix").isNull(), fu.page_suffix(base, F.col("page"))
     ).otherwise(F.when(F.col("page") > 1, F.concat(base, "suffix", F.col("page").cast("string"))).otherwise(base))
-    tasks = (
+    return (
         ol.registered_only(queries)
         .join(F.broadcast(templates), "site")
         .withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages))))
         .withColumn("url", paged)
         .drop("template", "suffix")
-        .withColumn("page_pattern", fu.page_pattern(F.col("site"), F.col("url")))
     )
-    return ol.start_levels(tasks)
+
+
+def search_tasks(queries: DataFrame, pages: int, variant: str = "batch") -> DataFrame:
+    """One task per (site, query, page) for registered sites: url, page pattern, start level."""
+    urls = search_urls(queries, pages, variant)
+    return ol.start_levels(urls.withColumn("page_pattern", fu.page_pattern(F.col("site"), F.col("url"))))
 
 
 def classified(pages: DataFrame, verdict: str = "verdict") -> DataFrame:

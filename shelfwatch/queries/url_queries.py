@@ -101,12 +101,12 @@ def _requests(t: Tables):
 
 
 def search_urls(t: Tables):
-    return jobs.search_tasks(_requests(t), 3).select("p_partkey", "site", "page", "url")
+    return jobs.search_urls(_requests(t), 3).select("p_partkey", "site", "page", "url")
 
 
 def spider_urls(t: Tables):
-    multi = jobs.search_tasks(_requests(t), 2, "multi").withColumn("variant", F.lit("multi"))
-    single = jobs.search_tasks(_requests(t), 2, "spider").withColumn("variant", F.lit("spider"))
+    multi = jobs.search_urls(_requests(t), 2, "multi").withColumn("variant", F.lit("multi"))
+    single = jobs.search_urls(_requests(t), 2, "spider").withColumn("variant", F.lit("spider"))
     return multi.unionByName(single).select("variant", "p_partkey", "site", "page", "url")
 
 
@@ -193,20 +193,34 @@ def trimmed_urls(t: Tables):
 
 def _links(t: Tables):
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
-    return t("pages").select("page_id", "url", F.explode(hrefs).alias("href"))
+    return t("pages").select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
 
 
 def resolved_links(t: Tables):
-    return _links(t).filter(F.col("href").rlike("^/[^/]")).select(
+    return _links(t).select(
         "page_id", "href", fu.resolve_link(F.col("url"), F.col("href")).alias("link"))
 
 
 def resolved_relative_links(t: Tables):
     shapes = [F.col("href"), F.concat(F.lit("..") , "href"), F.concat(F.lit("?x="), "page_id"), F.lit("#top"),
               F.concat(F.lit("//cdn.example.com"), "href"), F.substr("href", F.lit(2)), F.lit("")]
-    varied = F.element_at(F.array(*shapes), (F.pmod(F.xxhash64("href"), F.lit(len(shapes))) + 1).cast("int"))
+    varied = F.element_at(F.array(*shapes), ((F.col("page_id") + F.col("pos")) % len(shapes) + 1).cast("int"))
     return _links(t).withColumn("href", varied).select(
-        "page_id", "url", "href", fu.resolve_link(F.col("url"), F.col("href")).alias("link"))
+        "page_id", "pos", "url", "href", fu.resolve_link(F.col("url"), F.col("href")).alias("link"))
+
+
+# Every href of the pages is a path from the host, so each shape has a plain form.
+RELATIVE_SQL = """WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages),
+  l AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(len(hs))) AS pos FROM h),
+  p AS (SELECT *, (page_id + pos) % 7 AS shape, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, split_part(url, '#', 1) AS whole,
+        regexp_replace(url, '[?#].*$', '') AS path FROM l)
+SELECT page_id, pos::INT AS pos, url,
+  CASE shape WHEN 0 THEN h WHEN 1 THEN '..' || h WHEN 2 THEN '?x=' || page_id WHEN 3 THEN '#top' WHEN 4 THEN '//cdn.example.com' || h
+    WHEN 5 THEN substr(h, 2) ELSE '' END AS href,
+  CASE shape WHEN 0 THEN origin || h
+    WHEN 1 THEN origin || regexp_replace(substr(regexp_extract(path, '^.*/'), length(origin) + 1), '[^/]+/$', '') || substr(h, 2) WHEN 2 THEN path || '?x=' || page_id WHEN 3 THEN whole || '#top'
+    WHEN 4 THEN split_part(url, ':', 1) || '://cdn.example.com' || h WHEN 5 THEN regexp_extract(path, '^.*/') || substr(h, 2) ELSE url END AS link
+FROM p"""
 
 
 def product_api_urls(t: Tables):
@@ -239,8 +253,8 @@ QUERIES = {
     "u14_resolved_links": (resolved_links, """
         WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
         SELECT page_id, href, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS link
-        FROM l WHERE regexp_matches(href, '^/[^/]')"""),
-    "u14_resolved_relative_links": (resolved_relative_links, None),
+        FROM l"""),
+    "u14_resolved_relative_links": (resolved_relative_links, RELATIVE_SQL),
     "u15_product_api_urls": (product_api_urls, f"""{BASE} SELECT page_id, shop_url FROM u
         WHERE {_contains('lower(shop_url)', R.PRODUCT_API_WORDS)}"""),
     "u16_registered_sites": (registered_sites, f"""WITH r AS ({REQUESTS}) SELECT site, count(*) AS n FROM r
