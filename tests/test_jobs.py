@@ -1,6 +1,7 @@
 """Whole jobs, tables, logs and streams."""
 
 import json
+import os
 
 import pytest
 from conftest import DATA
@@ -103,6 +104,21 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert st.dropped_rows(query) == 1
 
 
+def test_distinct_rows_with_a_short_delay(spark, tmp_path):
+    """A key comes again once a batch has cleared its expired row; a suppressed row does not prolong that."""
+    (tmp_path / "in").mkdir()
+    for n, minutes in enumerate([[("k", 0)], [("k", 50)], [("x", 125)], [("z", 126)], [("k", 130)], [("y", 400)]]):
+        rows = spark.createDataFrame(minutes, "url string, m int").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 1_700_000_000))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"made{n}"))
+        file = next((tmp_path / f"made{n}").glob("part-*"))
+        os.utime(file, (1_700_000_000 + n, 1_700_000_000 + n))  # a stream takes files by their times
+        file.rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema("url string, m int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = st.append_parquet(st.distinct_within(stream, "ts", ["url"], "1 hour"), str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination(120)
+    assert sorted((r.url, r.m) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("k", 0), ("k", 130), ("x", 125), ("y", 400), ("z", 126)]
+
+
 def test_log_and_page_streams(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.jsonl").write_text('{"site": "amazon", "success": true, "timestamp": "2024-01-01T00:00:00"}\n\n{"site": "ebay"}\n')
