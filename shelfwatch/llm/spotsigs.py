@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import saved, small, steps, text_key, text_of, words_of
+from shelfwatch.llm.common import saved, small, steps, text_of, words_of
 
 # Common words of English, French, German and Spanish.
 ANCHORS = """
@@ -157,7 +157,3 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     compared = pairs.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("sa")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("sigs").alias("sb")), "b")
     return compared.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold - 1e-9).alias("likeness")).filter(F.col("likeness") >= threshold)
-
-
-def text_fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_key().alias("key"), fingerprint(signatures(text_of())).alias("fingerprint"))
