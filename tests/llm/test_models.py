@@ -69,6 +69,45 @@ def test_line_dedup(spark, frame, which):
             z.strip() for m, z in enumerate(docs[i, t or ""]) if m not in gone[i, t or ""]))
 
 
+def lines_that_stand_earlier(docs, order, run_words):
+    """By definition: the lines of every document that lie in a long run which also stands at an earlier place."""
+    gone, each = defaultdict(set), [(d, [z.strip() for z in own]) for d, own in sorted(docs.items(), key=lambda x: order(x[0]))]
+    for n, (d, x) in enumerate(each):
+        for m, (_, y) in enumerate(each[: n + 1]):
+            for shift in range(1 if m == n else 1 - len(y), len(x)):
+                run = []
+                for i in range(max(0, shift), len(x) + 1):
+                    if i < min(len(x), len(y) + shift) and x[i] == y[i - shift]:
+                        run.append(i)
+                        continue
+                    if sum(len(x[j].split()) for j in run) >= run_words:
+                        gone[d].update(run)
+                    run = []
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_repeated_run_goes(spark, frame, seed):
+    """Few different lines of very different lengths, so that first places often have less in common than later ones."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{n}x{k}" for k in range(size)) for n, size in enumerate([1, 2, 4, 5, 7, 9, 12, 16, 20, 31])] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    rows += [(None, rows[3][1]), (70, None), (71, ""), rows[5]]
+    docs = {(i, t or ""): (t or "").split("\n") for i, t in rows}
+    key = {(r["doc_id"], r["text"] or ""): r["key"] for r in frame(rows).select("doc_id", "text", linededup.text_key().alias("key")).collect()}
+    gone = lines_that_stand_earlier(docs, lambda d: (d[0] is None, d[0] or 0, key[d]), linededup.RUN_WORDS)
+    left = lambda d: "\n".join(z for n, z in enumerate(docs[d]) if n not in gone[d])
+    want = Counter((i, len(gone[i, t or ""]), left((i, t or ""))) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_deleted"], r["text"]) for r in linededup.report(frame(rows)).collect()) == want
+
+
+def test_later_places_with_more_in_common(frame):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    shared, more = line("s", 16), line("m", 25)
+    rows = [(0, "\n".join([line("a", 20), shared, line("b", 20)])), (1, "\n".join([line("c", 9), shared, more])), (2, "\n".join([shared, more, line("d", 9)]))]
+    assert {r["doc_id"]: r["n_deleted"] for r in linededup.report(frame(rows)).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_long_passages_go_once(frame):
     rng = random.Random(4)
     line = lambda n: " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
