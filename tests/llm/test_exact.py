@@ -206,6 +206,15 @@ def test_secret_entropy(frame):
         assert (f"{kind}:2:{2 + len(t)}" in got[i]) == want, (t, got[i])
 
 
+def test_very_long_candidates(frame):
+    texts = ["=" * 60000 + "a1", "0123456789" * 6000 + "g", "ab-" * 30000 + "12", "a1" * 50000]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scanned(frame(list(enumerate(texts)))).collect()}
+    assert not any("entropy" in got[i] for i in range(4))
+    rng = random.Random(5)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789") for _ in range(100_000))
+    assert "entropy_text:0:100000" in secrets.scanned(frame([(0, key)])).first()["spans"].split(",")
+
+
 def plain_fp(text):
     words = re.findall(r"[^\x20\t-\r]+", asc(text or ""))
     if not words:
