@@ -8,7 +8,7 @@ holds an item if consistent diagonals cover enough of the item's windows.
 
 Defined results: NULL and empty texts and items have no windows; an item shorter than a window has one window
 of its own length; a window of nearly only placeholders is no evidence unless the item has no other; repeated
-rows are one document; items with one id are one item's texts. An empty table on either side gives no rows.
+rows are one document; items with one id, or without one, are one item's texts. An empty table on either side gives no rows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -57,8 +57,9 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     strong = each.withColumn("_strong", literal >= F.least(F.lit(LEAST_LITERAL), F.col("size")))
     # Items are short texts; their own windows are grouped by item.
     counts = strong.groupBy("item_id").agg(F.sum(F.col("_strong").cast("int")).alias("_strong_n"), F.count("*").alias("_all_n"))
-    kept = strong.join(counts, "item_id").filter("_strong OR _strong_n = 0")
-    return kept.select("size", "hash", "item_id", F.when(F.col("_strong_n") > 0, F.col("_strong_n")).otherwise(F.col("_all_n")).alias("n_windows"), "place", "words")
+    same = F.col("s.item_id").eqNullSafe(F.col("c.item_id"))
+    kept = strong.alias("s").join(counts.alias("c"), same).filter("_strong OR _strong_n = 0")
+    return kept.select("size", "hash", "s.item_id", F.when(F.col("_strong_n") > 0, F.col("_strong_n")).otherwise(F.col("_all_n")).alias("n_windows"), "place", "words")
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
