@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import saved, text_of
+from shelfwatch.llm.common import saved, small, text_of
 
 WINDOW = 2048
 END = 1
-RANK_SHARDS = 32  # sub-groups in which pieces of one length are counted
+RANK_SHARDS = 32  # least number of sub-groups in which pieces of one length are counted
+SHARD_PIECES = 1_000_000  # pieces of a sub-group, about, where a length has more
 CACHED_WORDS = 400_000  # per Python worker
 
 # Texts of these characters alone are split here as the tokenizer's own rules do; others go to it whole.
@@ -149,27 +150,27 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
     return rows
 
 
-def ranked(cut: DataFrame, shards: int = RANK_SHARDS) -> DataFrame:
-    """rank: number of the piece among those of its length, gapless from 0.
+def ranked(cut: DataFrame, counts: DataFrame, shards: int = RANK_SHARDS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """rank: number of the piece among those of its length, gapless from 0. `counts`: length, count.
 
-    Counted within (length, shard), since one length may hold a third of all pieces; the starts of these
-    groups are at most window x shards rows, whatever the input.
+    Counted within (length, shard), since one length may hold a third of all pieces or far more than a task
+    should sort; their starts are at most window x shards rows and one for every `shard_pieces` pieces.
     """
-    rows = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    shares = counts.select("length", F.greatest(F.lit(shards), F.ceil(F.col("count") / shard_pieces)).alias("_shards"))
+    rows = cut.join(F.broadcast(shares), "length").withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "_shards"))
     sizes = rows.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
     start = F.sum("_n").over(Window.partitionBy("length").orderBy("_shard")) - F.col("_n")
     place = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "start", "ids_crc32"))
-    return (
-        rows.withColumn("_place", place)
-        .join(F.broadcast(sizes.select("length", "_shard", start.alias("_start"))), ["length", "_shard"])
-        .select(*cut.columns, (F.col("_start") + F.col("_place") - 1).alias("rank"))
-    )
+    starts = small(saved(sizes.select("length", "_shard", start.alias("_start")), "piece-starts"))
+    return rows.withColumn("_place", place).join(starts, ["length", "_shard"]).select(
+        *cut.columns, (F.col("_start") + F.col("_place") - 1).alias("rank"))
 
 
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces with sequence_id and offset. Tokenises once: the pieces are written before they are counted."""
     cut = saved(pieces(docs, tokenizer, window), "pieces")
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `window` rows
+    lengths = saved(cut.groupBy("length").count(), "piece-lengths")  # at most `window` rows
+    counts = {r["length"]: r["count"] for r in lengths.collect()}
     rows = sorted(plan(counts, window))
     length, first, copies, sequence, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 5
     keys = (length << 40) + first
@@ -183,4 +184,4 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             columns += [pa.array(sequence[at] + nth // copies[at]), pa.array(offset[at] + nth % copies[at] * n)]
             yield pa.record_batch(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked(cut).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked(cut, lengths).mapInArrow(place, PIECES + ", sequence_id long, offset long")
