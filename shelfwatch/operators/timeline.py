@@ -1,9 +1,10 @@
 """Ordered operators per key that hold when one key owns a large share of all rows.
 
-A plain window over a key sends the whole key to one task. Here a key's timeline is cut into
-fixed time slots; each (key, slot) is windowed on its own and a small per-slot summary carries
-what a slot needs from earlier ones. Results equal the plain window exactly. Rows are shuffled
-once by (key, slot); only summaries are shuffled by key.
+A plain window over a key sends the whole key to one task. Here all rows are dealt into ranges of about
+equal row count by (keys, ts, tie), whatever their times, and written with the number of their range. Each
+(key, range) is windowed on its own. A key that crosses range edges carries a small summary over each edge;
+as ranges follow each other in order, at most one key enters a range from an earlier one, so there are no
+more summaries than ranges. Results equal the plain window exactly.
 
 (ts, tie) must order a key's rows. A missing key reads as "" or 0, as in the table schemas, so the
 joins on keys lose no row; a missing time comes first.
@@ -13,20 +14,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLOT = "_slot"
+from shelfwatch.session import work_folder
 
+RANGE = "_range"
+RANGES_PER_PARTITION = 2  # ranges for each shuffle partition, so that tasks even out
 
-BEFORE_ALL_SLOTS = -(2**62)
 
+def in_ranges(
+    df: DataFrame, keys: list[str], ts: str, tie: str, ranges: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """Fill missing keys and add the number of the row's range.
 
-def with_slot(df: DataFrame, keys: list[str], ts: str, slot_seconds: int) -> DataFrame:
-    """Fill missing keys and add the start of the row's time slot, in microseconds."""
-    types = dict(df.dtypes)
+    Range bounds are sampled when rows are dealt, so the dealt rows are written below `folder` or the shared
+    folder: all later reads see the same ranges, and every input is computed here alone.
+    """
+    spark, types = df.sparkSession, dict(df.dtypes)
     for key in keys:
         df = df.withColumn(key, F.coalesce(F.col(key), F.lit("" if types[key] == "string" else 0).cast(types[key])))
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    slot = micros - F.pmod(micros, F.lit(slot_seconds * 1_000_000))
-    return df.withColumn(SLOT, F.coalesce(slot, F.lit(BEFORE_ALL_SLOTS)))
+    count = ranges or RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(count, *keys, ts, tie).withColumn(RANGE, F.spark_partition_id())
+    path = work_folder(spark, "timeline", folder)
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def _carried_in(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Of one row per (key, range), those of keys entering from an earlier range. At most one a range: broadcast."""
+    earlier = F.row_number().over(W.partitionBy(*keys).orderBy(RANGE))
+    return F.broadcast(summaries.withColumn("_nth", earlier).filter("_nth > 1").drop("_nth"))
 
 
 def _order(columns: list[str], newest: bool) -> list[Column]:
@@ -61,93 +76,92 @@ def top_rows(
 
 
 def positions(
-    df: DataFrame, keys: list[str], ts: str, tie: str, name: str = "position", slot_seconds: int = 3600
+    df: DataFrame, keys: list[str], ts: str, tie: str, name: str = "position",
+    ranges: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Row number per key in time order, starting at 1."""
-    slotted = with_slot(df, keys, ts, slot_seconds)
-    earlier = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
+    rows = in_ranges(df, keys, ts, tie, ranges, folder)
+    earlier = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        slotted.groupBy(*keys, SLOT)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        rows.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.sum("_n").over(earlier)).drop("_n")
     )
-    within = W.partitionBy(*keys, SLOT).orderBy(ts, tie)
+    within = W.partitionBy(*keys, RANGE).orderBy(ts, tie)
     return (
-        slotted.join(offsets, [*keys, SLOT])
-        .withColumn(name, F.row_number().over(within) + F.col("_before"))
-        .drop(SLOT, "_before")
+        rows.withColumn(name, F.row_number().over(within))
+        .join(_carried_in(offsets, keys), [*keys, RANGE], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        .select(*df.columns, name)
     )
 
 
 def rolling_mean(
     df: DataFrame, keys: list[str], ts: str, tie: str, value: str, n: int,
-    name: str = "rolling_mean", slot_seconds: int = 3600,
+    name: str = "rolling_mean", ranges: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Mean of value over the last n rows of the key, the current row included.
 
-    The summary of a slot is its last n - 1 rows; a slot's carry-in is the last n - 1 rows of all
-    earlier summaries, found in the n - 1 slots before it since no kept slot is empty.
+    The summary of a range is its last n - 1 rows; what a key carries into a range is the last n - 1 rows of
+    all earlier summaries, found in the n - 1 ranges before it since none of them is without the key. Only
+    keys in several ranges have summaries, so a sparse key adds no rows.
     """
-    rows = with_slot(df, keys, ts, slot_seconds)
+    rows = in_ranges(df, keys, ts, tie, ranges, folder)
+    crossing = rows.groupBy(*keys).agg(F.min(RANGE).alias("_a"), F.max(RANGE).alias("_b")).filter("_a < _b").select(*keys)
     entry = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))
+    ends = rows.select(*keys, RANGE, ts, tie, value).join(F.broadcast(crossing), keys, "left_semi")
     tails = (
-        top_rows(rows.select(*keys, SLOT, ts, tie, value), [*keys, SLOT], [ts, tie], n - 1, shards=1)
-        .groupBy(*keys, SLOT)
+        top_rows(ends, [*keys, RANGE], [ts, tie], n - 1, shards=1)
+        .groupBy(*keys, RANGE)
         .agg(F.sort_array(F.collect_list(entry)).alias("_tail"))
     )
-    before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(-(n - 1), -1)
+    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(-(n - 1), -1)
     carried = (
         tails.withColumn("_all", F.flatten(F.collect_list("_tail").over(before)))
-        .select(*keys, SLOT, F.inline(F.reverse(F.slice(F.reverse("_all"), 1, n - 1))))
-        .select(*keys, SLOT, F.col("ts").alias(ts), F.col("tie").alias(tie),
+        .select(*keys, RANGE, F.inline(F.reverse(F.slice(F.reverse("_all"), 1, n - 1))))
+        .select(*keys, RANGE, F.col("ts").alias(ts), F.col("tie").alias(tie),
                 F.col("value").alias(value), F.lit(True).alias("_carried"))
     )
-    frame = W.partitionBy(*keys, SLOT).orderBy(ts, tie).rowsBetween(-(n - 1), 0)
+    frame = W.partitionBy(*keys, RANGE).orderBy(ts, tie).rowsBetween(-(n - 1), 0)
     return (
         rows.withColumn("_carried", F.lit(False))
         .unionByName(carried, allowMissingColumns=True)
         .withColumn(name, F.avg(value).over(frame))
         .filter(~F.col("_carried"))
-        .drop("_carried", SLOT)
+        .select(*df.columns, name)
     )
 
 
 def as_of(
     lookups: DataFrame, values: DataFrame, keys: list[str], ts: str, tie: str, value: str,
-    ttl_seconds: int | None = None, name: str | None = None, slot_seconds: int = 3600,
+    ttl_seconds: int | None = None, name: str | None = None, ranges: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Attach to each lookup the key's newest earlier value, if younger than the time to live."""
-    return as_of_each(lookups, {name or value: values}, keys, ts, tie, value, ttl_seconds, slot_seconds)
+    return as_of_each(lookups, {name or value: values}, keys, ts, tie, value, ttl_seconds, ranges, folder)
 
 
 def as_of_each(
     lookups: DataFrame, sources: dict[str, DataFrame], keys: list[str], ts: str, tie: str, value: str,
-    ttl_seconds: int | None = None, slot_seconds: int = 3600,
+    ttl_seconds: int | None = None, ranges: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Attach to each lookup the newest earlier value of every source, in one pass over all rows.
 
     "Earlier" is by (ts, tie); a value at the very same position is not seen. The summary of a
-    slot is its newest value, so carry-in is one running maximum over the key's slots.
+    range is its newest value, so what a key carries is one running maximum over its ranges.
     """
     places = {name: f"_new_{i}" for i, name in enumerate(sources)}
     newest = F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v"))
-    looked = with_slot(lookups, keys, ts, slot_seconds).withColumn("_is_value", F.lit(0))
-    rows = looked
-    # Slots of lookups are in the carry table too, with NULL summaries, so each finds its carry-in.
-    slots = looked.select(*keys, SLOT)
+    union = lookups.withColumn("_is_value", F.lit(0))
     for name, values in sources.items():
-        given = with_slot(
-            values.select(*keys, ts, tie, value).filter(F.col(value).isNotNull()), keys, ts, slot_seconds
-        ).select(*keys, ts, tie, SLOT, newest.alias(places[name]), F.lit(1).alias("_is_value"))
-        rows = rows.unionByName(given, allowMissingColumns=True)
-        slots = slots.unionByName(given.select(*keys, SLOT, places[name]), allowMissingColumns=True)
-    earlier = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
-    carry = slots.groupBy(*keys, SLOT).agg(*[F.max(p).alias(p) for p in places.values()]).select(
-        *keys, SLOT, *[F.max(p).over(earlier).alias(f"{p}_carry") for p in places.values()]
+        given = values.filter(F.col(value).isNotNull()).select(
+            *keys, ts, tie, newest.alias(places[name]), F.lit(1).alias("_is_value"))
+        union = union.unionByName(given, allowMissingColumns=True)
+    rows = in_ranges(union, keys, ts, tie, ranges, folder)
+    earlier = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, RANGE).agg(*[F.max(p).alias(p) for p in places.values()]).select(
+        *keys, RANGE, *[F.max(p).over(earlier).alias(f"{p}_carry") for p in places.values()]
     )
     within = (
-        W.partitionBy(*keys, SLOT).orderBy(ts, tie, "_is_value")
+        W.partitionBy(*keys, RANGE).orderBy(ts, tie, "_is_value")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
 
@@ -161,8 +175,8 @@ def as_of_each(
 
     kept = [c for c in lookups.columns if c not in places]
     return (
-        rows.join(carry, [*keys, SLOT])
-        .select("*", *[F.max(p).over(within).alias(f"{p}_seen") for p in places.values()])
+        rows.select("*", *[F.max(p).over(within).alias(f"{p}_seen") for p in places.values()])
         .filter(F.col("_is_value") == 0)
+        .join(_carried_in(carry, keys), [*keys, RANGE], "left")
         .select(*kept, *[result(n, p) for n, p in places.items()])
     )

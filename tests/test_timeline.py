@@ -12,7 +12,7 @@ from shelfwatch.operators.verdicts import shared_verdicts
 @pytest.fixture(scope="module")
 def rows(spark):
     hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 40))
-    # Several rows share a time; some slots are crowded and others empty.
+    # Several rows share a time; some hours are crowded and others empty.
     second = F.floor(F.pow(F.rand(7), 3) * 90000).cast("int")
     return spark.range(0, 3000, 1, 4).select(
         F.col("id").alias("n"), hot.alias("key"), F.timestamp_seconds(second).alias("ts"), (F.rand(3) * 100).alias("v"),
@@ -28,16 +28,16 @@ def table(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-@pytest.mark.parametrize("seconds", [60, 3600, 1000000])
-def test_positions(rows, seconds):
-    got = tl.positions(rows, ["key"], "ts", "n", "p", seconds)
+@pytest.mark.parametrize("ranges", [1, 8, 150])
+def test_positions(rows, ranges):
+    got = tl.positions(rows, ["key"], "ts", "n", "p", ranges)
     assert table(got, "n", "p") == table(rows.withColumn("p", F.row_number().over(order())), "n", "p")
 
 
-@pytest.mark.parametrize("seconds", [60, 3600, 1000000])
+@pytest.mark.parametrize("ranges", [1, 8, 150])
 @pytest.mark.parametrize("n", [2, 50])
-def test_rolling_mean(rows, seconds, n):
-    got = tl.rolling_mean(rows, ["key"], "ts", "n", "v", n, "m", seconds)
+def test_rolling_mean(rows, ranges, n):
+    got = tl.rolling_mean(rows, ["key"], "ts", "n", "v", n, "m", ranges)
     want = rows.withColumn("m", F.avg("v").over(order().rowsBetween(-(n - 1), 0)))
     rounded = F.round("m", 8).alias("m")
     assert table(got, "n", rounded) == table(want, "n", rounded)
@@ -51,10 +51,10 @@ def test_top_rows(rows, newest):
 
 
 @pytest.mark.parametrize("ttl", [None, 900])
-@pytest.mark.parametrize("seconds", [60, 3600])
-def test_as_of(rows, ttl, seconds):
+@pytest.mark.parametrize("ranges", [8, 150])
+def test_as_of(rows, ttl, ranges):
     values = rows.filter("is_value")
-    got = tl.as_of(rows.select("n", "key", "ts"), values, ["key"], "ts", "n", "v", ttl, "found", seconds)
+    got = tl.as_of(rows.select("n", "key", "ts"), values, ["key"], "ts", "n", "v", ttl, "found", ranges)
     before = order().rowsBetween(W.unboundedPreceding, -1)
     seen = F.last(F.when(F.col("is_value"), F.struct("ts", "v")), ignorenulls=True).over(before)
     fresh = F.lit(True) if ttl is None else (F.unix_timestamp("ts") - F.unix_timestamp(F.col("s.ts"))) < ttl
@@ -63,6 +63,29 @@ def test_as_of(rows, ttl, seconds):
     assert sorted(map(key, got.select("n", "found").collect())) == sorted(map(key, want.select("n", "found").collect()))
 
 
+def test_ranges_stay_even(spark):
+    """One key has nine tenths of the rows, all within an hour; the other keys have no times."""
+    hot = F.col("id") % 10 > 0
+    df = spark.range(0, 40000, 1, 8).select(
+        F.col("id").alias("n"), F.when(hot, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("key"),
+        F.when(hot, F.timestamp_seconds(F.col("id") % 3600)).alias("ts"))
+    dealt = tl.in_ranges(df, ["key"], "ts", "n", 16)
+    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert sum(sizes) == 40000 and max(sizes) < 2 * 40000 / 16
+    untimed = tl.in_ranges(df.withColumns({"key": F.lit("one"), "ts": F.lit(None).cast("timestamp")}), ["key"], "ts", "n", 16)
+    sizes = [r["count"] for r in untimed.groupBy("_range").count().collect()]
+    assert sum(sizes) == 40000 and max(sizes) < 2 * 40000 / 16
+    p = F.row_number().over(order())
+    assert table(tl.positions(df, ["key"], "ts", "n", "p", 16), "n", "p") == table(df.withColumn("p", p), "n", "p")
+
+
+def test_timelines_of_empty_tables(rows):
+    none = rows.filter("false")
+    assert tl.positions(none, ["key"], "ts", "n").count() == 0
+    assert tl.rolling_mean(none, ["key"], "ts", "n", "v", 3).count() == 0
+    assert tl.as_of(none, none, ["key"], "ts", "n", "v").count() == 0
+
+
 def test_hot_limits_run_in_map_tasks(rows):
     plan = tl.top_rows(rows, ["key"], ["ts", "n"], 20)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Partial") >= 2 and "WindowGroupLimit" in plan
@@ -104,9 +127,9 @@ def test_shared_verdict_of_first_response(spark):
 def test_missing_keys_and_times_keep_their_rows(spark):
     data = [(1, None, 5), (2, None, 3), (3, "a", None), (4, "a", 1), (5, None, None)]
     df = spark.createDataFrame(data, "n int, key string, second int").withColumn("ts", F.timestamp_seconds("second"))
-    got = {r.n: (r.key, r.p) for r in tl.positions(df, ["key"], "ts", "n", "p", 2).collect()}
+    got = {r.n: (r.key, r.p) for r in tl.positions(df, ["key"], "ts", "n", "p", 3).collect()}
     assert got == {1: ("", 3), 2: ("", 2), 3: ("a", 1), 4: ("a", 2), 5: ("", 1)}
-    means = {r.n: r.m for r in tl.rolling_mean(df.withColumn("v", F.col("n") * 1.0), ["key"], "ts", "n", "v", 2, "m", 2).collect()}
+    means = {r.n: r.m for r in tl.rolling_mean(df.withColumn("v", F.col("n") * 1.0), ["key"], "ts", "n", "v", 2, "m", 3).collect()}
     assert means == {5: 5.0, 2: 3.5, 1: 1.5, 3: 3.0, 4: 3.5}
-    found = {r.n: r.n_before for r in tl.as_of(df, df, ["key"], "ts", "n", "n", None, "n_before", 2).collect()}
+    found = {r.n: r.n_before for r in tl.as_of(df, df, ["key"], "ts", "n", "n", None, "n_before", 3).collect()}
     assert found == {5: None, 2: 5, 1: 2, 3: None, 4: 3}
