@@ -10,7 +10,7 @@ from corpus_help import DATA, frame  # noqa: F401
 from test_exact import ODD, docs_of
 
 import corpus_pipeline
-from shelfwatch.llm import decontaminate, linededup, quality, toxicity
+from shelfwatch.llm import decontaminate, linededup, nearcopies, quality, toxicity
 
 FIRST = "/root/testdata/sf0.01"
 
@@ -229,3 +229,53 @@ def test_stages_on_odd_and_empty_rows(spark, frame):
             assert out.count() <= len(rows) + 50
             if name == "near_dedup" and rows:
                 assert len({(r["doc_id"], r["text"]) for r in out.collect()}) == out.count()
+
+
+def test_near_copies_of_five_words(spark, frame):
+    """Planted copies and near misses, a crowd and odd rows against all pairs in plain Python."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(12):
+        base = words(rng.randrange(60, 300))
+        rows.append((len(rows), " ".join(base)))
+        for share in (0.005, 0.015, 0.04, 0.1):
+            rows.append((len(rows), " ".join(w if rng.random() > share else "x" + w for w in base)))
+    crowd = words(200)
+    for _ in range(60):
+        at = rng.randrange(200)
+        rows.append((len(rows), " ".join([*crowd[:at], words(1)[0], *crowd[at + 1 :]])))
+    rows += [(None, rows[0][1]), (900, ""), (901, None), (902, "a b c"), (903, "A  b c"), (904, "a b d")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        groups.setdefault(r, []).append((i is None, i))
+    want = sorted(min(g)[1] for g in groups.values())
+    assert len(want) < len(rows) - 70
+    out = corpus_pipeline.near_dedup(spark, frame(rows), DATA)
+    assert out.columns == frame(rows).columns and sorted(r["doc_id"] for r in out.collect()) == want
+
+
+def test_crowds_split_like_pairs(frame):
+    """The way over leaders gives the groups of all pairs, also where copies drift away from each other."""
+    rng = random.Random(8)
+    text, rows = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+    for i in range(40):
+        text[rng.randrange(120)] = f"v{i}"
+        rows.append((i, " ".join(text)))
+
+    def groups(crowd):
+        by = {}
+        for r in nearcopies.clustered(frame(rows), crowd).collect():
+            by.setdefault(r["root"], set()).add(r["doc_id"])
+        return sorted(map(sorted, by.values()))
+
+    assert groups(2) == groups(1000) == [list(range(40))]
