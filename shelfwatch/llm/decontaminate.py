@@ -1,10 +1,11 @@
 """Benchmark decontamination by templates.
 
-Numbers, the units after them and names (capitalised words within a sentence) become typed placeholders that
-remember their values. Rolling windows of the remaining template are hashed and joined to the windows of the
+Numbers, the units after them and names (capitalised words, but for a fixed list of common words) become typed
+placeholders that remember their values. Rolling windows of the remaining template are hashed and joined to the windows of the
 benchmark's templates. On each diagonal (document place - item place) the placeholder values of both sides
 must correspond one to one; then a question with other names and numbers is the same question. A document
-holds an item if consistent diagonals cover enough of the item's windows.
+holds an item if consistent diagonals cover enough of the item's windows. A second channel takes the plain
+lowered words the same way, for copies in other case; the better channel counts.
 
 Defined results: NULL and empty texts and items have no windows; an item shorter than a window has one window
 of its own length; a window of nearly only placeholders is no evidence unless the item has no other; repeated
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import BROADCAST_ROWS, steps, text_key, text_of, words_of
+from shelfwatch.llm.spotsigs import ANCHORS
 
 WINDOW = 8
 LEAST_LITERAL = 4  # words of a window that are no placeholder
@@ -23,16 +25,31 @@ LEAST_SHARE = 0.25  # of an item's windows
 UNITS = ("kg|g|mg|lb|lbs|km|cm|mm|m|mi|mile|miles|meter|meters|metre|metres|foot|feet|inch|inches|hour|hours|hr|minute|minutes|min|"
          "second|seconds|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|percent|liter|liters|litre|litres|"
          "ml|mph|kmh|degrees")
+# Words that are no names where a sentence begins with them, besides the anchors of `spotsigs`.
+COMMON = ANCHORS + """
+i we you me him them us my your our their its who whom whose what when where which why how if then than there these those each every
+all both some any many much more most no none only just also so because although though while since until after before during between
+about over under into out up down were been had did do does can could will would should may might must one two three four five six
+seven eight nine ten first second third next last finally later now today yesterday tomorrow suppose find calculate compute
+determine let given assume consider say says said
+""".split()
 MARK = "\u0001"
+JOIN = "\u0002"  # stands for a point or comma between digits, so that 1,200 is one number
 NAME, NUMBER, UNIT = MARK + "n", MARK + "d", MARK + "u"
 
 
 def tokens(text: Column) -> Column:
     """Lowered words in order; a placeholder is its mark followed by its value."""
-    bare = F.translate(text, MARK, " ")
-    names = F.regexp_replace(bare, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{L}*", NAME + "$0")
-    numbers = F.regexp_replace(names, rf"(\d+)(?:\s?((?i:{UNITS})\b|[%$€£]))?", f" {NUMBER}$1 {UNIT}$2 ")
-    return words_of(F.lower(numbers), r"[^\p{L}\p{N}\x01%$€£]+")
+    bare = F.regexp_replace(F.translate(text, MARK + JOIN, "  "), r"(?<=\d)[.,](?=\d)", JOIN)
+    common = "|".join(sorted(set(COMMON)))
+    names = F.regexp_replace(bare, rf"(?<![\p{{L}}\p{{N}}])(?!(?iu:{common})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{L}}*", f" {NAME}$0")
+    numbers = F.regexp_replace(names, rf"(\d[\d\x02]*)(?:\s?((?i:{UNITS})\b|[%$€£]))?", f" {NUMBER}$1 {UNIT}$2 ")
+    return words_of(F.lower(numbers), r"[^\p{L}\p{N}\x01\x02%$€£]+")
+
+
+def plain(text: Column) -> Column:
+    """Lowered words in order, without placeholders."""
+    return words_of(F.lower(F.translate(text, MARK, " ")), r"[^\p{L}\p{N}]+")
 
 
 def _template(words: Column) -> Column:
@@ -47,9 +64,9 @@ def _windows(template: Column, size: Column) -> Column:
     return F.transform(steps(F.size(template) - size + 1), lambda i: F.xxhash64(F.slice(template, i + 1, size)))
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+def item_windows(items: DataFrame, window: int = WINDOW, words=tokens) -> DataFrame:
     """size, hash, item_id, n_windows, place, words: the windows that are evidence."""
-    rows = items.select("item_id", tokens(text_of()).alias("words")).filter(F.size("words") > 0)
+    rows = items.select("item_id", words(text_of()).alias("words")).filter(F.size("words") > 0)
     rows = rows.withColumn("size", F.least(F.size("words"), F.lit(window))).withColumn("template", _template(F.col("words")))
     each = rows.select("item_id", "words", "size", F.posexplode(_windows(F.col("template"), F.col("size"))).alias("place", "hash"))
     each = each.withColumn("words", F.slice("words", F.col("place") + 1, F.col("size")))
@@ -62,17 +79,17 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return kept.select("size", "hash", "s.item_id", F.when(F.col("_strong_n") > 0, F.col("_strong_n")).otherwise(F.col("_all_n")).alias("n_windows"), "place", "words")
 
 
-def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, words=tokens) -> DataFrame:
     """One row per window of a document that is a window of an item.
 
     The item side is broadcast if it is counted to be small; else both sides are shuffled by hash and a window
     carries its own words alone.
     """
-    of_items = item_windows(items, window).withColumnsRenamed({"words": "item_words"})
+    of_items = item_windows(items, window, words).withColumnsRenamed({"words": "item_words"})
     # Windows shorter than usual exist for the lengths of short items alone.
     sizes = [r["size"] for r in of_items.select("size").distinct().collect()]  # at most `window` numbers
     few = of_items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select("doc_id", text_key().alias("_key"), tokens(text_of()).alias("words")).withColumn("template", _template(F.col("words")))
+    rows = docs.select("doc_id", text_key().alias("_key"), words(text_of()).alias("words")).withColumn("template", _template(F.col("words")))
     out = None
     for size in sizes:
         rolled = rows.select("doc_id", "_key", "words", F.posexplode(_windows(F.col("template"), F.lit(size))).alias("at", "hash"))
@@ -91,8 +108,14 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, _key, item_id, coverage, exact: which document holds which item."""
-    hit = window_hits(docs, items, window)
+    """doc_id, _key, item_id, coverage, exact: which document holds which item, by the channel that covers more."""
+    both = _channel(docs, items, window, share, tokens).unionByName(_channel(docs, items, window, share, plain))
+    best = both.groupBy("doc_id", "_key", "item_id").agg(F.max(F.struct("coverage", "exact")).alias("best"))
+    return best.select("doc_id", "_key", "item_id", "best.coverage", "best.exact")
+
+
+def _channel(docs: DataFrame, items: DataFrame, window: int, share: float, words) -> DataFrame:
+    hit = window_hits(docs, items, window, words)
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("i"), F.col("own_words").alias("d")), lambda z: _is_slot(z["i"]))
     pairs = F.transform(slots, lambda z: F.struct(z["i"].alias("i"), z["d"].alias("d")))
     same = F.forall(F.arrays_zip(F.col("item_words").alias("i"), F.col("own_words").alias("d")), lambda z: z["i"].eqNullSafe(z["d"]))

@@ -138,6 +138,24 @@ def test_templates_with_other_values(spark, frame):
     assert decontaminate.report(frame([]), items).count() == 0
 
 
+def test_names_at_sentence_starts_whole_numbers_and_other_case(spark, frame):
+    """Questions with other names and numbers, also at sentence starts, and copies in other case."""
+    books = "Anna had 12 books. Ben had 7 books. Anna lost 3 books. Ben found 5 books. Who has more?"
+    train = "The train covers 1,200 miles in 3.5 hours and then covers 450.5 miles in 6.5 hours, so how fast is it?"
+    items = spark.createDataFrame([(1, books), (2, train), (3, ITEM)], "item_id long, text string")
+    swap = lambda t, by: re.sub("|".join(map(re.escape, by)), lambda m: by[m[0]], t)
+    docs = [
+        (1, '"' + swap(books, {"Anna": "Lily", "Ben": "Max", "12": "31", "7": "44", "3": "9", "5": "2"})),
+        (2, swap(train, {"1,200": "900", "3.5": "4", "450.5": "300", "6.5": "7"})),
+        (3, "SOME TEXT. " + ITEM.upper()),
+        (4, swap(books, {"Ben had": "Max had", "Ben found": "Tim found", "12": "31", "7": "31", "3": "31", "5": "2"})),
+        (5, ITEM.lower()),
+        (6, "Some other story about miles and hours. Nobody had books."),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.report(frame(docs), items).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 3): True, (5, 3): True}
+
+
 def test_big_benchmarks_are_shuffled(spark, frame, monkeypatch):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
