@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import decontaminate, licenses, linededup, packing, quality, secrets, shards, simhash, spotsigs, toxicity
+from shelfwatch.llm import (
+    decontaminate, hiddenstates, licenses, linededup, packing, quality, resample, secrets, shards, simhash, spotsigs, toxicity, vectorcodes,
+)
 from shelfwatch.session import ship_package, work_folder
 
 
@@ -62,6 +64,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hiddenstates.digest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_template_decontamination": op1, "op2_slack_packing": op2, "op3_license_diagonals": op3, "op4_spot_signatures": op4,
     "op5_entropy_secrets": op5, "op6_golay_simhash": op6, "op7_random_index_quality": op7, "op8_lexicon_toxicity": op8,
-    "op9_virtual_slots": op9, "op10_winnowed_lines": op10, "pipeline": pipeline,
+    "op9_virtual_slots": op9, "op10_winnowed_lines": op10, "op11_orchard_codes": op11,
+    "op12_median_resampling": op12, "op13_hidden_states": op13, "pipeline": pipeline,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_orchard_codes": vectorcodes.SQL}
