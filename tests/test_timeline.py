@@ -1,11 +1,13 @@
 """Ordered operators against plain windows, with a key that owns a third of all rows."""
 
+import random
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwatch.operators import timeline as tl
-from shelfwatch.operators.products import deduplicated
+from shelfwatch.operators.products import deduplicated, with_keys
 from shelfwatch.operators.verdicts import shared_verdicts
 
 
@@ -113,6 +115,51 @@ def test_dedup_of_chained_keys_and_page_addresses(spark):
     assert deduplicated(df.filter("false"), ["n"]).count() == 0
 
 
+def in_order(data):
+    """(n, source, url, asin, place): what a pass in order keeps."""
+    seen, kept = set(), set()
+    for n, source, url, asin, _ in sorted(data, key=lambda r: (r[4], r[0])):
+        keys = {k for k in (("url", url) if url else None, ("id", source, asin) if asin else None) if k}
+        if not keys & seen:
+            seen |= keys
+            kept.add(n)
+    return kept
+
+
+@pytest.mark.parametrize("settle", [0, 5, 60, 100_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dedup_settles_groups_of_any_size(spark, seed, settle):
+    """Random graphs of keys from loose to one large group, in one pass, by groups and in rounds alone."""
+    rng = random.Random(seed)
+    data = [(i, f"s{rng.randrange(2)}", rng.choice(["", f"u{rng.randrange(90)}"]), rng.choice(["", f"a{rng.randrange(60)}"]), f"t{rng.randrange(40):02d}")
+            for i in range(150)]
+    chain = [(1000 + i, "c", f"v{(i + 1) // 2}", f"b{i // 2}", f"t{i:03d}") for i in range(11)]
+    df = spark.createDataFrame(data + chain, "n int, source string, url string, asin string, extracted_at string")
+    assert {r.n for r in deduplicated(df, ["n"], settle=settle).collect()} == in_order(data + chain)
+
+
+def test_long_chains_take_few_writes(spark, tmp_path):
+    """Each row shares a key with the one before and the one after, urls and asins in turn."""
+    data = [(i, "s", f"u{(i + 1) // 2}", f"a{i // 2}", i) for i in range(10_000)]
+    df = spark.createDataFrame(data, "n int, source string, url string, asin string, extracted_at int").repartition(4)
+    kept = deduplicated(df, ["n"], folder=str(tmp_path))
+    assert [r.n for r in kept.orderBy("n").collect()] == list(range(0, 10_000, 2))
+    assert len(list((tmp_path / "shelfwatch").iterdir())) == 2
+    # Two chains as groups of their own, found by halving links: some twenty tables instead of hundreds.
+    folder = tmp_path / "groups"
+    chains = spark.createDataFrame(data[:600] + [(n + 20_000, "z", f"z{u}", a, t) for n, _, u, a, t in data[:600]], df.schema)
+    assert deduplicated(chains, ["n"], folder=str(folder), settle=600).count() == 600
+    assert len(list((folder / "shelfwatch").iterdir())) < 30
+
+
+def test_dedup_against_known_rows(spark):
+    data = [(1, "s", "u1", "a1", 1), (2, "s", "u2", "", 2), (3, "s", "", "a3", 3), (4, "s", "u1", "a4", 4), (5, "s", "", "", 5)]
+    df = spark.createDataFrame(data, "n int, source string, url string, asin string, extracted_at int")
+    known = with_keys(df.filter("n <= 3"), ["n"])
+    again = spark.createDataFrame([(6, "s", "u9", "a1", 1), (7, "s", "u2", "a7", 1), (8, "s", "u8", "a7", 2), (9, "s", "u8", "", 3)], df.schema)
+    assert {r.n for r in deduplicated(again, ["n"], known=known).collect()} == {8}
+
+
 def test_shared_verdict_of_first_response(spark):
     opening = "o" * 500
     data = [(3, 200, opening + " captcha i am not a robot"), (1, 200, opening), (2, 200, opening + " access denied"),
