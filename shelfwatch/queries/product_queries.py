@@ -23,7 +23,7 @@ FROM part, (SELECT 1 AS copy UNION ALL SELECT 2) c
 """.strip()
 
 
-def _copies(t: Tables):
+def copies(t: Tables):
     doubled = t("part").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     key = F.col("p_partkey")
     return doubled.select(
@@ -36,7 +36,7 @@ def _copies(t: Tables):
 
 
 def deduplicated(t: Tables):
-    return op.deduplicated(_copies(t), ["p_partkey", "copy"]).select("p_partkey", "copy", "source", "url", "asin")
+    return op.deduplicated(copies(t), ["p_partkey", "copy"]).select("p_partkey", "copy", "source", "url", "asin")
 
 
 DEDUP_SQL = f"""WITH RECURSIVE c AS ({COPIES}),
@@ -68,7 +68,7 @@ SELECT p_partkey, title, CASE WHEN length(title) >= 5 AND NOT regexp_matches(pri
 
 
 def by_source(t: Tables):
-    return op.by_source(_copies(t))
+    return op.by_source(copies(t))
 
 
 # ---- Verdict JSON, one per attempt; every fifth has a field of the wrong kind ------------------

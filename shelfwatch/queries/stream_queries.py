@@ -1,10 +1,14 @@
 """Streams over the event table, run to the end of what is there."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwatch.queries.product_queries import DEDUP_SQL, copies
 from shelfwatch.queries.tables import ATTEMPTS, Tables
 from shelfwatch.session import JOB_CONF, work_folder
 from shelfwatch.streaming import attempt_streams as st
+from shelfwatch.streaming.batch_ledger import BatchLedger, with_ledger
+from shelfwatch.streaming.product_streams import KeptProducts, distinct_products
 
 A = f"WITH a AS ({ATTEMPTS})"
 
@@ -23,8 +27,10 @@ def _run(t: Tables, name: str, stream):
     return t.spark.read.parquet(f"{folder}/rows")
 
 
-def _run_stateful(t: Tables, name: str, build):
-    """Keyed list state needs the RocksDB store, and state with a time to live would ask for empty
+def _run_state(t: Tables, name: str, variable: str, build):
+    """The state table after the stream's end.
+
+    Keyed list state needs the RocksDB store, and state with a time to live would ask for empty
     batches without end. The session's own settings come back afterwards."""
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": JOB_CONF["spark.sql.streaming.stateStore.providerClass"],
@@ -34,10 +40,20 @@ def _run_stateful(t: Tables, name: str, build):
     for key, value in wanted.items():
         t.spark.conf.set(key, value)
     try:
-        return _run(t, name, build(_stream(t)))
+        checkpoint = f"{work_folder(t.spark, name)}/checkpoint"
+        st.keep_state(build(_stream(t)), checkpoint).awaitTermination()
     finally:
         for key, value in before.items():
             t.spark.conf.set(key, value)
+    return st.state_table(t.spark, checkpoint, variable)
+
+
+def _landed(t: Tables, folder: str, rows, pieces: int, run):
+    """Let the rows arrive piece by piece (column piece): after each landing run(stream) takes the new files."""
+    schema = rows.drop("piece").schema
+    for n in range(pieces):
+        rows.filter(F.col("piece") == n).drop("piece").write.mode("append").parquet(f"{folder}/landing")
+        run(t.spark.readStream.schema(schema).parquet(f"{folder}/landing"))
 
 
 def appended(t: Tables):
@@ -50,24 +66,51 @@ def distinct(t: Tables):
     return rows.select("url").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_copies(t: Tables):
+    """Products in four landings, in the order of their extraction, deduplicated as they come."""
+    folder, row_key = work_folder(t.spark, "r2-products"), ["p_partkey", "copy"]
+    rows = copies(t).withColumn("piece", (F.col("copy") - 1) * 2 + F.floor(F.col("p_partkey") % 10 / 5))
+    run = lambda stream: distinct_products(stream, f"{folder}/kept", f"{folder}/checkpoint", row_key).awaitTermination()
+    _landed(t, folder, rows, 4, run)
+    kept = KeptProducts(t.spark, f"{folder}/kept", row_key).rows(rows.drop("piece").schema)
+    return kept.select("p_partkey", "copy", "source", "url", "asin")
+
+
 def metrics(t: Tables):
-    m = st.merged_metrics(_run_stateful(t, "r3", st.metrics_state))
+    m = st.state_metrics(_run_state(t, "r3", "state", lambda stream: st.metrics_state(stream, emit=False)))
     return m.withColumn("avg_response_time", F.round("avg_response_time", 6)).withColumn("success_rate", F.round("success_rate", 6))
 
 
 def cache(t: Tables):
     def build(stream):
-        return st.cached_state(stream.filter("success"), ["site", "page_pattern"], "ts", "event_id", "level")
+        return st.cached_state(stream.filter("success"), ["site", "page_pattern"], "ts", "event_id", "level", emit=False)
 
-    emitted = _run_stateful(t, "r4", build)
     now = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
-    return st.merged_cache(emitted, ["site", "page_pattern"], now).select(
+    return st.merged_cache(_run_state(t, "r4", "held", build), ["site", "page_pattern"], now).select(
         "site", "page_pattern", F.col("value").cast("int").alias("level"))
 
 
 def history(t: Tables):
-    emitted = _run_stateful(t, "r5", st.history_state)
-    return st.merged_history(emitted, ["url"], 20).select("url", "history_rank", F.col("row_id").alias("event_id"))
+    state = _run_state(t, "r5", "state", lambda stream: st.history_state(stream, emit=False))
+    return st.state_history(state, ["url"], 20).select("url", "history_rank", F.col("row_id").alias("event_id"))
+
+
+def late_rows(t: Tables):
+    """Events in three landings: two halves in time order, then a tenth of all, most of it long past the watermark."""
+    folder, a = work_folder(t.spark, "r7"), t.attempts()
+    half = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
+    rows = a.select("event_id", "ts", F.when(F.col("event_id") % 10 == 3, 2).when(F.col("ts") < half, 0).otherwise(1).alias("piece"))
+    ledger = BatchLedger(t.spark, f"{folder}/ledger", "r7")
+
+    def run(stream):
+        kept = st.distinct_within(stream, "ts", ["event_id"], "1 hour")
+        writer = kept.writeStream.queryName("r7").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        with_ledger(ledger, lambda: writer.trigger(availableNow=True).start())
+
+    _landed(t, folder, rows, 3, run)
+    arrived = ledger.rows().filter("rows_in > 0")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("batch"))
+    return arrived.select(nth.alias("landing"), "rows_in", "rows_dropped")
 
 
 def windows(t: Tables):
@@ -81,6 +124,7 @@ def windows(t: Tables):
 QUERIES = {
     "r1_appended": (appended, f"{A} SELECT site, count(*) AS n, round(sum(latency_ms), 3) AS latency_ms FROM a GROUP BY 1"),
     "r2_distinct_urls": (distinct, f"{A} SELECT DISTINCT url, 1 AS n FROM a"),
+    "r2_distinct_products": (distinct_copies, DEDUP_SQL),
     "r3_metrics": (metrics, f"""{A}, c AS (SELECT site, sum(success::INT)::BIGINT AS ok, sum((NOT success)::INT)::BIGINT AS bad, count(*) AS total FROM a GROUP BY 1),
         n AS (SELECT site, avg(latency_ms) / 1000 AS mean FROM (SELECT site, latency_ms, row_number() OVER
               (PARTITION BY site ORDER BY ts DESC, event_id DESC) AS r FROM a WHERE success) x WHERE r <= 50 GROUP BY 1)
@@ -93,4 +137,8 @@ QUERIES = {
         (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS r FROM a) x WHERE r <= 20"""),
     "r6_windowed_stats": (windows, f"""{A} SELECT strftime(ts, '%Y-%m-%d') AS day, site, block_type, count(*) AS n FROM a
         GROUP BY 1, 2, 3"""),
+    "r7_late_rows": (late_rows, f"""{A}, p AS (SELECT ts, CASE WHEN event_id % 10 = 3 THEN 3 WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 1 ELSE 2 END AS landing FROM a),
+        m AS (SELECT landing, max(ts) AS top FROM p GROUP BY 1),
+        w AS (SELECT p.landing, p.ts, (SELECT max(date_trunc('milliseconds', top)) - INTERVAL 1 HOUR FROM m WHERE m.landing < p.landing) AS mark FROM p)
+        SELECT row_number() OVER (ORDER BY landing)::INT AS landing, count(*) AS rows_in, count(*) FILTER (ts <= mark) AS rows_dropped FROM w GROUP BY w.landing"""),
 }

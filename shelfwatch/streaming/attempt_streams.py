@@ -2,7 +2,11 @@
 
 State is kept by (key, shard): the shard comes from the row's id, so one busy site or URL is
 spread over several state partitions. Every state here can be merged exactly: counters add up, and
-the last n of a key are among the last n of its shards. The `merged_*` functions do that on read.
+the last n of a key are among the last n of its shards.
+
+The current values are read from the state store itself, as a table by the checkpoint (`state_table`): its
+size goes with the keys, not with the batches run, and the stream needs no sink (`keep_state`). A stream that
+feeds a sink instead emits what changed in each batch, and the `merged_*` functions read that.
 """
 
 import sys
@@ -76,7 +80,7 @@ def dropped_rows(query: StreamingQuery) -> int:
     """Rows dropped as older than the watermark, over the whole run of the query.
 
     Spark keeps the progress of the last spark.sql.streaming.numRecentProgressUpdates batches; if a longer
-    run has lost its first ones, this raises instead of counting less.
+    run has lost its first ones, this raises instead of counting less. `batch_ledger` counts runs of any length.
     """
     limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates"))
     if len(query.recentProgress) >= limit:
@@ -100,16 +104,31 @@ def distinct_within(stream: DataFrame, ts: str, keys: list[str], late: str = "1
     return timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def keep_state(stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+    """Run a stateful stream for its state alone."""
+    return (
+        stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def state_table(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """A state variable after the last batch of a checkpoint: its key and value columns, one row a key."""
+    rows = spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+    timed_out = "ttlExpirationMs" in rows.schema["value"].dataType.names  # then the value proper lies one deeper
+    return rows.select("key.*", "value.value.*" if timed_out else "value.*")
+
+
 class _LastRows(StatefulProcessor):
     """Keeps the newest rows of a key as (micros, id, value) and two counters, in one value.
 
-    Emits once per batch the rows that entered the history in it, with the counters so far. A row is
+    With emit, gives once per batch the rows that entered the history in it, with the counters so far. A row is
     emitted at most once, so a reader has the history by ranking what was emitted. Rows arrive as
     key values and plain columns micros, row_id, value and success.
     """
 
-    def __init__(self, kept: int, key_names: list[str]):
-        self.kept, self.key_names = kept, key_names
+    def __init__(self, kept: int, key_names: list[str], emit: bool):
+        self.kept, self.key_names, self.emit = kept, key_names, emit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
@@ -133,6 +152,8 @@ class _LastRows(StatefulProcessor):
             newest = np.lexsort((ids, micros))[-self.kept:]
             micros, ids, values, new = micros[newest], ids[newest], values[newest], new[newest]
         self.state.update((int(ok), int(bad), micros.tolist(), ids.tolist(), values.tolist()))
+        if not self.emit:
+            return
         width = max(int(new.sum()), 1)
         yield pd.DataFrame({
             **{n: [v] * width for n, v in zip(self.key_names, key)},
@@ -147,11 +168,12 @@ class _LastRows(StatefulProcessor):
 
 def last_rows_state(
     stream: DataFrame, keys: list[str], ts: str, row_id: str, value: str, kept: int, success: Column | None = None,
-    shards: int = SHARDS,
+    shards: int = SHARDS, emit: bool = True,
 ) -> DataFrame:
-    """Rolling state per (keys, shard): counters and the rows that entered the history, per batch.
+    """Rolling state per (keys, shard): counters and the last rows, in the state variable "state".
 
-    With success given, only successful rows enter the history; failures are counted alone.
+    With success given, only successful rows enter the history; failures are counted alone. With emit, each
+    batch also gives the counters and the rows that entered the history.
     """
     ok = F.lit(True) if success is None else success
     rows = sharded(stream, row_id, shards).select(
@@ -162,21 +184,35 @@ def last_rows_state(
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_ddl = ", ".join(f"{n} {types[n]}" for n in names)
     return rows.groupBy(*names).transformWithStateInPandas(
-        _LastRows(kept, names),
+        _LastRows(kept, names, emit),
         f"{key_ddl}, ok long, bad long, micros long, row_id long, value double", "Append", "None",
     )
 
 
-def metrics_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
+def metrics_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id", emit: bool = True) -> DataFrame:
     """Last response times and counters per site."""
     return last_rows_state(
-        stream, ["site"], ts, row_id, "latency_ms", M.RESPONSE_TIMES_KEPT, success=F.col("success")
+        stream, ["site"], ts, row_id, "latency_ms", M.RESPONSE_TIMES_KEPT, success=F.col("success"), emit=emit
     )
 
 
-def history_state(stream: DataFrame, ts: str = "ts", row_id: str = "event_id", shards: int = 4) -> DataFrame:
+def history_state(
+    stream: DataFrame, ts: str = "ts", row_id: str = "event_id", shards: int = 4, emit: bool = True,
+) -> DataFrame:
     """Last attempts per URL. URLs are many and mostly small, so they get fewer shards than sites."""
-    return last_rows_state(stream, ["url"], ts, row_id, "latency_ms", M.ATTEMPTS_KEPT, shards=shards)
+    return last_rows_state(stream, ["url"], ts, row_id, "latency_ms", M.ATTEMPTS_KEPT, shards=shards, emit=emit)
+
+
+def state_history(state: DataFrame, keys: list[str], kept: int) -> DataFrame:
+    """Last rows per key out of a state table of `last_rows_state`, newest first as history_rank 1."""
+    rows = state.select(*keys, F.explode(F.arrays_zip("micros", "row_id", "value")).alias("_row")).select(*keys, "_row.*")
+    return top_rows(rows, keys, ["micros", "row_id"], kept, rank="history_rank", shards=1)
+
+
+def state_metrics(state: DataFrame) -> DataFrame:
+    """Per site: mean seconds of the last successes, success rate and counts, out of a state table."""
+    counts = state.groupBy("site").agg(F.sum("ok").alias("success_count"), F.sum("bad").alias("failure_count"))
+    return _metrics(counts, state_history(state, ["site"], M.RESPONSE_TIMES_KEPT))
 
 
 def merged_history(emitted: DataFrame, keys: list[str], kept: int) -> DataFrame:
@@ -194,9 +230,11 @@ def merged_metrics(emitted: DataFrame) -> DataFrame:
         emitted.groupBy("site", "shard").agg(F.max("ok").alias("ok"), F.max("bad").alias("bad"))
         .groupBy("site").agg(F.sum("ok").alias("success_count"), F.sum("bad").alias("failure_count"))
     )
-    means = merged_history(emitted, ["site"], M.RESPONSE_TIMES_KEPT).groupBy("site").agg(
-        (F.avg("value") / 1000).alias("mean")
-    )
+    return _metrics(counts, merged_history(emitted, ["site"], M.RESPONSE_TIMES_KEPT))
+
+
+def _metrics(counts: DataFrame, history: DataFrame) -> DataFrame:
+    means = history.groupBy("site").agg((F.avg("value") / 1000).alias("mean"))
     total = F.col("success_count") + F.col("failure_count")
     return counts.join(means, "site", "left").select(
         "site", F.coalesce("mean", F.lit(0.0)).alias("avg_response_time"),
@@ -208,11 +246,11 @@ def merged_metrics(emitted: DataFrame) -> DataFrame:
 class _NewestValue(StatefulProcessor):
     """Newest value of a key, dropped by the state store once its time to live is over.
 
-    Emits the held value once per batch.
+    With emit, gives the held value once per batch.
     """
 
-    def __init__(self, ttl_seconds: int, key_names: list[str]):
-        self.ttl, self.key_names = ttl_seconds, key_names
+    def __init__(self, ttl_seconds: int, key_names: list[str], emit: bool):
+        self.ttl, self.key_names, self.emit = ttl_seconds, key_names, emit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState(
@@ -223,10 +261,14 @@ class _NewestValue(StatefulProcessor):
         held = self.held.get()
         newest = None if held is None else tuple(held)
         for batch in rows:
-            top = max(zip(batch["micros"].tolist(), batch["row_id"].tolist(), batch["value"].tolist()))
+            columns = [batch[c].to_numpy() for c in ("micros", "row_id", "value")]
+            last = np.lexsort(columns[::-1])[-1]
+            top = tuple(c[last].item() for c in columns)
             newest = top if newest is None else max(newest, top)
         newest = (int(newest[0]), int(newest[1]), float(newest[2]))
         self.held.update(newest)
+        if not self.emit:
+            return
         names = {n: [v] for n, v in zip(self.key_names, key)}
         yield pd.DataFrame({**names, "micros": [newest[0]], "row_id": [newest[1]], "value": [newest[2]]})
 
@@ -236,8 +278,9 @@ class _NewestValue(StatefulProcessor):
 
 def cached_state(
     stream: DataFrame, keys: list[str], ts: str, row_id: str, value: str, ttl_seconds: int = M.CACHE_SECONDS,
+    emit: bool = True,
 ) -> DataFrame:
-    """Newest value per (keys, shard), emitted after each batch, with a time to live.
+    """Newest value per (keys, shard), in the state variable "held", with a time to live; with emit also after each batch.
 
     With an available-now trigger switch spark.sql.streaming.noDataMicroBatches.enabled off: state
     with a time to live always asks for one more batch.
@@ -250,16 +293,16 @@ def cached_state(
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_ddl = ", ".join(f"{n} {types[n]}" for n in names)
     return rows.groupBy(*names).transformWithStateInPandas(
-        _NewestValue(ttl_seconds, names), f"{key_ddl}, micros long, row_id long, value double",
+        _NewestValue(ttl_seconds, names, emit), f"{key_ddl}, micros long, row_id long, value double",
         "Append", "ProcessingTime",
     )
 
 
-def merged_cache(emitted: DataFrame, keys: list[str], now: Column, ttl_seconds: int = M.CACHE_SECONDS) -> DataFrame:
-    """Value per key that is still fresh at `now`, by event time."""
+def merged_cache(held: DataFrame, keys: list[str], now: Column, ttl_seconds: int = M.CACHE_SECONDS) -> DataFrame:
+    """Value per key that is still fresh at `now`, by event time, out of emitted rows or of the state table."""
     age = F.unix_micros(now.cast("timestamp")) - F.col("micros")
     return (
-        emitted.groupBy(*keys)
+        held.groupBy(*keys)
         .agg(F.max(F.struct("micros", "row_id", "value")).alias("_top"))
         .select(*keys, "_top.micros", "_top.value")
         .filter(age < ttl_seconds * 1_000_000)
