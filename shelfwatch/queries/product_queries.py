@@ -1,13 +1,16 @@
 """Product cleaning, typed verdicts, and the readers and writers."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import coerce
 from shelfwatch.operators import products as op
 from shelfwatch.operators.items import unified
-from shelfwatch.queries.tables import ATTEMPTS, RESPONSES, Tables
+from shelfwatch.queries.tables import ATTEMPTS, RESPONSES, Tables, quoted
 from shelfwatch.queries.url_queries import REQUEST_SITE
-from shelfwatch.rules.selectors import TEMPLATE_FIELDS
+from shelfwatch.rules.selectors import DEFAULT_TEMPLATES, TEMPLATE_FIELDS
 from shelfwatch.session import work_folder
 from shelfwatch.sources import attempt_log, pages, product_files
 from shelfwatch.sources.templates import TemplateTable
@@ -270,6 +273,39 @@ def template_sites(t: Tables):
     return table.sites()
 
 
+def stored_back(t: Tables):
+    """Three runs over one table: the first without some keys, one in the same day, one a day and a half hour later."""
+    table, keys, out = TemplateTable(t.spark, work_folder(t.spark, "templates")), t.view(TEMPLATES, "part"), []
+    flagged = keys.select("*", (F.col("hi") % 4 == 0).alias("has_sample"), (F.col("hi") % 5 == 0).alias("force"))
+    runs = [(1, "2024-01-01 00:00:00", flagged.filter(F.col("hi") % 3 > 0).drop("force")), (2, "2024-01-01 01:00:00", flagged.drop("force")),
+            (3, "2024-01-02 00:30:00", flagged)]
+    for n, now, asked in runs:
+        made = [F.concat(F.lit(f"run {n} "), F.col("hi")).alias(f) if f == "title_selector" else F.lit("").alias(f) for f in TEMPLATE_FIELDS]
+        generated = keys.filter(F.col("hi") % 7 > 0).select("site", "page_type", *made)
+        answer = table.resolve(asked, generated, F.to_timestamp(F.lit(now)))
+        out.append(answer.select(F.lit(n).alias("run"), "site", "page_type", "origin", F.col("template.title_selector").alias("title")))
+    last = table.all().select(F.lit(4).alias("run"), "site", "page_type", F.lit("table").alias("origin"), F.col("title_selector").alias("title"))
+    return reduce(DataFrame.unionByName, [*out, last])
+
+
+def _stored_back_sql() -> str:
+    """Of each run the key's origin and title; a NULL default title reads as such on both sides."""
+    made = lambda n: f"CASE WHEN hi % 7 > 0 THEN 'run {n} ' || hi ELSE {_DEFAULT_TITLE} END"
+    new = "CASE WHEN hi % 7 > 0 THEN 'generated' ELSE 'default' END"
+    return f"""WITH k AS ({TEMPLATES}),
+  r AS (SELECT *, hi % 3 > 0 AS early, CASE WHEN hi % 5 = 0 THEN TRUE WHEN hi % 3 = 0 THEN FALSE ELSE hi % 4 <> 0 END AS anew FROM k),
+  o AS (SELECT 1 AS run, site, page_type, {new} AS origin, {made(1)} AS title FROM r WHERE early
+    UNION ALL SELECT 2, site, page_type, CASE WHEN early THEN 'cached' ELSE {new} END, CASE WHEN early THEN {made(1)} ELSE {made(2)} END FROM r
+    UNION ALL SELECT 3, site, page_type, CASE WHEN anew THEN {new} WHEN early THEN 'stored' ELSE 'cached' END,
+        CASE WHEN anew THEN {made(3)} WHEN early THEN {made(1)} ELSE {made(2)} END FROM r)
+SELECT * FROM o UNION ALL SELECT 4, site, page_type, 'table', title FROM o WHERE run = 3"""
+
+
+_DEFAULT_TITLE = " ".join(
+    ["CASE site", *[f"WHEN {quoted(s)} THEN {quoted(d['title_selector'])}" for s, d in DEFAULT_TEMPLATES.items() if s and d.get("title_selector")],
+     f"ELSE {quoted(DEFAULT_TEMPLATES['']['title_selector'])} END"])
+
+
 QUERIES = {
     "v1_validated": (validated, VALIDATED_SQL),
     "v2_deduplicated": (deduplicated, DEDUP_SQL),
@@ -289,5 +325,6 @@ QUERIES = {
     "s08_run_dump": (run_dump, "SELECT 's' || (p_partkey % 5) AS source, count(*) AS n, count(*) AS n_csv FROM part GROUP BY 1"),
     "s09_template_table": (template_table, f"""WITH k AS ({TEMPLATES}) SELECT site, page_type,
         CASE page_type WHEN 'SMALL' THEN 'second ' ELSE 'first ' END || hi AS title_selector FROM k WHERE page_type <> 'PROMO'"""),
+    "e14_s09_stored_back": (stored_back, _stored_back_sql()),
     "s09_template_sites": (template_sites, f"WITH k AS ({TEMPLATES}) SELECT DISTINCT site FROM k"),
 }

@@ -76,6 +76,33 @@ def test_log_reading(spark, tmp_path):
         attempt_log.read_attempts(spark, str(tmp_path), strict=True).collect()
 
 
+def test_templates_are_resolved_and_stored_back(spark, tmp_path):
+    """Fresh, stale, forced and new keys; a run that was lost after its answer, and one repeated as a whole."""
+    table = TemplateTable(spark, str(tmp_path / "t"))
+    keys = spark.createDataFrame([("amazon", "search", False, None), ("amazon", "search", None, False), ("x", "detail", True, False)],
+                                 "site string, page_type string, has_sample boolean, force boolean")
+    made = keys.filter("site = 'x'").select("site", "page_type", *[F.lit(f"new {f}").alias(f) for f in TEMPLATE_FIELDS])
+    at = lambda hours: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours))
+    run = lambda hours, **kw: {r.site: (r.origin, r.template.title_selector) for r in table.resolve(kw.pop("keys", keys), kw.pop("generated", made), at(hours), folder=str(tmp_path), **kw).collect()}
+    first = run(0)
+    assert first["x"] == ("generated", "new title_selector") and first["amazon"][0] == "default" and len(first) == 2
+    assert run(1) == {s: ("cached", title) for s, (_, title) in first.items()}
+    assert run(23.99) == run(1)
+    late = run(24)
+    assert late["x"] == ("stored", "new title_selector") and late["amazon"][0] == "default"
+    assert run(25)["amazon"][0] == "cached" and run(25)["x"][0] == "stored"
+    forced = run(25, keys=keys.withColumn("force", F.lit(True)), generated=None)
+    assert forced["x"][0] == "default" and run(26)["x"][0] == "cached"
+    store, table._overwrite = table._overwrite, lambda rows: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        run(60)
+    table._overwrite = store
+    again = run(60)
+    assert again["x"][0] == "stored" and again["amazon"][0] == "default"
+    assert run(60.5)["amazon"][0] == "cached" and table.all().count() == 2
+    assert table.resolve(keys.filter("false"), folder=str(tmp_path)).count() == 0
+
+
 def test_streamed_state_over_several_batches(spark, tmp_path):
     """State carries over between batches and merges to what one batch over all rows gives."""
     rows = Tables(spark, DATA).attempts().withColumn("ts", F.col("ts").cast("timestamp"))
