@@ -22,6 +22,7 @@ through in blocks of BLOCK words, with the same sums as in one.
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ SEED_DOCS, SEED_WORDS = 384, 2048  # texts for the start, and the most words of
 SEED_ROUNDS, RESTARTS = 12, 2
 SMOOTH = 20.0  # pseudo-counts of a state's emissions, by class size
 BLOCK = 16_384
-CELLS = 200_000  # words side by side in one batch of texts
-HELD = 1_500_000  # words buffered before they are sorted by length
+RESCALE = 8  # steps between scalings: the chance of so many words is far above the smallest double
+CELLS = 300_000  # words side by side in one batch of texts
+HELD = 1_000_000  # words buffered before they are sorted by length
 SEED = 13
 END = 0  # the class of the end
 
@@ -128,39 +130,41 @@ class Vocabulary:
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """row, doc_id, held_out, n_tokens, kinds (the classes as 4-byte numbers), logs and known of known words, rare (word, n)."""
+    """row, doc_id, held_out, n_tokens, kinds (the classes as 4-byte numbers), logs and known of known words, rare (the others)."""
     words, kinds, logs, known, base, classes = vocabulary.lookup()
     send = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), kinds, logs, known))
     end_log, end_known = math.log10(vocabulary.ends + 1), int(vocabulary.ends > 0)
     kind = dict(docs.dtypes)["doc_id"]
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         joined, class_of, log_of, is_known = send.value
         place, many = {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}, len(class_of)
+        # One more entry, for words not held: no class yet, nothing to add.
+        class_of, log_of, is_known = (np.append(c, c.dtype.type(0)) for c in (class_of.astype("<i4"), log_of, is_known))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
-            for text in batch["text"].cast(pa.binary()).to_pylist():
-                own = text.lower().split()
-                found = np.fromiter((place.get(w, many) for w in own), np.int64, len(own))
-                rest = [own[i] for i in np.flatnonzero(found == many).tolist()]
-                codes = np.empty(len(own) + 1, "<i4")
-                common = found[found < many]
-                codes[:-1][found < many] = class_of[common]
-                codes[:-1][found == many] = [base + zlib.crc32(w) % classes for w in rest]
-                codes[-1] = END
-                out.append((len(own) + 1, codes.tobytes(), float(log_of[common].sum()) + end_log, int(is_known[common].sum()) + end_known,
-                            [{"word": w.decode(), "n": n} for w, n in Counter(rest).items()]))
+            out, rare, ends = [], [], [0]
+            for text in batch["text"].cast(pa.binary()):
+                own = text.as_py().lower().split()
+                found = np.fromiter(map(place.get, own, repeat(many)), np.int64, len(own))
+                at = np.flatnonzero(found == many)
+                rest = [own[i] for i in at.tolist()]
+                codes = np.full(len(own) + 1, END, "<i4")
+                codes[:-1] = class_of[found]
+                codes[at] = np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)) % classes + base
+                out.append((len(own) + 1, codes.tobytes(), float(log_of[found].sum()) + end_log, int(is_known[found].sum()) + end_known))
+                rare += rest
+                ends.append(len(rare))
             rows = pa.array(row + np.arange(len(batch)))
             row += len(batch)
-            n, codes, log, count, rare = zip(*out, strict=True) if out else ((),) * 5
+            n, codes, log, count = zip(*out, strict=True) if out else ((),) * 4
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))
             yield pa.record_batch([rows, batch["doc_id"], batch["out"], pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(log, pa.float64()),
-                                   pa.array(count, pa.int64()), pa.array(rare, rare_type)],
+                                   pa.array(count, pa.int64()), words],
                                   ["row", "doc_id", "held_out", "n_tokens", "kinds", "logs", "known", "rare"])
 
     rows = docs.select("doc_id", text_of().alias("text"), held_out().alias("out"))
-    return saved(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, kinds binary, logs double, known long, rare array<struct<word:string,n:bigint>>"), "encoded-texts")
+    return saved(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, kinds binary, logs double, known long, rare array<string>"), "encoded-texts")
 
 
 def _batches(stream):
@@ -186,79 +190,103 @@ def _batches(stream):
 
 
 class Model:
-    """start (states), move (states x states), emit (classes x states): all by rows of probabilities."""
+    """start (states), move (states x states), emit (classes x states): all by rows of probabilities.
+
+    Texts come as lists of class arrays, longest first, so those that reach a step are the first ones.
+    """
 
     def __init__(self, start, move, emit):
         self.start, self.move, self.emit = start, move, emit
 
-    def _steps(self, texts, first=None, to=None, state=None, keep=None):
-        """Forward over the words `first` to `to` of texts (longest first); returns (last state, log sums).
-
-        `keep` gets the scaled states of every step.
-        """
-        lengths = np.array([len(t) for t in texts])
-        first, to = first or 0, min(to or len(texts[0]), len(texts[0]))
-        logs, grid, alive = np.zeros(len(texts)), self._grid(texts, first, to), self._alive(lengths, first, to)
-        state = np.zeros((len(texts), len(self.start))) if state is None else state.copy()
-        for t in range(first, to):
-            n = alive[t - first]
-            now = (np.broadcast_to(self.start, (n, len(self.start))) if t == 0 else state[:n] @ self.move) * self.emit[grid[t - first, :n]]
-            total = now.sum(1)
-            now = now / total[:, None]
-            state[:n] = now
-            logs[:n] += np.log(total)
-            if keep is not None:
-                keep.append((now, total))
-        return state, logs
-
-    @staticmethod
-    def _grid(texts, first, to):
-        grid = np.zeros((to - first, len(texts)), np.int32)
+    def _block(self, texts, first: int, to: int):
+        """(codes, emission, alive) of the steps `first` to `to`: steps x texts; how many texts reach a step."""
+        codes = np.zeros((to - first, len(texts)), np.int32)
         for i, t in enumerate(texts):
             part = t[first:to]
-            grid[: len(part), i] = part
-        return grid
+            codes[: len(part), i] = part
+        lengths = np.array([len(t) for t in texts])
+        alive = np.searchsorted(-lengths, -np.arange(first, to + 1) - 1, "right").tolist()
+        return codes, np.take(self.emit, codes, axis=0), alive
+
+    def _forward(self, emission, alive, state):
+        """Forward values of every step, in place of `emission`'s shape, and log scales of each text.
 
-    @staticmethod
-    def _alive(lengths, first, to):
-        """How many texts reach each step; texts come longest first."""
-        return np.searchsorted(-lengths, -np.arange(first, to) - 1, "right")
+        Values are scaled every RESCALE steps; `state` holds those of the step before, None at the start.
+        """
+        out, logs, ones = np.zeros_like(emission), np.zeros(emission.shape[1]), np.ones(len(self.start))
+        for t in range(len(emission)):
+            n = alive[t]
+            now = out[t, :n]
+            if t or state is not None:
+                np.dot(out[t - 1, :n] if t else state[:n], self.move, out=now)
+                now *= emission[t, :n]
+            else:
+                np.multiply(emission[t, :n], self.start, out=now)
+            if t % RESCALE == RESCALE - 1 or t == len(emission) - 1:
+                total = now @ ones
+                now /= total[:, None]
+                logs[:n] += np.log(total)
+        return out, logs
+
+    def _ended(self, out, alive, logs):
+        """Adds what texts that end within the block still have unscaled."""
+        for t in np.flatnonzero(np.diff(alive)).tolist():
+            if t % RESCALE != RESCALE - 1 and t != len(out) - 1:
+                logs[alive[t + 1] : alive[t]] += np.log(out[t, alive[t + 1] : alive[t]].sum(1))
 
     def log_likelihoods(self, texts, block: int = BLOCK) -> np.ndarray:
-        state, out = None, np.zeros(len(texts))
+        state, logs = None, np.zeros(len(texts))
         for first in range(0, len(texts[0]), block):
-            state, logs = self._steps(texts, first, first + block, state)
-            out += logs
-        return out
+            _, emission, alive = self._block(texts, first, min(first + block, len(texts[0])))
+            out, more = self._forward(emission, alive, state)
+            self._ended(out, alive, more)
+            logs, state = logs + more, out[-1]
+        return logs
 
     def add_counts(self, texts, start, move, emit, block: int = BLOCK) -> float:
-        """One E-step over texts (longest first): adds expected counts, gives the log likelihood."""
+        """One E-step: adds expected counts, gives the log likelihood."""
         edges, states, total = list(range(0, len(texts[0]), block)), [None], 0.0
         for first in edges[:-1]:  # states at block edges; blocks are run again on the way back
-            states.append(self._steps(texts, first, first + block, states[-1])[0])
-        back = np.ones((len(texts), len(self.start)))  # scaled backward values of the step that follows
-        for k in range(len(edges) - 1, -1, -1):
-            first, to, kept = edges[k], min(edges[k] + block, len(texts[0])), []
-            _, logs = self._steps(texts, first, to, states[k], kept)
+            _, emission, alive = self._block(texts, first, first + block)
+            states.append(self._forward(emission, alive, states[-1])[0][-1])
+        back = np.ones((len(texts), len(self.start)))  # backward values of a block's last step
+        for first, state in zip(edges[::-1], states[::-1], strict=True):
+            codes, emission, alive = self._block(texts, first, min(first + block, len(texts[0])))
+            ahead, logs = self._forward(emission, alive, state)
+            self._ended(ahead, alive, logs)
             total += logs.sum()
-            grid, seen, codes = self._grid(texts, first, to), [], []
-            for t in range(to - 1, first - 1, -1):
-                now, scale = kept[t - first]
-                n = len(now)
-                share = now * back[:n]
-                seen.append(share)
-                codes.append(grid[t - first, :n])
-                # Toward the step before: emission and scale of this one.
-                onward = self.emit[grid[t - first, :n]] * back[:n] / scale[:, None]
-                if t == 0:
-                    start += share.sum(0)
+            # behind: backward values of a step; emission becomes emission times those, scaled now and then.
+            behind, back_move, ones = np.zeros_like(ahead), np.ascontiguousarray(self.move.T), np.ones(len(start))
+            behind[-1, : alive[-2]] = back[: alive[-2]]
+            for t in range(len(ahead) - 1, -1, -1):
+                n, now = alive[t], behind[t]
+                if t % RESCALE == 0:
+                    emission[t, :n] *= now[:n] / (now[:n] @ ones)[:, None]
                 else:
-                    before = kept[t - 1 - first][0][:n] if t > first else states[k][:n]
-                    move += self.move * (before.T @ onward)
-                    back[:n] = onward @ self.move.T
-            shares, codes = np.concatenate(seen), np.concatenate(codes)
-            for s in range(len(self.start)):
-                emit[:, s] += np.bincount(codes, shares[:, s], len(emit))
+                    emission[t, :n] *= now[:n]
+                if t:
+                    np.dot(emission[t, :n], back_move, out=behind[t - 1, :n])
+                    if alive[t - 1] > n:
+                        behind[t - 1, n : alive[t - 1]] = 1.0
+            onward = emission
+            behind *= ahead
+            sums = behind @ ones
+            sums[sums == 0] = 1.0  # beyond a text's end
+            ahead /= sums[:, :, None]
+            for t in np.flatnonzero(np.diff(alive[:-1])).tolist():  # a text's last step has no next one
+                ahead[t, alive[t + 1] :] = 0.0
+            move += self.move * (ahead[:-1].reshape(-1, len(start)).T @ onward[1:].reshape(-1, len(start)))
+            behind /= sums[:, :, None]
+            n = alive[0]
+            if state is None:
+                start += behind[0].sum(0)
+            else:
+                back = np.ones_like(back)
+                back[:n] = onward[0, :n] @ self.move.T
+                before = state[:n] / (state[:n] * back[:n]).sum(1, keepdims=True)
+                move += self.move * (before.T @ onward[0, :n])
+            for k in range(len(start)):
+                emit[:, k] += np.bincount(codes.reshape(-1), behind[:, :, k].reshape(-1), len(emit))
         return total
 
     @classmethod
@@ -353,9 +381,9 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     rows = encoded(docs, vocabulary)
     model, _ = trained(rows, vocabulary.mass, states, rounds)
     logs = likelihoods(rows, model, vocabulary.mass)
-    rare = rows.select("row", F.explode("rare").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
+    rare = rows.select("row", F.explode("rare").alias("word"))
     found = rare.join(vocabulary.counts.select("word", "n"), "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+        F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("more_known"))
     whole = rows.drop("kinds", "rare").join(logs, "row").join(found, "row", "left")
     counted = F.col("logs") + F.coalesce("more", F.lit(0.0))
     return whole.select(
