@@ -6,6 +6,7 @@ join, which brings in payload counts when a payload table is given.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,79 +36,113 @@ def minimums(site: Column) -> dict[str, Column]:
     return out
 
 
+FEW_CHAIN_ROWS = 100_000  # rows of a chain table that may be broadcast
+
+
+def fixed_steps(site: Column) -> Column:
+    """The fixed chain of a site as an array of (place, step, least), in order."""
+    least = minimums(site)
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("place"), F.lit(s).alias("step"), least[s].alias("least")) for n, s in enumerate(R.CHAIN_STEPS)]),
+                    lambda s: s["least"].isNotNull())
+
+
+def with_steps(pages: DataFrame, chains: DataFrame) -> DataFrame:
+    """Pages with `_chain`, the steps of their site in order, out of rows (site, place, step, least).
+
+    Rows without a site are the chain of all sites that have none of their own; without such rows
+    those have no step. Steps of one place go by name.
+    """
+    step = F.struct(F.col("place").cast("int").alias("place"), "step", F.col("least").cast("int").alias("least"))
+    own = chains.filter("site IS NOT NULL").groupBy(F.col("site").alias("_chain_site")).agg(F.sort_array(F.collect_list(step)).alias("_own"))
+    own = F.broadcast(own) if chains.limit(FEW_CHAIN_ROWS + 1).count() <= FEW_CHAIN_ROWS else own
+    other = chains.filter("site IS NULL").select(step.alias("s")).select("s.*").collect()  # the steps of one chain
+    other = [F.struct(F.lit(r.place).alias("place"), F.lit(r.step).alias("step"), F.lit(r.least).alias("least")) for r in sorted(other)]
+    kind = own.schema["_own"].dataType
+    joined = pages.join(own, pages["site"] == own["_chain_site"], "left")
+    return joined.withColumn("_chain", F.coalesce("_own", F.array(*other).cast(kind))).drop("_own", "_chain_site")
+
+
 def winning_steps(
-    pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None, limit: int | None = None
+    pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None, limit: int | None = None,
+    chains: DataFrame | None = None, feeds: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per page: the winning step, its method and its items (payload items stay apart).
+    """One row per page: the winning step, its method and its items (those of payloads and feeds stay apart).
 
     pages has page_id, url and html, optionally site and template. payloads holds product rows by
     page_id. limit caps the template items of a page, none by default.
+
+    chains gives the steps of the sites as data, rows (site, place, step, least); without it the fixed ones hold.
+    A step is one of R.CHAIN_STEPS or a name in feeds, whose frames hold product rows by page_id from
+    anywhere else. The first step with at least `least` rows wins; an unknown one never does.
     """
-    keep = keep or ["page_id"]
+    keep, feeds = keep or ["page_id"], feeds or {}
     if "site" not in pages.columns:
         pages = pages.withColumn("site", site_by_domain(F.col("url")))
     if "template" not in pages.columns:
         pages = pages.withColumn("template", default_template(F.col("site")))
-    least = minimums(F.coalesce("site", F.lit("")))
-
-    def reached(step, count):
-        return F.coalesce(count >= least[step], F.lit(False))
-
-    local = with_json_ld(pages, "_ld", where=least["json_ld"].isNotNull())
-    # Pages already served send NULL to the node function and are never parsed there.
-    local = with_nodes(local, F.when(~reached("json_ld", F.size("_ld")), F.col("html"))).select(
-        *keep, "url", "site", "_ld",
+    if chains is None:
+        pages = pages.withColumn("_chain", fixed_steps(F.coalesce("site", F.lit(""))))
+    else:
+        pages = with_steps(pages, chains)
+    chain = F.col("_chain")
+
+    def first_of(counts: dict[str, Column]) -> Column:
+        """The first step of the chain that reaches its least count, NULL if none does."""
+        reached = lambda s: reduce(lambda a, b: a | b, [(s["step"] == n) & (c >= s["least"]) for n, c in counts.items()], F.lit(False))
+        return F.get(F.filter(chain, lambda s: F.coalesce(reached(s), F.lit(False))), F.lit(0))
+
+    ld = F.exists(chain, lambda s: s["step"] == "json_ld")
+    local = with_json_ld(pages, "_ld", where=ld)
+    # A page is parsed only where a step on its nodes can still win: not if ld+json does, before all of them.
+    served = first_of({"json_ld": F.size("_ld")})["place"]
+    on_nodes = F.exists(chain, lambda s: s["step"].isin("profile", "css") & (served.isNull() | (s["place"] < served)))
+    local = with_nodes(local, F.when(on_nodes, F.col("html"))).select(
+        *keep, "url", "site", "_chain", "_ld",
         F.coalesce(profile_items(F.col("nodes.profile"), F.coalesce("site", F.lit(""))), no_items()).alias("_profile"),
         F.coalesce(template_items(F.col("nodes.css"), F.col("url"), limit), no_items()).alias("_css"),
     )
-    if payloads is None:
-        local = local.withColumn("_payload_count", F.lit(0))
-    else:
-        counts = payloads.groupBy("page_id").agg(F.count(F.lit(1)).alias("_payload_count"))
-        local = local.join(counts, "page_id", "left")
-    steps = {
-        "json_ld": (F.size("_ld"), F.col("_ld")),
-        "profile": (F.size("_profile"), F.col("_profile")),
-        "payload": (F.coalesce("_payload_count", F.lit(0)), no_items()),
-        "css": (F.size("_css"), F.col("_css")),
-    }
-    step = first_case([(reached(s, n), F.lit(s)) for s, (n, _) in steps.items()], F.lit("none"))
-    named = local.withColumn("strategy", step)
+    counts = {"json_ld": F.size("_ld"), "profile": F.size("_profile"), "payload": F.lit(0), "css": F.size("_css")}
+    apart = ({} if payloads is None else {"payload": payloads}) | feeds
+    for n, (name, rows) in enumerate(apart.items()):
+        of = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias(f"_count{n}"))
+        local = local.join(of, "page_id", "left")
+        counts[name] = F.coalesce(f"_count{n}", F.lit(0))
+    items = {"json_ld": F.col("_ld"), "profile": F.col("_profile"), "css": F.col("_css")}
     won = F.col("strategy")
+    named = local.withColumn("strategy", F.coalesce(first_of(counts)["step"], F.lit("none")))
+    methods = R.CHAIN_METHODS | {name: "feed" for name in feeds}
     return named.select(
         *keep, "url", "site", "strategy",
-        first_case([(won == s, F.lit(m)) for s, m in R.CHAIN_METHODS.items()], F.lit("none")).alias("method"),
-        first_case([(won == s, i) for s, (_, i) in steps.items()], no_items()).alias("items"),
-        F.when(won == "payload", F.col("_payload_count")).otherwise(F.size(
-            first_case([(won == s, i) for s, (_, i) in steps.items()], no_items())
-        )).alias("product_count"),
+        first_case([(won == s, F.lit(m)) for s, m in methods.items()], F.lit("none")).alias("method"),
+        first_case([(won == s, i) for s, i in items.items()], no_items()).alias("items"),
+        first_case([(won == s, c) for s, c in counts.items()], F.lit(0)).cast("int").alias("product_count"),
     )
 
 
 def chain_products(
     pages: DataFrame, payloads: DataFrame | None = None, keep: list[str] | None = None,
-    limit: int | None = None, folder: str | None = None,
+    limit: int | None = None, folder: str | None = None, chains: DataFrame | None = None, feeds: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Product rows of the winning steps, with strategy and method.
 
-    With payloads the winners are needed twice: for their own items, and to pick the pages whose
-    payload rows count. They are written below `folder` or the shared work folder first, without
+    With payloads or feeds the winners are needed twice: for their own items, and to pick the pages whose
+    rows there count. They are written below `folder` or the shared work folder first, without
     HTML, so pages are extracted once.
     """
     keep = keep or ["page_id"]
-    winners = winning_steps(pages, payloads, keep, limit)
-    if payloads is not None:
+    apart = ({} if payloads is None else {"payload": payloads}) | (feeds or {})
+    winners = winning_steps(pages, payloads, keep, limit, chains, feeds)
+    if apart:
         path = work_folder(pages.sparkSession, "chain", folder)
         winners.write.parquet(path)
         winners = pages.sparkSession.read.parquet(path)
     columns = [*dict.fromkeys([*keep, "strategy", "method"])]
-    source = F.coalesce("site", F.lit("unknown"))
-    rows = item_rows(winners, "items", source, columns)
-    if payloads is None:
-        return rows
-    chosen = winners.filter(F.col("strategy") == "payload").select(*columns)
-    taken = payloads.join(chosen, "page_id")
-    return merged(rows, unified(taken, *columns, "pos"))
+    parts = [item_rows(winners, "items", F.coalesce("site", F.lit("unknown")), columns)]
+    for name, rows in apart.items():
+        chosen = winners.filter(F.col("strategy") == name).select(*columns)
+        rows = rows if "pos" in rows.columns else rows.withColumn("pos", F.lit(None).cast("int"))
+        parts.append(unified(rows.join(chosen, "page_id"), *columns, "pos"))
+    return merged(*parts) if apart else parts[0]
 
 
 def empty_content(pages: DataFrame, products: DataFrame, key: str = "page_id") -> DataFrame:

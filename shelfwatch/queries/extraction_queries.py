@@ -9,11 +9,11 @@ from shelfwatch.operators import chain, nodes, structured
 from shelfwatch.operators.items import merged, unified
 from shelfwatch.plans import jobs
 from shelfwatch.queries.response_queries import verdict_sql
-from shelfwatch.queries.tables import PAGE_SQL, SHOP_URLS, Tables, joined_items, page_of, pick, quoted
+from shelfwatch.queries.tables import PAGE_SQL, PARTS_PER_PAGE, SHOP_URLS, Tables, joined_items, page_of, pick, quoted
 from shelfwatch.queries.url_queries import REQUEST_SITE, _contains
 from shelfwatch.rules import sites as R
 from shelfwatch.rules import selectors as S
-from shelfwatch.session import work_folder
+from shelfwatch.session import rule_table, work_folder
 
 
 def _k() -> Column:
@@ -297,6 +297,50 @@ SELECT p.page_id, coalesce(strategy, 'none') AS strategy,
 FROM p LEFT JOIN won ON won.page_id = p.page_id"""
 
 
+# A caller's own chains: another order and other minimums, a step of its own, and a chain for all other sites.
+OWN_CHAINS = [("kohls", 1, "profile", 5), ("kohls", 2, "css", 5), ("kohls", 3, "payload", 1), ("kohls", 4, "json_ld", 20),
+              ("shop1", 1, "json_ld", 23), ("shop1", 2, "feed", 4), ("shop1", 3, "unheard", 0), ("shop1", 4, "json_ld", 1),
+              (None, 1, "payload", 10), (None, 2, "feed", 3), (None, 9, "json_ld", 1)]
+
+
+def _own_chain_inputs(t: Tables):
+    pages, payloads = _chain_inputs(t)
+    site = F.when(F.col("page_id") % 3 == 0, F.lit("kohls")).when(F.col("page_id") % 3 == 1, F.lit("shop1")).otherwise(F.lit("shop2"))
+    chains = rule_table(t.spark, OWN_CHAINS, "site string, place int, step string, least int")
+    feed = unified(t("part").filter("p_size > 40").select(
+        page_of(), F.col("p_name").alias("title"), F.lit("").alias("price"), F.lit("feed").alias("source")), "page_id")
+    return pages.withColumn("site", site), payloads, chains, {"feed": feed}
+
+
+def own_chain_steps(t: Tables):
+    pages, payloads, chains, feeds = _own_chain_inputs(t)
+    return chain.winning_steps(pages, payloads, limit=S.ITEMS_PER_PAGE, chains=chains, feeds=feeds).select("page_id", "strategy", "method", "product_count")
+
+
+def own_chain_products(t: Tables):
+    pages, payloads, chains, feeds = _own_chain_inputs(t)
+    found = chain.chain_products(pages, payloads, limit=S.ITEMS_PER_PAGE, chains=chains, feeds=feeds)
+    return found.select("page_id", "strategy", "method", "title")
+
+
+OWN_CHAIN_CTE = f"""{LD_CTE}, x AS (SELECT *, {PAGE_SQL} AS page_id, {PAGE_SQL} % 5 AS kind,
+      row_number() OVER (PARTITION BY {PAGE_SQL} ORDER BY p_partkey) AS r FROM part),
+  cand AS (SELECT page_id, 'json_ld' AS step, 'html_json' AS method, title FROM ld WHERE page_id % 5 = 0 OR (page_id % 5 = 1 AND p_partkey % {PARTS_PER_PAGE} = 0)
+    UNION ALL SELECT page_id, 'profile', 'html_nodes', p_name FROM x WHERE kind = 1 AND page_id % 3 = 0
+    UNION ALL SELECT page_id, 'payload', 'api_json', CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END FROM x WHERE kind = 2 AND p_partkey % 11 <> 0
+    UNION ALL SELECT page_id, 'css', 'html_nodes', p_name FROM x WHERE kind = 3 AND r <= 20 AND p_partkey % 17 <> 0
+    UNION ALL SELECT page_id, 'feed', 'feed', p_name FROM x WHERE p_size > 40),
+  chains(site, place, step, least) AS (VALUES {', '.join(f"({quoted(s) if s else 'NULL'}, {p}, {quoted(n)}, {c})" for s, p, n, c in OWN_CHAINS)}),
+  pg AS (SELECT DISTINCT page_id, CASE page_id % 3 WHEN 0 THEN 'kohls' WHEN 1 THEN 'shop1' END AS site FROM x),
+  n AS (SELECT page_id, step, count(*) AS n FROM cand GROUP BY 1, 2),
+  won AS (SELECT pg.page_id, c.step, n.n FROM pg JOIN chains c ON c.site IS NOT DISTINCT FROM pg.site JOIN n ON n.page_id = pg.page_id AND n.step = c.step
+          WHERE n.n >= c.least QUALIFY row_number() OVER (PARTITION BY pg.page_id ORDER BY c.place) = 1)"""
+OWN_CHAIN_STEPS_SQL = f"""WITH {OWN_CHAIN_CTE} SELECT pg.page_id, coalesce(won.step, 'none') AS strategy,
+    CASE won.step WHEN 'json_ld' THEN 'html_json' WHEN 'payload' THEN 'api_json' WHEN 'feed' THEN 'feed' WHEN 'css' THEN 'html_nodes'
+                  WHEN 'profile' THEN 'html_nodes' ELSE 'none' END AS method, coalesce(won.n, 0)::INT AS product_count
+    FROM pg LEFT JOIN won USING (page_id)"""
+
+
 def chain_rules(t: Tables):
     """Minimum counts of each request's site."""
     sites = t.view(f"SELECT p_partkey, {REQUEST_SITE} AS site FROM part", "part")
@@ -453,6 +497,9 @@ QUERIES = {
     "e06_chain_steps": (chain_steps, CHAIN_STEPS_SQL),
     "e06_chain_products": (chain_products, f"""WITH {CHAIN_CTE} SELECT cand.page_id, cand.strategy, title, price FROM cand
         JOIN won ON won.page_id = cand.page_id AND won.strategy = cand.strategy"""),
+    "f04_own_chain_steps": (own_chain_steps, OWN_CHAIN_STEPS_SQL),
+    "f04_own_chain_products": (own_chain_products, f"""WITH {OWN_CHAIN_CTE} SELECT cand.page_id, cand.step AS strategy, method, title FROM cand
+        JOIN won ON won.page_id = cand.page_id AND won.step = cand.step"""),
     "e06_chain_rules": (chain_rules, f"""SELECT p_partkey, CASE site WHEN 'ebay' THEN 5 WHEN 'amazon' THEN -1 ELSE 3 END::INT AS json_ld,
         5 AS profile, CASE WHEN site IN ('amazon', 'menards', 'other') THEN -1 ELSE 10 END::INT AS payload, 3 AS css
         FROM (SELECT p_partkey, {REQUEST_SITE} AS site FROM part) x"""),

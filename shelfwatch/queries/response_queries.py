@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import responses as fr
+from shelfwatch.operators.verdict_store import VerdictStore
 from shelfwatch.operators.verdicts import shared_verdicts
 from shelfwatch.plans import jobs
 from shelfwatch.queries.tables import ATTEMPTS, RESPONSES, Tables, quoted
 from shelfwatch.queries.url_queries import _case, _contains
 from shelfwatch.rules import phrases as P
+from shelfwatch.session import work_folder
 
 BASE = f"WITH d AS ({RESPONSES}), r AS (SELECT *, lower(text) AS t FROM d)"
 
@@ -192,12 +194,24 @@ def _nullable(t: Tables):
     return t.responses().withColumn("text", F.when(F.col("doc_id") % 13 != 0, F.col("text")))
 
 
-def verdict_sharing(t: Tables):
+def _shared_openings(t: Tables):
     # A third opening is shared on purpose: short openings repeat across documents.
-    r = t.responses().withColumn(
+    return t.responses().withColumn(
         "text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("same opening "), F.lit(40)), "text"))
         .otherwise(F.col("text")))
-    return shared_verdicts(r, "doc_id", P.VERDICT_KEY_CHARS).select("doc_id", "verdict.*")
+
+
+def verdict_sharing(t: Tables):
+    return shared_verdicts(_shared_openings(t), "doc_id", P.VERDICT_KEY_CHARS).select("doc_id", "verdict.*")
+
+
+def stored_verdicts(t: Tables):
+    """Two runs over one store: the first over two thirds of the ids, an hour later the second over all responses."""
+    store = VerdictStore(t.spark, work_folder(t.spark, "verdict-store"), P.VERDICT_KEY_CHARS)
+    r, bound = _shared_openings(t), t("documents").agg((F.max("doc_id") * 2 / 3).alias("b")).first()["b"]
+    at = lambda hour: F.to_timestamp(F.lit(f"2024-01-01 {hour:02d}:00:00"))
+    store.classify(r.filter(F.col("doc_id") < bound), "doc_id", "1", at(0))
+    return store.classify(r, "doc_id", "2", at(1)).select("doc_id", "verdict.*", "origin")
 
 
 def whole_text_verdicts(t: Tables):
@@ -212,6 +226,10 @@ SELECT doc_id, first_value(bt) OVER w AS block_type, first_value(rs) OVER w AS r
 WINDOW w AS (PARTITION BY status_code, k ORDER BY doc_id)"""
 
 
+STORED_SQL = SHARING_SQL.replace("AS reason FROM v", """AS reason,
+       CASE WHEN first_value(doc_id) OVER w < (SELECT max(doc_id) * 2 / 3 FROM documents) THEN 'stored' ELSE 'new' END AS origin FROM v""")
+
+
 def samples(t: Tables):
     cuts = [F.length(fr.sample(F.col("html"), use)).alias(use) for use in P.SAMPLE_CHARS]
     return t("pages").select("page_id", *cuts, F.md5(fr.sample(F.col("html"), "strategy")).alias("strategy_md5"))
@@ -258,6 +276,7 @@ QUERIES = {
     "k12_whole_text_verdicts": (whole_text_verdicts, f"""WITH r AS (SELECT *, lower(text) AS t FROM (SELECT * REPLACE (
         CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text) FROM ({RESPONSES}) d))
         SELECT doc_id, {REASONED_TYPE} AS block_type, {REASONED_TEXT} AS reason FROM r"""),
+    "k12_stored_verdicts": (stored_verdicts, STORED_SQL),
     "k13_samples": (samples, SAMPLES_SQL),
     "k14_attempt_costs": (attempt_costs, f"""WITH a AS ({ATTEMPTS}) SELECT event_id,
         round(CASE WHEN render <> 'none' THEN latency_ms / 1000 * 0.001 ELSE 0.0 END, 9) AS cost FROM a"""),

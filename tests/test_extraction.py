@@ -143,3 +143,41 @@ def test_stray_and_unclosed_tags():
     assert dom.first(root.walk(), "div").text() == "ab" and root.text() == "abcd"
     deep = dom.parse("<li><a>x</b></i>" * 20000)  # nothing here is ever closed
     assert sum(1 for _ in deep.walk()) == 40000
+
+
+def test_chains_as_data(spark, tmp_path):
+    """Order, minimums, a caller's own step, unknown steps, a chain for all other sites, and none at all."""
+    entry = lambda n: '{"@type":"Product","name":"item %d"}' % n
+    html = '<script type="application/ld+json">[%s]</script>' % ",".join(entry(n) for n in range(4))
+    data = pages(spark, [(i, site, "https://x.example/", h) for i, (site, h) in enumerate(
+        [("a", html), ("a", ""), ("b", html), ("b", "<p>"), ("c", html), (None, html), ("d", html), ("d", None)])])
+    feed = spark.createDataFrame([(i, f"fed {k}", "feed") for i in (0, 1, 3, 5, 7) for k in range(2)], "page_id long, title string, source string")
+    rows = [("a", 2, "json_ld", 4), ("a", 1, "feed", 3), ("a", 3, "feed", 2), ("b", 1, "feed", 1), ("b", 1, "json_ld", 1), ("c", 1, "json_ld", 5),
+            ("d", 1, "nothing of the kind", 0), ("d", 2, "css", 1), ("d", 3, "payload", 0), (None, 1, "json_ld", 1)]
+    ddl = "site string, place int, step string, least int"
+    steps = lambda rows, **kw: {r.page_id: (r.strategy, r.method, r.product_count) for r in chain.winning_steps(data, chains=spark.createDataFrame(rows, ddl), **kw).collect()}
+    ld, fed, none = ("json_ld", "html_json", 4), ("feed", "feed", 2), ("none", "none", 0)
+    assert steps(rows, feeds={"feed": feed}) == {0: ld, 1: fed, 2: ld, 3: fed, 4: none, 5: ld, 6: ("payload", "api_json", 0), 7: ("payload", "api_json", 0)}
+    assert steps([r for r in rows if r[0]])[5] == none
+    assert set(steps([]).values()) == {none}
+    out = chain.chain_products(data, chains=spark.createDataFrame(rows, ddl), feeds={"feed": feed}, folder=str(tmp_path))
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.page_id, r.strategy), set()).add(r.title)
+    items = {f"item {n}" for n in range(4)}
+    assert got == {(0, "json_ld"): items, (1, "feed"): {"fed 0", "fed 1"}, (2, "json_ld"): items, (3, "feed"): {"fed 0", "fed 1"}, (5, "json_ld"): items}
+
+
+def test_fixed_chains_as_rows_give_the_same(spark):
+    """The fixed minimums, handed in as rows, change nothing."""
+    from shelfwatch.rules import sites as R
+
+    rows = [(site, n, step, least) for site, *mins in R.chain_rows() for n, (step, least) in enumerate(zip(R.CHAIN_STEPS, mins, strict=True)) if least is not None]
+    rows += [(None, n, step, least) for n, (step, least) in enumerate(R.DEFAULT_CHAIN.items()) if least is not None]
+    entry = lambda n: '{"@type":"Product","name":"item %d"}' % n
+    made = lambda n: '<script type="application/ld+json">[%s]</script>' % ",".join(entry(k) for k in range(n))
+    sites = ["ebay", "amazon", "walmart", "menards", "kohls", "elsewhere", None]
+    data = pages(spark, [(i * 10 + n, s, "https://x.example/", made(n)) for i, s in enumerate(sites) for n in (0, 2, 3, 4, 5)])
+    table = spark.createDataFrame(rows, "site string, place int, step string, least int")
+    a, b = (sorted(map(tuple, chain.winning_steps(data, chains=c).select("page_id", "strategy", "product_count").collect())) for c in (None, table))
+    assert a == b and {x[1] for x in a} == {"json_ld", "none"}
