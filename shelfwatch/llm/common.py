@@ -37,6 +37,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores before it until no frame has such a column."""
+    while any(name.lower() == c.lower() for df in frames for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """_doc, each row whole, beside its _id (doc_id as a long) and _key (text_key): no column of `docs` can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+
+
 def words_of(text: Column, not_word: str) -> Column:
     """The words between runs of `not_word`, without empty ones."""
     return F.array_remove(F.split(text, not_word), "")

@@ -7,7 +7,9 @@ spread of its vectors, its length and the share of different words. A two-layer
 bounded sample of labelled rows (labelled.TRAIN_ROWS) and its temperature on a fifth of them.
 
 Defined results: NULL and empty texts pool to zero and are scored like any other; without rows of both labels
-every score is 0.5 (predicted 1); repeated rows have equal scores; NULL ids count as not held out.
+every score is 0.5 (predicted 1); repeated rows have equal scores; NULL ids count as not held out; an id labelled
+or standing twice is learnt from once (`labelled.training_rows`). A very long text is pooled like any other: its
+parts are held at once, the vectors of its different buckets only.
 """
 
 import math
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import text_of
+from shelfwatch.llm.common import free, text_of
 from shelfwatch.llm.labelled import held_out, training_rows
 
 BUCKETS = 1 << 14
@@ -26,6 +28,7 @@ WIDTH = 48
 NONZERO = 6
 CHUNK = 512  # buckets of one row of partial sums
 HIDDEN = 24
+KNOWN = 200_000  # parts remembered per Python worker and stream, of 40 bytes at most
 SEED = 11
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -45,12 +48,30 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Buckets by part, remembered: most parts of a text have been seen before, and looking up is cheaper than hashing."""
+
+    def __init__(self, salt: int):
+        self.salt = salt
+
+    def __missing__(self, part: bytes) -> int:
+        bucket = zlib.crc32(part, self.salt) & (BUCKETS - 1)
+        if len(part) <= 40:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[part] = bucket
+        return bucket
+
+
+_KNOWN = [(_Known(salt), table) for salt, table in enumerate((_WORDS, _ONLY_MARKS, _SHAPES))]
+
+
 def streams(text: bytes) -> list[np.ndarray]:
     """Bucket numbers of the words, the runs of marks and the letter shapes, each in order."""
     out = []
-    for salt, table in enumerate((_WORDS, _ONLY_MARKS, _SHAPES)):
+    for known, table in _KNOWN:
         parts = text.translate(table).split()
-        out.append(np.fromiter((zlib.crc32(p, salt) for p in parts), np.uint32, len(parts)).astype(np.int32) & (BUCKETS - 1))
+        out.append(np.fromiter(map(known.__getitem__, parts), np.int32, len(parts)))
     return out
 
 
@@ -170,8 +191,8 @@ def trained(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network
     return Network(x, np.array([r["label"] for r in rows]), np.array([r["turn"] >= 20 for r in rows]))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of `docs` and _score: the chance of label 1."""
+def scored(docs: DataFrame, labels: DataFrame, name: str = "_score") -> DataFrame:
+    """All columns of `docs` and `name`: the chance of label 1."""
     vectors = corpus_vectors(docs)
     network = trained(docs, labels, vectors)
 
@@ -184,7 +205,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         x = np.stack([pooled(t.encode("utf-8", "surrogatepass"), vectors) for t in texts]) if len(texts) else np.zeros((0, 1))
         return pd.Series(network.scores(x) if len(texts) else np.zeros(0))
 
-    return docs.select("*", score(text_of()).alias("_score"))
+    return docs.select("*", score(text_of()).alias(name))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,4 +215,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    return scored(docs, labels).filter("_score >= 0.5").select(*docs.columns)
+    name = free("_score", docs)
+    return scored(docs, labels, name).filter(F.col(name) >= 0.5).drop(name)

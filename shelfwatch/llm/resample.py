@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import saved, text_of
+from shelfwatch.llm.common import free, saved, text_of
 from shelfwatch.operators.timeline import RANGE, in_ranges
 
 BUCKETS = 10_000
@@ -246,17 +246,10 @@ def drawn(rows: DataFrame, least_words: int = LEAST_WORDS, share: int = SHARE, c
 def resampled(docs: DataFrame, target: DataFrame) -> DataFrame:
     """The documents whose id is drawn, with all their columns."""
     out = digest_rows(docs, target).filter(F.col("rank").isNotNull())
-    ids = out.select(F.col("doc_id").alias(_free("doc", docs))).distinct()
+    ids = out.select(F.col("doc_id").alias(free("drawn_id", docs))).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids[ids.columns[0]]), "left_semi")
 
 
-def _free(name: str, df: DataFrame) -> str:
-    """A column name that `df` does not have."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
-
-
 def digest_rows(docs: DataFrame, target: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     return drawn(saved(weighed(rows, gains(bucket_counts(rows), bucket_counts(target))), "weights"))

@@ -6,7 +6,8 @@ unfolded text) and outside exceptions. The weights are smoothed log-odds of word
 labelled rows (labelled.TRAIN_ROWS), beside a few fixed seeds. The sum of the weights, and that sum by the
 root of the length in words, go through a logistic curve fitted on rows the weights did not see.
 
-Defined results: NULL and empty texts have no hits; without rows of both labels the seeds alone score; equal
+Defined results: NULL and empty texts have no hits; an id labelled or standing twice is learnt from once; a very long
+text is matched in the same single pass; without rows of both labels the seeds alone score; equal
 texts have equal scores; NULL ids count as not held out.
 """
 
@@ -123,8 +124,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of `docs` and _score: the chance of label 1."""
+def scored(docs: DataFrame, labels: DataFrame, name: str = "_score") -> DataFrame:
+    """All columns of `docs` and `name`: the chance of label 1."""
     sample = training_rows(docs, labels, "toxic")
     lexicon = SEEDS | learnt(sample)
 
@@ -147,7 +148,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([features(t, machine) for t in texts]).reshape(-1, len(curve) - 1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ curve, -30, 30))))
 
-    return docs.select("*", score(text_of()).alias("_score"))
+    return docs.select("*", score(text_of()).alias(name))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
