@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import saved, steps, text_key, text_of
+from shelfwatch.llm.common import saved, steps, text_key, text_of, whole_rows
 
 GRAM_WORDS = 15
 RUN_WORDS = 30
@@ -200,14 +200,14 @@ def _longer_elsewhere(places: DataFrame, once: DataFrame, run_words: int) -> Dat
 
 
 def marked(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """All columns of `docs`, with _lines (all), _gone (numbers of the lines to delete)."""
+    """_doc (the row of `docs`), _lines (all), _gone (numbers of the lines to delete)."""
     runs = repeated_runs(docs, gram_words, run_words)
     gone = runs.groupBy(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("_gone"))
-    rows = docs.withColumn("_own_key", text_key())
-    same = rows["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_own_key") == F.col("_gone_key"))
-    return rows.join(gone, same, "left").withColumn("_lines", F.split(text_of(), "\n")).select(
-        *[docs[c] for c in docs.columns], "_lines", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
+    rows = whole_rows(docs)
+    same = rows["_id"].eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key"))
+    return rows.join(gone, same, "left").withColumn("_lines", F.split(text_of("_doc.text"), "\n")).select(
+        "_doc", "_lines", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
 
 
 def _kept():
@@ -218,13 +218,13 @@ def _kept():
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: its lines, how many went, and the text that is left."""
     return marked(docs.select("doc_id", "text")).select(
-        "doc_id", F.size("_lines").alias("n_lines"), F.size("_gone").alias("n_deleted"), _kept().alias("text"))
+        "_doc.doc_id", F.size("_lines").alias("n_lines"), F.size("_gone").alias("n_deleted"), _kept().alias("text"))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """The documents with repeated runs deleted; those of which nothing is left go. n_chars follows the text."""
-    cut = F.when(F.size("_gone") > 0, _kept()).otherwise(F.col("text"))
-    rows = marked(docs).filter((F.size("_gone") == 0) | (F.trim(_kept()) != "")).withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_gone") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    cut = F.when(F.size("_gone") > 0, _kept()).otherwise(F.col("_doc.text"))
+    rows = marked(docs).filter((F.size("_gone") == 0) | (F.trim(_kept()) != "")).withColumn("_text", cut)
+    new = {"text": F.col("_text"), "n_chars": F.when(F.size("_gone") > 0, F.char_length("_text").cast("long")).otherwise(
+        F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
