@@ -1,12 +1,16 @@
 """Streams over the event table, run to the end of what is there."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfwatch.queries.lookup_queries import CACHED_SQL
 from shelfwatch.queries.product_queries import DEDUP_SQL, copies
 from shelfwatch.queries.tables import ATTEMPTS, Tables
 from shelfwatch.session import JOB_CONF, work_folder
 from shelfwatch.streaming import attempt_streams as st
+from shelfwatch.streaming import value_streams as vs
 from shelfwatch.streaming.batch_ledger import BatchLedger, with_ledger
 from shelfwatch.streaming.product_streams import KeptProducts, distinct_products
 
@@ -27,24 +31,25 @@ def _run(t: Tables, name: str, stream):
     return t.spark.read.parquet(f"{folder}/rows")
 
 
-def _run_state(t: Tables, name: str, variable: str, build):
-    """The state table after the stream's end.
-
-    Keyed list state needs the RocksDB store, and state with a time to live would ask for empty
-    batches without end. The session's own settings come back afterwards."""
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": JOB_CONF["spark.sql.streaming.stateStore.providerClass"],
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    }
+@contextmanager
+def _keyed_state(t: Tables, **more: str):
+    """Keyed list state needs the RocksDB store. The session's own settings come back afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": JOB_CONF["spark.sql.streaming.stateStore.providerClass"], **more}
     before = {key: t.spark.conf.get(key) for key in wanted}
     for key, value in wanted.items():
         t.spark.conf.set(key, value)
     try:
-        checkpoint = f"{work_folder(t.spark, name)}/checkpoint"
-        st.keep_state(build(_stream(t)), checkpoint).awaitTermination()
+        yield
     finally:
         for key, value in before.items():
             t.spark.conf.set(key, value)
+
+
+def _run_state(t: Tables, name: str, variable: str, build):
+    """The state table after the stream's end. State with a time to live would ask for empty batches without end."""
+    checkpoint = f"{work_folder(t.spark, name)}/checkpoint"
+    with _keyed_state(t, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        st.keep_state(build(_stream(t)), checkpoint).awaitTermination()
     return st.state_table(t.spark, checkpoint, variable)
 
 
@@ -90,6 +95,25 @@ def cache(t: Tables):
         "site", "page_pattern", F.col("value").cast("int").alias("level"))
 
 
+def streamed_levels(t: Tables):
+    """J4 as a stream: attempts in three landings, out of order by up to an hour and a half, look up the last success."""
+    folder, keys = work_folder(t.spark, "r4-lookups"), ["site", "page_pattern"]
+    a = t.attempts()
+    arrived = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp")) / 60_000_000 + F.col("event_id") % 5 * 20
+    thirds = F.floor((arrived - F.lit(1_704_067_200 / 60)) / (10 * 24 * 60)).cast("int")
+    rows = a.select(*keys, "ts", "event_id", F.lit(True).alias("asks"), F.when(F.col("success"), F.col("level")).alias("level"),
+                    F.greatest(F.least(thirds, F.lit(2)), F.lit(0)).alias("piece"))
+
+    def run(stream):
+        answers = vs.answered_lookups(stream, keys, "ts", "event_id", "asks", "level", "2 hours", 21600)
+        st.append_parquet(answers, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+
+    with _keyed_state(t):
+        _landed(t, folder, rows, 3, run)
+    answers = t.spark.read.parquet(f"{folder}/rows").unionByName(vs.open_lookups(t.spark, f"{folder}/checkpoint", keys, 21600))
+    return answers.select(F.col("tie").alias("event_id"), F.col("value").cast("int").alias("level"))
+
+
 def history(t: Tables):
     state = _run_state(t, "r5", "state", lambda stream: st.history_state(stream, emit=False))
     return st.state_history(state, ["url"], 20).select("url", "history_rank", F.col("row_id").alias("event_id"))
@@ -133,6 +157,7 @@ QUERIES = {
     "r4_cached_levels": (cache, f"""{A} SELECT site, page_pattern, level FROM (SELECT *, row_number() OVER
         (PARTITION BY site, page_pattern ORDER BY ts DESC, event_id DESC) AS r FROM a WHERE success) x
         WHERE r = 1 AND TIMESTAMP '2024-01-31 00:00:00' - ts < INTERVAL 24 HOUR"""),
+    "r4_j4_streamed_levels": (streamed_levels, f"""{CACHED_SQL} SELECT event_id, CASE WHEN ts - seen_at < INTERVAL 6 HOUR THEN level END AS level FROM w"""),
     "r5_url_history": (history, f"""{A} SELECT url, r::INT AS history_rank, event_id FROM (SELECT *, row_number() OVER
         (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS r FROM a) x WHERE r <= 20"""),
     "r6_windowed_stats": (windows, f"""{A} SELECT strftime(ts, '%Y-%m-%d') AS day, site, block_type, count(*) AS n FROM a

@@ -1,5 +1,6 @@
 """Streams whose result must not depend on how their input is cut."""
 
+import os
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from shelfwatch.operators.attempts import site_metrics
 from shelfwatch.queries.tables import Tables
 from shelfwatch.session import JOB_CONF
 from shelfwatch.streaming import attempt_streams as st
-from shelfwatch.streaming import product_streams
+from shelfwatch.streaming import product_streams, value_streams
 from shelfwatch.streaming.batch_ledger import BatchLedger, with_ledger
 from shelfwatch.streaming.product_streams import KeptProducts, distinct_products
 
@@ -98,6 +99,52 @@ def test_state_forms_agree_with_emitted_rows(spark, tmp_path, keyed_state):
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, emitted.collect())) == sorted(map(tuple, newest.collect()))
 
 
+@pytest.mark.parametrize("cuts", [1, 4, 9])
+def test_lookups_follow_event_time_however_they_arrive(spark, tmp_path, cuts):
+    """Values and lookups come up to half an hour late, in files that have nothing to do with keys."""
+    rng = random.Random(cuts)
+    rows = []
+    for i in range(240):
+        second = rng.randrange(0, 86_400) // 20 * 20  # ties are common
+        rows.append((rng.choice(["hot", "hot", "b", None]), second, i, rng.random() < 0.6, rng.choice([None, float(rng.randrange(9))])))
+    ddl = "key string, s int, n long, asks boolean, v double"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", JOB_CONF["spark.sql.streaming.stateStore.providerClass"])
+    arrival = sorted(rows, key=lambda r: r[1] + rng.randrange(1800))
+    size = -(-len(rows) // cuts)
+    for at in range(0, len(rows), size):
+        part = spark.createDataFrame(arrival[at : at + size], ddl).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        answers = value_streams.answered_lookups(stream, ["key"], "ts", "n", "asks", "v", "40 minutes", 7200, 2)
+        st.append_parquet(answers, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    closed, still = spark.read.parquet(str(tmp_path / "out")), value_streams.open_lookups(spark, str(tmp_path / "check"), ["key"], 7200, str(tmp_path))
+    got = {r.tie: (r.key, r.value) for r in closed.unionByName(still).collect()}
+    want = {}
+    for k, second, n, asks, _ in rows:
+        if asks:
+            earlier = [(a, m, v) for o, a, m, _, v in rows if o == k and v is not None and (a, m) < (second, n)]
+            last = max(earlier, default=None)
+            want[n] = (k or "", last[2] if last and second - last[0] < 7200 else None)
+    assert got == want
+    assert cuts == 1 or closed.count() > len(want) / 2
+    held = st.state_table(spark, str(tmp_path / "check"), "held")
+    assert held.select(F.sum(F.size("l_micros"))).first()[0] == still.count() and held.select(F.sum(F.size("v_micros"))).first()[0] < 120
+
+
+def test_late_lookups_and_rows_without_a_time(spark, tmp_path):
+    """A row past the watermark is dropped as Spark drops it; one without a time is no row of the stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", JOB_CONF["spark.sql.streaming.stateStore.providerClass"])
+    schema = "key string, n long, asks boolean, v double, ts timestamp"
+    for at, rows in enumerate([[("a", 1, False, 5.0, 0), ("a", 2, True, None, 60)], [("a", 3, True, None, 7200), ("a", 9, True, None, None)], [("a", 4, False, 7.0, 30), ("a", 5, True, None, 50)]]):
+        df = spark.createDataFrame(rows, "key string, n long, asks boolean, v double, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        answers = value_streams.answered_lookups(stream, ["key"], "ts", "n", "asks", "v", "10 minutes", 86_400, 1)
+        st.append_parquet(answers, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert [(r.tie, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 5.0)]
+    assert [(r.tie, r.value) for r in value_streams.open_lookups(spark, str(tmp_path / "check"), ["key"], 86_400, str(tmp_path)).collect()] == [(3, 5.0)]
+
+
 @pytest.mark.parametrize("every", [1, 40])
 def test_ledger_of_a_long_run(spark, tmp_path, every):
     """More batches than Spark remembers; every fifth file from the tenth on is long past the watermark."""
@@ -109,7 +156,6 @@ def test_ledger_of_a_long_run(spark, tmp_path, every):
         late += 2 * old
         hours = [n - 9, n - 9.5] if old else [n]
         (tmp_path / "in" / f"{n:04d}.json").write_text("".join(f'{{"id": {n * 10 + i}, "s": {int(h * 3600) + 1_700_000_000}}}\n' for i, h in enumerate(hours)))
-        import os
         os.utime(tmp_path / "in" / f"{n:04d}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     stream = spark.readStream.schema("id long, s long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     kept = st.distinct_within(stream.withColumn("ts", F.timestamp_seconds("s")), "ts", ["id"], "1 hour")
