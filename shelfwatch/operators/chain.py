@@ -9,9 +9,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from shelfwatch.functions.text import first_case
 from shelfwatch.functions.urls import site_by_domain
@@ -19,7 +22,7 @@ from shelfwatch.operators.items import item_rows, merged, no_items, unified
 from shelfwatch.operators.nodes import default_template, profile_items, template_items, with_nodes
 from shelfwatch.operators.structured import with_json_ld
 from shelfwatch.rules import sites as R
-from shelfwatch.schemas import PRODUCT_DDL
+from shelfwatch.schemas import PRODUCT_COLUMNS, PRODUCT_DDL
 from shelfwatch.session import work_folder
 
 
@@ -163,8 +166,8 @@ class Extractors:
 
     A frame function takes its site's pages as a DataFrame and returns product rows. A Python
     function takes (html, url) and returns product dicts; all of those run in one pass over the
-    pages, in Arrow batches. A page on which a Python function raises, or gives what is no product,
-    is skipped. Sites without an entry go to the template step.
+    pages, in Arrow batches, or from SQL as a table function. A page on which a Python function raises, or
+    gives what is no product, has no products; with `errors` one row says why. Sites without an entry go to the template step.
     """
 
     def __init__(self):
@@ -177,37 +180,76 @@ class Extractors:
     def register_python(self, site: str, kind: str, extract: Callable[[str, str], list[dict]]) -> None:
         self._functions[(site, kind)] = extract
 
-    def run(self, pages: DataFrame, kind: str = "list") -> DataFrame:
-        """Products of all registered sites' pages. pages has page_id, site, url and html."""
-        functions = {site: f for (site, k), f in self._functions.items() if k == kind}
-        parts = [
-            unified(f(pages.filter(F.col("site") == site)), "page_id")
-            for (site, k), f in self._frames.items() if k == kind
-        ]
+    def _of_kind(self, kind: str) -> dict[str, Callable[[str, str], list[dict]]]:
+        return {site: f for (site, k), f in self._functions.items() if k == kind}
+
+    def run(self, pages: DataFrame, kind: str = "list", errors: bool = False) -> DataFrame:
+        """Products of all registered sites' pages. pages has page_id, site, url and html.
+
+        With errors the column error is NULL for products, and a page that failed has one row with its reason.
+        """
+        functions, extra = self._of_kind(kind), ["error"] if errors else []
+        parts = []
+        for (site, k), f in self._frames.items():
+            if k == kind:
+                found = f(pages.filter(F.col("site") == site))
+                parts.append(unified(found.withColumn("error", F.lit(None).cast("string")) if errors else found, "page_id", *extra))
         if functions:
-            parts.append(_python_products(pages.filter(F.col("site").isin(list(functions))), functions))
+            found = _python_products(pages.filter(F.col("site").isin(list(functions))), functions)
+            parts.append(found.select("page_id", "error", *PRODUCT_COLUMNS) if errors else found.filter("error IS NULL").drop("error"))
         if not parts:
-            return unified(pages.limit(0).select("page_id"), "page_id")
+            none = pages.limit(0).select("page_id", F.lit(None).cast("string").alias("error"))
+            return unified(none, "page_id", *extra)
         return merged(*parts)
 
+    def register_sql(self, spark: SparkSession, name: str, kind: str = "list") -> None:
+        """Make the Python functions of a kind a table function `name`(site, url, html), for LATERAL over pages.
+
+        It gives the product columns and error; a site without a function gives no row.
+        """
+        spark.udtf.register(name, _table_function(self._of_kind(kind)))
+
+
+def _found(function: Callable[[str, str], list[dict]], html: str, url: str, arrow: pa.Schema) -> list[dict]:
+    """The products a function finds on a page as rows of `arrow`, or one row with the error."""
+    missing = {"rating": 0.0, "review_count": 0, "images": []}
+    empty = {n: missing.get(n, "") for n in arrow.names}
+    try:
+        rows = [empty | found | {"error": None} for found in function(html, url)]
+        return pa.RecordBatch.from_pylist(rows, schema=arrow).to_pylist()
+    except Exception as e:  # noqa: BLE001  user code: one page must not end the job
+        return [empty | {"error": f"{type(e).__name__}: {e}"}]
+
+
+def _table_function(functions: dict[str, Callable[[str, str], list[dict]]]):
+    schema = StructType.fromDDL(f"{PRODUCT_DDL}, error string")
+    arrow = to_arrow_schema(schema)
+
+    class Products:
+        @staticmethod
+        def analyze(site: AnalyzeArgument, url: AnalyzeArgument, html: AnalyzeArgument) -> AnalyzeResult:
+            for name, given in (("site", site), ("url", url), ("html", html)):
+                if not isinstance(given.dataType, StringType):
+                    raise ValueError(f"{name} must be a string and is {given.dataType.simpleString()}")
+            return AnalyzeResult(schema)
+
+        def eval(self, site: str, url: str, html: str):
+            if site in functions:
+                for row in _found(functions[site], html, url, arrow):
+                    yield tuple(row[n] for n in arrow.names)
+
+    return udtf(Products, useArrow=True)
+
 
 def _python_products(pages: DataFrame, functions: dict[str, Callable[[str, str], list[dict]]]) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
-    shape = unified(pages.limit(0).select("page_id"), "page_id").schema
-    arrow = to_arrow_schema(shape)
-    missing = {"rating": 0.0, "review_count": 0, "images": []}
+    own = to_arrow_schema(StructType.fromDDL(f"{PRODUCT_DDL}, error string"))
+    whole = to_arrow_schema(StructType.fromDDL(f"page_id {kind}, {PRODUCT_DDL}, error string"))
 
     def batches(it):
         for batch in it:
-            rows = []
-            for page in batch.to_pylist():
-                try:
-                    own = [{n: missing.get(n, "") for n in arrow.names} | found | {"page_id": page["page_id"]}
-                           for found in functions[page["site"]](page["html"], page["url"])]
-                    pa.RecordBatch.from_pylist(own, schema=arrow)
-                except Exception:  # noqa: BLE001  user code: one page must not end the job
-                    continue
-                rows += own
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return pages.select("page_id", "site", "url", "html").mapInArrow(batches, f"page_id {kind}, {PRODUCT_DDL}")
+            rows = [{"page_id": page["page_id"]} | row for page in batch.to_pylist()
+                    for row in _found(functions[page["site"]], page["html"], page["url"], own)]
+            yield pa.RecordBatch.from_pylist(rows, schema=whole)
+
+    return pages.select("page_id", "site", "url", "html").mapInArrow(batches, f"page_id {kind}, {PRODUCT_DDL}, error string")

@@ -470,6 +470,23 @@ def python_rules(t: Tables):
     return extractors.run(pages).select("page_id", "source", "url", "title", "price")
 
 
+def sql_rules(t: Tables):
+    """The same kind of code called from SQL, where pages without a heading are errors."""
+
+    def headings(html: str, url: str) -> list[dict]:
+        start, end = html.index("<h1>"), html.index("</h1>")
+        return [{"source": "shop", "url": url, "title": html[start + 4:end]}]
+
+    extractors = chain.Extractors()
+    extractors.register_python("shop", "list", headings)
+    extractors.register_sql(t.spark, "shop_products")
+    # The site comes from a name without an h1 for a fifth of the pages.
+    return t.view("""SELECT p.page_id, x.source, x.url, x.title, x.rating, x.error FROM (
+        SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'shop' ELSE 'other' END AS site, url,
+               CASE WHEN page_id % 5 = 0 THEN replace(html, '<h1>', '<h2>') ELSE html END AS html FROM pages) p,
+        LATERAL shop_products(p.site, p.url, p.html) x""", "pages")
+
+
 def item_flow(t: Tables):
     pages = _html_pages(t, {"amazon": _amazon_item(), "walmart": _walmart_item()})
     return jobs.item_flow(pages.drop("site"), S.ITEMS_PER_PAGE).select("page_id", "source", "title", "price", "url", "is_valid")
@@ -527,6 +544,11 @@ QUERIES = {
         UNION ALL SELECT page_id, 'payload', count(*) FROM pay GROUP BY 1"""),
     "f1_python_rules": (python_rules, """SELECT page_id, 'shop' AS source, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, '' AS price
         FROM pages WHERE page_id % 2 = 0 AND contains(html, '<h1>')"""),
+    "f1_sql_rules": (sql_rules, """WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '<h1>', '<h2>') ELSE html END AS html FROM pages
+        WHERE page_id % 2 = 0), q AS (SELECT *, contains(html, '<h1>') AND contains(html, '</h1>') AS ok FROM p)
+        SELECT page_id, CASE WHEN ok THEN 'shop' ELSE '' END AS source, CASE WHEN ok THEN url ELSE '' END AS url,
+          CASE WHEN ok THEN regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) ELSE '' END AS title, 0.0::DOUBLE AS rating,
+          CASE WHEN NOT ok THEN 'ValueError: substring not found' END AS error FROM q"""),
     "item_flow": (item_flow, f"""WITH n AS (SELECT *, {PAGE_SQL} AS page_id, row_number() OVER (PARTITION BY {PAGE_SQL} ORDER BY p_partkey) AS r,
         {PAGE_SQL} % 2 AS s FROM part)
         SELECT page_id, CASE s WHEN 0 THEN 'amazon' ELSE 'walmart' END AS source, p_name AS title,

@@ -181,3 +181,28 @@ def test_fixed_chains_as_rows_give_the_same(spark):
     table = spark.createDataFrame(rows, "site string, place int, step string, least int")
     a, b = (sorted(map(tuple, chain.winning_steps(data, chains=c).select("page_id", "strategy", "product_count").collect())) for c in (None, table))
     assert a == b and {x[1] for x in a} == {"json_ld", "none"}
+
+
+def test_extractors_from_sql_and_as_frames(spark):
+    """Both forms give the same rows; code that fails or gives no products says so on its page alone."""
+    def own(html, url):
+        return {"many": [{"title": f"t{i}", "rating": i, "images": ["a"]} for i in range(3)], "none": [], "bad": [{"rating": "five"}]}[html]
+
+    extractors = chain.Extractors()
+    extractors.register_python("a", "list", own)
+    extractors.register_python("b", "detail", own)
+    extractors.register_sql(spark, "own_products")
+    extractors.register_sql(spark, "own_details", "detail")
+    rows = [(1, "a", "u", "many"), (2, "a", "u", "none"), (3, "a", "u", "bad"), (4, "a", "u", "else"), (5, "b", "u", "many"), (6, None, "u", "many"), (7, "a", None, None)]
+    data = spark.createDataFrame(rows, "page_id long, site string, url string, html string")
+    columns = ["page_id", "title", "rating", "images", "source", "error"]
+    sql = spark.sql("SELECT p.page_id, x.* FROM {p} p, LATERAL own_products(p.site, p.url, p.html) x", p=data).select(*columns)
+    frame = extractors.run(data, errors=True).select(*columns)
+    got = sorted(map(tuple, sql.collect()), key=repr)
+    assert got == sorted(map(tuple, frame.collect()), key=repr)
+    assert [(g[0], g[1], g[5] is None) for g in got] == [(1, "t0", True), (1, "t1", True), (1, "t2", True), (3, "", False), (4, "", False), (7, "", False)]
+    assert "KeyError" in got[4][5] and extractors.run(data).count() == 3
+    assert spark.sql("SELECT count(*) FROM {p} p, LATERAL own_details(p.site, p.url, p.html) x", p=data).first()[0] == 3
+    assert extractors.run(data.filter("false"), errors=True).count() == 0
+    with pytest.raises(Exception, match="must be a string"):
+        spark.sql("SELECT * FROM {p} p, LATERAL own_products(p.site, p.page_id, p.html) x", p=data).collect()
