@@ -3,6 +3,7 @@
 import math
 import re
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -156,6 +157,46 @@ def test_names_at_sentence_starts_whole_numbers_and_other_case(spark, frame):
     assert got == {(1, 1): False, (2, 2): False, (3, 3): True, (5, 3): True}
 
 
+def test_numbers_in_words(spark, frame):
+    """A question whose numbers are spelled out, changed or not, and as digits."""
+    item = "A farmer keeps three goats and twenty-five hens in a barn while seven of the hens lay five eggs every day of the week"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, item), (2, item.replace("three", "seven").replace("seven of", "six of").replace("five eggs", "nine eggs").replace("twenty-five", "forty")),
+            (3, item.replace("three", "3").replace("seven", "7").replace("five eggs", "5 eggs").replace("twenty-five", "25")),
+            (4, "Three of seven people said that ten goats and five hens were in the barn of the farmer")]
+    got = {r["doc_id"]: r["exact"] for r in decontaminate.report(frame(docs), items).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_columns_of_any_name_pass_through(spark, frame):
+    """Every stage that keeps columns gives back those it uses names of itself."""
+    names = ["_own_key", "_score", "_lines", "_gone", "_nth", "_doc", "_id", "_key", "_kept_id", "_kept_key", "_gone_id", "_gone_key", "key", "node", "root", "words", "label", "hash", "_text"]
+    for rows in (ODD, []):
+        docs = frame(rows)
+        for n, name in enumerate(names):
+            docs = docs.withColumn(name, docs["text"] if n % 2 else docs["doc_id"] + n)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns, name
+            for r in out.collect():
+                for n, c in enumerate(names):
+                    if n % 2 == 0:
+                        assert r[c] == (None if r["doc_id"] is None else r["doc_id"] + n), (name, c)
+
+
+def test_one_training_row_an_id(spark):
+    """An id that stands many times is learnt from once, so the bound of rows holds."""
+    from shelfwatch.llm.labelled import training_rows
+
+    a, b, c = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    docs = spark.range(5000).selectExpr(f"{a}L AS doc_id", "concat('text ', id % 7) AS text").unionByName(spark.createDataFrame([(b, "x"), (c, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(a, 1), (a, 0), (b, 0), (c, 1), (None, 1)], "doc_id long, toxic int")
+    for bound in (3, 1):
+        assert training_rows(docs, labels, "toxic", bound).count() == bound
+    only = training_rows(docs.filter(f"doc_id = {a}"), labels, "toxic").collect()
+    assert len(only) == 1 and only[0]["label"] == 1
+
+
 def test_big_benchmarks_are_shuffled(spark, frame, monkeypatch):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
