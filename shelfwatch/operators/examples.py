@@ -94,8 +94,12 @@ def readiness(attempts: DataFrame, states: DataFrame, now: Column) -> DataFrame:
     """Per module: totals, rows since the last build, and whether and why (not) it may be built.
 
     states holds module, version, last_built (timestamp) and last_built_rows, at most a row each.
-    The one-row count is expanded by the fixed module list; nothing is cross-joined.
     """
+    return readiness_of(attempts.agg(F.count(F.lit(1)).alias("total_traces")), states, now)
+
+
+def readiness_of(total_row: DataFrame, states: DataFrame, now: Column) -> DataFrame:
+    """As `readiness`, from one row with total_traces, which the fixed module list expands; nothing is cross-joined."""
     modules = F.array(*[
         F.struct(F.lit(n).alias("module"), F.lit(a).alias("min_traces"), F.lit(b).alias("min_new_traces"),
                  F.lit(c).alias("train_interval"))
@@ -111,8 +115,7 @@ def readiness(attempts: DataFrame, states: DataFrame, now: Column) -> DataFrame:
         .otherwise(F.lit("ready"))
     )
     return (
-        attempts.agg(F.count(F.lit(1)).alias("total_traces"))
-        .select("total_traces", F.inline(modules))
+        total_row.select("total_traces", F.inline(modules))
         .join(states, "module", "left")
         .withColumn("version", F.coalesce("version", F.lit(0)))
         .withColumn("last_built_rows", F.coalesce("last_built_rows", F.lit(0)))

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators import examples as ox
 from shelfwatch.plans import jobs
+from shelfwatch.plans.example_builds import BUILDERS, ExampleBuilds
 from shelfwatch.queries.tables import ATTEMPTS, Tables
 from shelfwatch.rules import modules as M
 from shelfwatch.session import work_folder
+from shelfwatch.sources import attempt_log
 
 A = f"WITH a AS ({ATTEMPTS})"
 CONFIG = ["route", "render", "change_ua", "use_cookies", "use_human_scroll"]
@@ -130,6 +132,34 @@ SELECT module, total AS total_traces, total >= least AND total >= least_new AS r
   CASE WHEN total >= least AND total >= least_new AND module IN ('strategy_selector', 'initial_tier_selector') THEN good ELSE 0 END AS examples FROM m, n"""
 
 
+# Landings of the log and the minute of the build after each: the third build comes too soon and leaves its files to the next.
+LANDING = "CASE WHEN event_id % 10 < 5 THEN 1 WHEN event_id % 10 < 7 THEN 2 WHEN event_id % 10 < 8 THEN 3 ELSE 4 END"
+BUILD_MINUTES = [0, 300, 310, 600]
+
+
+def growing_sets(t: Tables):
+    """Four builds over a log that grows between them: the examples by version, from each version's own files."""
+    folder = work_folder(t.spark, "a11")
+    rows = t.attempts().select(
+        F.expr(LANDING).alias("landing"), F.col("event_id").cast("string").alias("trace_id"), "site", "page_pattern", "block_type", "success", "latency_ms",
+        F.when(F.col("event_id") % 3 > 0, F.col("level").cast("string")).alias("initial_level"))
+    builds = ExampleBuilds(t.spark, f"{folder}/sets", f"{folder}/log")
+    for n, minute in enumerate(BUILD_MINUTES, start=1):
+        attempt_log.append_attempts(rows.filter(F.col("landing") == n).drop("landing"), f"{folder}/log")
+        builds.build(F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minute)))
+    versions = builds.versions().select("module", "version", F.coalesce("parent", F.lit(0)).alias("parent"))
+    out = []
+    for module in BUILDERS:
+        own = builds.examples(module).groupBy("version", "site").agg(F.count(F.lit(1)).alias("n"))
+        out.append(own.withColumn("module", F.lit(module)))
+    return out[0].unionByName(out[1]).join(versions, ["module", "version"])
+
+
+GROWING_SQL = f"""{A}, v AS (SELECT *, least({LANDING}, 3) AS version FROM a WHERE success),
+  m AS (SELECT 'strategy_selector' AS module, version, site FROM v UNION ALL SELECT 'initial_tier_selector', version, site FROM v WHERE event_id % 3 > 0)
+SELECT module, version, site, count(*) AS n, version - 1 AS parent FROM m GROUP BY ALL"""
+
+
 QUERIES = {
     "example_sets": (example_sets, EXAMPLE_SETS_SQL),
     "m1_s10_exported_examples": (exported, EXPORT_SQL),
@@ -138,4 +168,5 @@ QUERIES = {
     "m4_f3_config_scores": (config_scores, CONFIG_SCORE_SQL),
     "m5_level_scores": (level_scores, LEVEL_SCORE_SQL),
     "a11_readiness": (readiness, READINESS_SQL),
+    "a11_growing_sets": (growing_sets, GROWING_SQL),
 }

@@ -44,6 +44,49 @@ def test_example_sets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "module=initial_tier_selector" / "version=1")).count() == a.filter("success").count()
 
 
+def test_builds_over_a_growing_log(spark, tmp_path):
+    """Several builds equal one over the whole log; each reads its own bytes; a lost build is made good by the next."""
+    from shelfwatch.operators import examples as ox
+    from shelfwatch.plans.example_builds import ExampleBuilds
+
+    log = tmp_path / "log"
+    log.mkdir()
+    at = lambda hour: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour))
+    def land(name, n, bad=0):
+        lines = [json.dumps({"site": f"s{i % 3}", "page_pattern": "p", "success": i % 4 > 0, "initial_level": str(i % 5), "trace_id": f"{name}-{i}"}) for i in range(n)]
+        (log / name).write_text("\n".join([*lines, "", *["no json"] * bad]) + "\n")
+    builds = ExampleBuilds(spark, str(tmp_path / "sets"), str(log))
+    ready = lambda hour: {r.module: r.ready for r in builds.build(at(hour)).collect()}
+    land("a.jsonl", 40)
+    assert not ready(0)["strategy_selector"] and builds.versions().count() == 1  # enough for the level set alone
+    land("b.jsonl", 30, bad=1)
+    (log / "notes.txt").write_text("no log")
+    assert ready(3)["strategy_selector"]
+    assert not ready(9)["strategy_selector"]  # nothing new
+    land("c.jsonl", 25)
+    enter, builds._attempts = builds._attempts, lambda files: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        builds.build(at(12))
+    builds._attempts = enter
+    land("d.jsonl", 12)
+    assert ready(13)["strategy_selector"]
+    made = {(r.module, r.version): r for r in builds.versions().collect()}
+    sizes = {f: (log / f"{f}.jsonl").stat().st_size for f in "abcd"}
+    selector = [made["strategy_selector", v] for v in (1, 2)]
+    assert [(r.parent, r.files, r.bytes_read) for r in selector] == [(None, 2, sizes["a"] + sizes["b"]), (1, 2, sizes["c"] + sizes["d"])]
+    levels = [made["initial_tier_selector", v] for v in (1, 2, 3)]
+    assert [r.bytes_read for r in levels] == [sizes["a"], sizes["b"], sizes["c"] + sizes["d"]]
+    assert builds.files().agg(F.sum("lines")).first()[0] == 40 + 31 + 25 + 12
+    whole = builds._attempts([str(log / f"{f}.jsonl") for f in "abcd"])
+    for module, build in (("strategy_selector", ox.outcome_examples), ("initial_tier_selector", ox.level_examples)):
+        columns = build(whole).columns
+        assert sorted(map(str, builds.examples(module).select(*columns).collect())) == sorted(map(str, build(whole).collect()))
+    assert builds.examples("strategy_selector", 1).count() == selector[0].rows
+    land("a.jsonl", 41)
+    with pytest.raises(ValueError, match="changed"):
+        builds.build(at(20))
+
+
 def test_task_states(spark):
     events = [("a", "enqueue", 0), ("b", "dequeue", 0), ("c", "failure", 0), ("d", "failure", 2), ("e", "success", 1), ("f", "retry", 2)]
     rows = [(i, t, e, x, 2, "u", "s", "search") for i, (t, e, x) in enumerate(events)]
