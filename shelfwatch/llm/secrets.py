@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns, and windowed entropy over candidate strings.
 
-A candidate is a long run of key characters with letters and digits in it. Per character class, a window
-slides over it with one count per character: each step adds the entering and takes off the leaving one, so
-the entropy follows from the last one's sum. A candidate whose highest window entropy reaches its class's
-bound is a span, unless the allow-list names it.
+A candidate is a run of SHORT key characters or more with letters and digits, or small and capital letters, in it. Per
+character class, a window slides over it with one count per character: each step adds the entering and takes off the
+leaving one, so the entropy follows from the last one's sum. A candidate whose highest window entropy reaches its class's
+bound is a span, unless the allow-list names it as a whole. One too short for the wide window is judged by a narrower one,
+and only if it holds small letters, capitals and digits, as short names often hold two of them.
 
-Defined results: NULL texts are empty; empty texts have no spans; equal rows have equal results. Offsets are
+Defined results: a very long text or candidate is gone through once, by counts of fixed size; NULL texts are empty; empty texts have no spans; equal rows have equal results. Offsets are
 code points, ends exclusive.
 """
 
@@ -22,17 +23,32 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_text"]
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-# Known to be no secrets: identifiers, counting runs, numbered words. Possessive, so that long runs need no stack.
+SHORT = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORT},}}"
+
+
+def _opening(run: str, least: int) -> str:
+    """Matches an opening of `run` of at least that many characters."""
+    out = ""
+    for c in reversed(run[least:]):
+        out = f"(?:{c}{out})?"
+    return run[:least] + out
+
+
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+# Known to be no secrets: identifiers, whole counting runs, numbered words, names of capitalised words. Possessive, so that
+# long runs need no stack.
 ALLOWED = "|".join([
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?:0123456789|abcdef|ABCDEF)[0-9a-zA-Z]*", r"(?:[A-Za-z]++[/_-])++[0-9]{1,4}",
+    f"(?:{_opening('0123456789', 10)}|{_opening(_SMALL, 6)}|{_opening(_SMALL.upper(), 6)})++[0-9]{{0,4}}",
+    r"(?:[A-Za-z]++[/_-])++[0-9]{1,4}", r"[a-z]*+(?:[A-Z][a-z]++)++[0-9]{0,4}",
 ])
 # class: characters, window, least entropy in bits
 CLASSES = {
     "entropy_hex": ("0123456789abcdef", 16, 2.9),
-    "entropy_text": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.7),
+    "entropy_text": (_SMALL.upper() + _SMALL + "0123456789+/_=-", 20, 3.7),
 }
+SHORT_BITS = 3.5  # for text below that window, in one of SHORT characters
 BLOCK = 256
 
 
@@ -110,14 +126,17 @@ def spans(docs: DataFrame) -> DataFrame:
               lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 12).alias("assign"),
         _kept(found(text, ACCESS, "AKIA"), lambda m: F.char_length(m) >= 18).alias("access"),
         found(text, r"[0-9a-f]{16,}", r"[0-9a-f]{16}").alias("hex"),
-        _kept(found(text, CANDIDATE, CANDIDATE), lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(f"^(?:{ALLOWED})$")).alias("candidates"),
+        _kept(found(text, CANDIDATE, CANDIDATE), lambda m: m.rlike("[A-Za-z]") & (m.rlike("[0-9]") | m.rlike("[A-Z]") & m.rlike("[a-z]")) & ~m.rlike(f"^(?:{ALLOWED})$")).alias("candidates"),
     )
     is_hex = lambda m: m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     entropy = lambda m, kind: top_entropy(m, *CLASSES[kind][:2]) >= CLASSES[kind][2]
+    alphabet, wide, _ = CLASSES["entropy_text"]
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+    in_text = lambda m: F.when(F.char_length(m) >= wide, entropy(m, "entropy_text")).otherwise(mixed(m) & (top_entropy(m, alphabet, SHORT) >= SHORT_BITS))
     return rows.select(
         "doc_id", "assign", "access", "hex",
         _kept(F.col("candidates"), lambda m: is_hex(m) & entropy(F.lower(m), "entropy_hex")).alias("entropy_hex"),
-        _kept(F.col("candidates"), lambda m: ~is_hex(m) & entropy(m, "entropy_text")).alias("entropy_text"),
+        _kept(F.col("candidates"), lambda m: ~is_hex(m) & in_text(m)).alias("entropy_text"),
     )
 
 

@@ -206,6 +206,18 @@ def test_secret_entropy(frame):
         assert (f"{kind}:2:{2 + len(t)}" in got[i]) == want, (t, got[i])
 
 
+def test_counting_runs_alone_are_allowed(frame):
+    """An opening that counts excuses nothing that follows; letters alone and short keys are judged too."""
+    rng = random.Random(9)
+    of = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = ["abcdef" + of(small + big + digits, 30), "ABCDEF" + of(small + big + digits, 30), digits + of(small + big + digits, 30), of(small + big, 40), "aB3" + of(small + big + digits, 15)]
+    plain = [digits * 3, digits + small, small + digits, big + small, digits * 2 + "abcdefghij", "ABCDEFGHIJKLMNOPQRST12", "configurationOption1", "ThisIsTheNameOfSomething", "averylongwordinsmallletters", "short1Key", "an-ordinary-slug-2024"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scanned(frame([(i, f"x {t} y") for i, t in enumerate(secret + plain)])).collect()}
+    for i, t in enumerate(secret + plain):
+        assert (f"entropy_text:2:{2 + len(t)}" in got[i].split(",")) == (i < len(secret)), (t, got[i])
+
+
 def test_very_long_candidates(frame):
     texts = ["=" * 60000 + "a1", "0123456789" * 6000 + "g", "ab-" * 30000 + "12", "a1" * 50000]
     got = {r["doc_id"]: r["spans"] for r in secrets.scanned(frame(list(enumerate(texts)))).collect()}
