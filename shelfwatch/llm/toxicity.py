@@ -1,6 +1,6 @@
 """Toxicity scores from a weighted lexicon.
 
-Letters that look alike and digits that stand for letters are folded; the folded text is matched in one pass
+Letters that look alike, accents and digits or signs that stand for letters are folded; the folded text is matched in one pass
 by an Aho-Corasick automaton of lexicon words and exception phrases. A hit counts at word boundaries (of the
 unfolded text) and outside exceptions. The weights are smoothed log-odds of words in a bounded sample of
 labelled rows (labelled.TRAIN_ROWS), beside a few fixed seeds. The sum of the weights, and that sum by the
@@ -13,6 +13,7 @@ texts have equal scores; NULL ids count as not held out.
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,26 +29,35 @@ from shelfwatch.llm.labelled import held_out, training_rows
 # Seed words with a weight, and phrases in which they are harmless.
 SEEDS = {"idiot": 5.0, "moron": 5.0, "stupid": 4.0, "scum": 4.0, "loser": 4.0, "worthless": 4.0, "pathetic": 4.0, "disgusting": 4.0}
 EXCEPTIONS = ["trash can", "trash bin", "pathetic fallacy", "loser bracket", "pond scum", "clown fish", "sympathetic"]
-# Folds: one character for one, so places stay the same.
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-LIKE = dict(zip("аеорсухіјѕԁһαορυνι", "aeopcyxijsdhaopuvi", strict=True))
+# Folds: one character for one, so places stay the same. Look-alikes are folded by sight, so capitals before they are lowered.
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+LIKE = dict(zip("аеорсухіјѕԁһαορυνικмтвнѵ", "aeopcyxijsdhaopuvikmtbhv", strict=True))
+CAPITALS = dict(zip("АВЕКМНОРСТУХЅІЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxsijabezhikmnoptyx", strict=True))
+_ACCENTED = {i: base.lower() for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+             if (base := unicodedata.normalize("NFD", chr(i))[0]).isascii() and base.isalpha()}
 _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
-_FOLD = str.maketrans(LIKE | DIGITS)
+_SEEN = str.maketrans(CAPITALS) | _WIDE
+_FOLD = str.maketrans(LIKE | DIGITS) | _ACCENTED
 _ODD = re.compile("[Ͱ-ԯ！-～]")
+_MARKS = re.compile("[\u0300-\u036f]")
+_SIGN = re.compile(r"(?<=[^\W_])!(?=[^\W_])")  # stands for a letter between letters or digits alone
 _WORD = re.compile(r"[^\W\d_]+")
 LEAST_DOCS = 3
 LEAST_WEIGHT = 2.0
 
 
 def lowered(text: str) -> str:
-    """Lower case, wide forms narrowed; same length as `folded` of it."""
-    return text.lower().translate(_WIDE) if _ODD.search(text) else text.lower()
+    """Lower case, without combining marks, wide forms narrowed, look-alike capitals folded; same length as `folded` of it."""
+    if text.isascii():
+        return text.lower()
+    text = _MARKS.sub("", text)
+    return (text.translate(_SEEN) if _ODD.search(text) else text).lower()
 
 
 def folded(low: str) -> str:
-    if _ODD.search(low):
-        return low.translate(_FOLD)
-    return low.encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass")
+    if "!" in low:
+        low = _SIGN.sub("i", low)
+    return low.encode().translate(_BYTES).decode() if low.isascii() else low.translate(_FOLD)
 
 
 _BYTES = bytes(ord(DIGITS.get(chr(i), chr(i))) if i < 128 else i for i in range(256))

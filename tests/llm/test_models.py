@@ -238,6 +238,19 @@ def test_folds_boundaries_and_exceptions():
     assert hit("idiotic") == hit("the trash can") == hit("") == 0 and hit("trash, idiot") == 2
 
 
+@pytest.mark.parametrize("text", ["sТupid", "SТUРID", "Κill IDIОТ", "idiоТ", "stúpid", "stu\u0301pid", "1d!ot", "ID!0T", "ｓｔｕｐｉｄ", "you idiot!", "мoron", "ΜΟRΟΝ", "m0r0n", "lo5er", "scüm"])
+def test_disguised_words_are_found(text):
+    machine = toxicity.automaton(toxicity.SEEDS)
+    assert toxicity.hits(text, machine)[1] == 1
+    low = toxicity.lowered(text)
+    assert len(toxicity.folded(low)) == len(low)
+
+
+@pytest.mark.parametrize("text", ["idiotisch", "wow!!! great", "Идиот", "8 9 10!", "", "losers", "the pond scum"])
+def test_plain_words_are_left_alone(text):
+    assert toxicity.hits(text, toxicity.automaton(toxicity.SEEDS))[1] == 0
+
+
 @pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_scores_of_odd_rows(spark, frame, operator, label):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
