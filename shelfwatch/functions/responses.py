@@ -88,19 +88,19 @@ REASONED_OUTCOMES = [
 def reasoned_code(status: Column, text: Column, lowered: Column) -> Column:
     """Code of the reasoned verdict: a small integer, cheap to aggregate and shuffle."""
     text, lowered = _text(text), _text(lowered)
-    interstitial = any_of(lowered, ["cloudflare", "cf-challenge", "checking your browser"])
-    waiting = any_of(lowered, ["attention required", "just a moment"])
-    human = any_of(lowered, ["verify you are human", "i am not a robot"])
+    interstitial = any_of(lowered, P.REASONED_INTERSTITIAL)
+    waiting = any_of(lowered, P.REASONED_WAITING)
+    human = any_of(lowered, P.REASONED_HUMAN)
     conditions = [
         status == 403,
         status == 429,
         status == 451,
         status.isNull() | (status >= 500),
         interstitial & waiting,
-        lowered.contains("captcha") & human,
-        any_of(lowered, ["access denied", "blocked your ip"]),
-        any_of(lowered, ["suspicious activity", "unusual traffic"]),
-        F.length(text) < 500,
+        lowered.contains(P.REASONED_CHALLENGE) & human,
+        any_of(lowered, P.REASONED_DENIED),
+        any_of(lowered, P.REASONED_UNUSUAL),
+        F.length(text) < P.REASONED_SHORT_CHARS,
     ]
     return first_case([(c, F.lit(code)) for code, c in enumerate(conditions, start=1)], F.lit(0))
 

@@ -30,10 +30,6 @@ def search_template_table(spark: SparkSession) -> DataFrame:
     return rule_table(spark, rows, "variant string, site string, template string, suffix string")
 
 
-def site_table(spark: SparkSession) -> DataFrame:
-    return rule_table(spark, [(s,) for s in R.REGISTERED_SITES], "site string")
-
-
 def registered_only(tasks: DataFrame) -> DataFrame:
     """Rows of registered sites. The list is fixed, so this is a filter and no join."""
     return tasks.filter(F.col("site").isin(R.REGISTERED_SITES))

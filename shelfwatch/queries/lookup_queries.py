@@ -24,18 +24,16 @@ def start_levels(t: Tables):
 
 def config_lists(t: Tables):
     """Configuration lists per (site, pattern), with a row for "unknown" on some sites only."""
-    rows = t.attempts()
-    lists = (
-        rows.filter(~F.col("page_pattern").isin("review")).filter((F.col("page_pattern") != "unknown") | (F.col("level") > 6))
-        .groupBy("site", "page_pattern").agg(F.concat(F.lit("max "), F.max("cfg")).alias("configs"))
-    )
+    rows, pattern = t.attempts(), F.col("page_pattern")
+    listed = F.when((pattern != "review") & ((pattern != "unknown") | (F.col("level") > 6)), F.col("cfg"))
+    lists = rows.groupBy("site", "page_pattern").agg(F.concat(F.lit("max "), F.max(listed)).alias("configs"))
     tasks = rows.select("event_id", F.concat(F.col("site"), F.when(F.col("event_id") % 9 == 0, F.lit("x")).otherwise(F.lit(""))).alias("site"),
                         "page_pattern")
     return ol.with_pattern_fallback(tasks, lists, "configs", F.lit("one default")).select("event_id", "configs")
 
 
-CONFIG_SQL = f"""{A}, l AS (SELECT site, page_pattern, 'max ' || max(cfg) AS configs FROM a
-    WHERE page_pattern <> 'review' AND (page_pattern <> 'unknown' OR level > 6) GROUP BY 1, 2),
+CONFIG_SQL = f"""{A}, l AS (SELECT site, page_pattern,
+    'max ' || max(CASE WHEN page_pattern <> 'review' AND (page_pattern <> 'unknown' OR level > 6) THEN cfg END) AS configs FROM a GROUP BY 1, 2),
   k AS (SELECT event_id, site || CASE WHEN event_id % 9 = 0 THEN 'x' ELSE '' END AS site, page_pattern FROM a)
 SELECT event_id, coalesce(e.configs, u.configs, 'one default') AS configs FROM k
 LEFT JOIN l e ON e.site = k.site AND e.page_pattern = k.page_pattern
@@ -88,7 +86,7 @@ SELECT event_id, CASE WHEN ts - seen_at < INTERVAL 4 HOUR THEN level WHEN ts - s
 def best_first(t: Tables):
     a = t.attempts()
     tasks = a.select("event_id", "site", F.transform(F.sequence("level", F.lit(8)), lambda x: F.concat(F.lit("c"), x)).alias("configs"))
-    best = oa.best_config(a.filter(F.col("site") != "site5"))
+    best = oa.best_config(a.withColumn("success", F.col("success") & (F.col("site") != "site5")))  # one site without a success
     return ol.with_best_config(tasks, best).select("event_id", F.array_join("configs", ",").alias("configs"))
 
 

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import coerce
@@ -192,8 +192,12 @@ def append_log(t: Tables):
     a = t.attempts().select(F.col("event_id").cast("string").alias("trace_id"), "site", "success", "latency_ms")
     attempt_log.append_attempts(a.filter("success"), folder)
     attempt_log.append_attempts(a.filter("NOT success"), folder)
-    back = attempt_log.in_file_order(attempt_log.read_attempts(t.spark, folder))
-    return back.groupBy("site", "success").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
+    back = attempt_log.with_file_place(attempt_log.read_attempts(t.spark, folder))
+    # Each task wrote its rows in the order of the table, one file each, so ids rise along a file's lines.
+    before = F.lag(F.col("trace_id").cast("long")).over(Window.partitionBy("_file").orderBy("_block", "_line"))
+    placed = back.withColumn("rises", F.coalesce(before < F.col("trace_id").cast("long"), F.lit(True)))
+    return placed.groupBy("site", "success").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"), F.min("rises").alias("in_line_order"))
 
 
 def recorded_attempts(t: Tables):
@@ -316,7 +320,7 @@ QUERIES = {
     "a09_products_by_source": (by_source, f"WITH c AS ({COPIES}) SELECT source, count(*) AS products FROM c GROUP BY 1"),
     "s01_read_pages": (read_pages, "SELECT page_id, url, length(html)::INT AS chars, -1 AS status FROM pages"),
     "s02_s04_read_log": (read_log, READ_LOG_SQL),
-    "s03_l3_append_log": (append_log, f"WITH a AS ({ATTEMPTS}) SELECT site, success, count(*) AS n, round(sum(latency_ms), 3) AS latency_ms FROM a GROUP BY 1, 2"),
+    "s03_l3_append_log": (append_log, f"WITH a AS ({ATTEMPTS}) SELECT site, success, count(*) AS n, round(sum(latency_ms), 3) AS latency_ms, TRUE AS in_line_order FROM a GROUP BY 1, 2"),
     "s05_recorded_attempts": (recorded_attempts, f"""WITH r AS ({RESPONSES}) SELECT doc_id::INT AS attempt_index, 'https://shop/' || doc_id AS url,
     coalesce(status_code, 0)::INT AS status_code, 1 AS strategy_tier, length(text)::BIGINT AS full_html_size, md5(left(text, 2000)) AS snippet,
     0 AS headers, 12 AS id_length, 26 AS time_length FROM r"""),

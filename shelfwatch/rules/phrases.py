@@ -27,6 +27,7 @@ DENIAL_PHRASES = [
     "automated requests", "please verify", "security check failed",
 ]
 
+# Lengths below which a text or a body is short, and the mark of a site that is exempt.
 SHORT_TEXT_CHARS = 1000
 SHORT_BODY_CHARS = 5000
 SHORT_BODY_EXEMPT = "costway.com"
@@ -93,3 +94,12 @@ SAMPLE_CHARS = {
     "url_format": 5000, "strategy": 500, "failed_snippet": 1000, "snippet": 2000,
 }
 VERDICT_KEY_CHARS = 500
+
+# Word groups of the reasoned verdict, in the order of its rules; below REASONED_SHORT_CHARS a text is empty.
+REASONED_INTERSTITIAL = ["cloudflare", "cf-challenge", "checking your browser"]
+REASONED_WAITING = ["attention required", "just a moment"]
+REASONED_CHALLENGE = "captcha"
+REASONED_HUMAN = ["verify you are human", "i am not a robot"]
+REASONED_DENIED = ["access denied", "blocked your ip"]
+REASONED_UNUSUAL = ["suspicious activity", "unusual traffic"]
+REASONED_SHORT_CHARS = 500

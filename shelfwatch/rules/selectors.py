@@ -100,6 +100,6 @@ for _path, _sites in _PLAIN_LINKS.items():
             _PREFIX_EXCEPTIONS.get(_site, f"https://www.{_site}.com"),
         )
 
-# Sites whose image comes from src alone; amazon also narrows the image node.
+# Sites whose image comes from src alone; amazon also narrows the image node.
 SRC_ONLY_IMAGES = ["amazon", "walmart"]
 PROFILE_IMAGE_SELECTORS = {"amazon": "img.s-image"}

@@ -45,14 +45,18 @@ def read_attempts(spark: SparkSession, path: str, strict: bool = False, pattern:
     return backfilled(lines)
 
 
-def in_file_order(lines: DataFrame) -> DataFrame:
-    """Rows ordered by the name of their file, then by place in it, where a job needs that order.
+def with_file_place(lines: DataFrame) -> DataFrame:
+    """Rows with _file, _block and _line, whose order is that of the lines. For rows just read.
 
     A file split is read by one task from its start, so within it the running id follows the lines.
     """
-    numbered = lines.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
-                                  "_line": F.monotonically_increasing_id()})
-    return numbered.orderBy("_file", "_block", "_line").drop("_file", "_block", "_line")
+    return lines.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                              "_line": F.monotonically_increasing_id()})
+
+
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """Rows ordered by the name of their file, then by place in it, where a job needs that order."""
+    return with_file_place(lines).orderBy("_file", "_block", "_line").drop("_file", "_block", "_line")
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:
