@@ -7,9 +7,11 @@ rare signatures within length partitions.
 
 Defined results: NULL texts are empty; a text without any spot has one signature, the hash of its whole
 word sequence, so equal texts are always alike and no set is empty; an empty table gives no rows. With one
-document, the next one is itself.
+document, the next one is itself. A very long text has a long set; sets are gone through element by element.
 """
 
+import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +28,10 @@ el y los del las por con no su una para al lo como más pero sus o este sí porq
 """.split()
 CHAIN = 2  # content words after an anchor
 NOT_WORD = "[^\\p{L}\\p{N}]+"
-BLOCK = 1024  # neighbouring ids that are ordered in one group
+BLOCK = 1024  # groups of rows without an id
+RANGES_PER_PARTITION = 2  # ranges of ids for each shuffle partition
+SAMPLED = 64  # rows sampled for the bounds of a range
+COUNTERS = 1 << 16  # places of the table of signature counts
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -70,40 +75,51 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(shortest < F.lit(threshold) * longest, F.lit(0.0)).otherwise(share)
 
 
-def _next_starts(ids: DataFrame) -> DataFrame:
-    """b, next: for each block of ids the smallest id beyond it, NULL for the last.
+def _bounds(keys: DataFrame) -> list[tuple]:
+    """(doc_id, hash) at the edges of ranges of about equal row count, out of a sample of SAMPLED rows a range."""
+    ranges = RANGES_PER_PARTITION * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = SAMPLED * ranges / max(1, keys.count())
+    some = keys if share >= 1 else keys.sample(share, 7)
+    own = sorted((r["doc_id"], r["hash"]) for r in some.collect())
+    step = max(1, len(own) // ranges)
+    return sorted(set(own[step::step]))
 
-    Two levels of blocks, so that the one global window sees an id in BLOCK * BLOCK.
-    """
-    firsts = ids.filter("doc_id IS NOT NULL").groupBy(F.floor(F.col("doc_id") / BLOCK).alias("b")).agg(F.min("doc_id").alias("first"))
-    firsts = firsts.withColumn("g", F.floor(F.col("b") / BLOCK))
-    groups = firsts.groupBy("g").agg(F.min("first").alias("_first"))
-    groups = groups.select("g", F.lead("_first").over(Window.orderBy("g")).alias("_beyond"))
-    within = F.lead("first").over(Window.partitionBy("g").orderBy("b"))
-    return firsts.withColumn("_within", within).join(groups, "g").select("b", F.coalesce("_within", "_beyond").alias("next"))
+
+def _listed(rows: list[tuple]) -> Column:
+    """A fixed list of (doc_id, hash) as an array literal."""
+    return F.from_json(F.lit(json.dumps([{"doc_id": i, "hash": h} for i, h in rows])), "array<struct<doc_id:bigint,hash:bigint>>")
+
+
+def _range_of(key: Column, bounds: list[tuple]) -> Column:
+    """How many bounds are at or below the key, by a search in two steps."""
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda rows: F.size(F.filter(rows, lambda b: b <= key))
+    inner = F.array(*[_listed(g) for g in groups]) if groups else F.array(_listed([]))
+    at = below(_listed([g[0] for g in groups]))
+    return F.when(at == 0, 0).otherwise((at - 1) * width + below(F.get(inner, at - 1)))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text of the next document by ascending doc_id, after the last the first.
 
-    Texts are shuffled once, into blocks of ids. The first document of every block also goes to the block
-    before it as a guest; these guests are a thousandth of the rows. Rows of one id follow each other by
-    text hash; rows without an id come first, in one block per text hash remainder.
+    Texts are shuffled once, into ranges of about equal row count by (doc_id, text hash), however the ids are spread. The
+    first row of every range also goes to the range before it as a guest, so there is one guest a range. Rows of one id
+    follow each other by text hash; rows without an id come in one group per text hash remainder.
     """
-    own = docs.select("doc_id", text_of().alias("text"))
-    block = F.floor(F.col("doc_id") / BLOCK)
-    ids = docs.select("doc_id")
-    last = ids.agg(F.max(block).alias("b"), F.min("doc_id").alias("first"))
-    wrap = last.select("b", F.col("first").alias("next")).filter("next IS NOT NULL")
-    starts = _next_starts(ids).filter("next IS NOT NULL").unionByName(wrap)
-    starts = small(saved(starts.select(F.col("b").alias("_b"), "next"), "block-starts"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    guest = own.join(starts, F.col("doc_id") == F.col("next")).select("_b", "doc_id", "text", F.lit(True).alias("_guest"))
-    rows = own.select(F.coalesce(block, F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(BLOCK))).alias("_b"), "doc_id", "text", F.lit(False).alias("_guest"))
-    # Of several rows with a guest's id, each comes as a guest; the order makes the first of them the next one.
-    window = Window.partitionBy("_b").orderBy(F.col("_guest"), *order)
-    lead = F.lead("text").over(window)
-    every = rows.unionByName(guest).withColumn("next_text", lead)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    keys = own.filter("doc_id IS NOT NULL").select("doc_id", "hash")
+    bounds = _bounds(keys)
+    key = F.struct("doc_id", "hash")
+    firsts = keys.groupBy(_range_of(key, bounds).alias("b")).agg(F.min(key).alias("first")).orderBy("b").collect()  # one row a range
+    following = [(r["b"], *firsts[(n + 1) % len(firsts)]["first"]) for n, r in enumerate(firsts)]
+    starts = F.from_json(F.lit(json.dumps([{"_b": b, "_id": i, "_hash": h} for b, i, h in following])), "array<struct<_b:int,_id:bigint,_hash:bigint>>")
+    starts = F.broadcast(docs.sparkSession.range(1).select(F.inline(starts)))
+    guest = own.join(starts, (F.col("doc_id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("_b", "doc_id", "hash", "text", F.lit(True).alias("_guest"))
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1) - F.pmod("hash", F.lit(BLOCK)).cast("int")).otherwise(_range_of(key, bounds))
+    rows = own.select(block.alias("_b"), "doc_id", "hash", "text", F.lit(False).alias("_guest"))
+    window = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "hash")
+    every = rows.unionByName(guest).withColumn("next_text", F.lead("text").over(window))
     return every.filter("NOT _guest").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
@@ -114,16 +130,21 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def with_edit(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited form, with their likenesses."""
+    """Fingerprints of each text and of its edited form, with their likenesses, and how many other sets are near its own."""
     pairs = with_next(docs).select("doc_id", "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("changed"))
     sets = pairs.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"),
         signatures(F.col("text")).alias("a"), signatures(F.col("changed")).alias("b"), signatures(F.col("next_text")).alias("c"),
     )
-    return sets.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"),
+    rows = saved(sets.select(
+        "doc_id", "n_chars", "edited_sha256", F.xxhash64("a").alias("fp"), F.col("a").alias("sigs"), fingerprint(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
-    )
+    ), "signature-sets")
+    links = saved(near_sets(rows.select("fp", "sigs")), "signature-links")
+    near = links.select(F.explode(F.array("a", "b")).alias("near_fp")).groupBy("near_fp").agg(F.count("*").alias("near"))
+    return rows.join(small(near), F.col("fp") == F.col("near_fp"), "left").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next",
+        F.coalesce("near", F.lit(0)).cast("long").alias("near_sets"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -133,27 +154,42 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b, likeness: pairs of class representatives (hashes of their sets) at or above the threshold.
+    """a, b, likeness: pairs of class representatives (hashes of their sets) at or above the threshold."""
+    return near_sets(saved(docs.select(signatures(text_of()).alias("sigs")).select(F.xxhash64("sigs").alias("fp"), "sigs"), "signature-sets"), threshold)
+
 
-    Sets alike by t share a signature among the rarest size - ceil(t * size) + 1 of each, and their lengths
-    differ by no more than the factor t, so they lie in the same or the next length partition (bounds grow by
-    1 / t). The join key is (signature, length partition).
+def near_sets(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """a, b, likeness: the pairs of different sets (fp, sigs) alike by the threshold. Repeated sets count once; pass a written table.
+
+    All sets are put in one order, rare signatures first by counts in a table of fixed size. Sets alike by t have their first
+    common signature among the first size - ceil(t * size) + 1 of both, and so early that what is left of each
+    from there on can hold all they must share. Their lengths differ by no more than the factor t, so they lie in the same or
+    the next length partition (bounds grow by 1 / t): a set looks for smaller ones in its own and the one below.
     """
-    own = saved(classes(docs), "signature-classes")
-    spread = own.select("fp", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
-    counts = spread.groupBy("sig").agg(F.count("*").alias("of"))
-    rare = Window.partitionBy("fp").orderBy("of", "sig")
-    prefix = (
-        spread.join(counts, "sig")
-        .select("fp", "n", "sig", F.row_number().over(rare).alias("r"))
-        .filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-        .withColumn("part", F.floor(F.log(F.col("n")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9))
-    )
-    left = prefix.select("sig", "part", F.col("fp").alias("a"), F.col("n").alias("na"))
-    both = prefix.select("sig", F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"), F.col("fp").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(both, ["sig", "part"]).filter("a < b").filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    pairs = pairs.select("a", "b").distinct()
-    sets = own.select("fp", "sigs")
+    place = lambda s: F.pmod(s, F.lit(COUNTERS)).cast("int")
+    spread = rows.select(F.explode("sigs").alias("sig")).groupBy(place(F.col("sig")).alias("at")).agg(F.count("*").alias("n"))
+    counts = [0] * COUNTERS
+    for r in spread.collect():  # COUNTERS rows at most
+        counts[r["at"]] = r["n"]
+    table = F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
+    n = F.size("sigs")
+    first = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
+    ordered = F.array_sort(F.transform("sigs", lambda s: F.struct(F.get(table, place(s)).alias("of"), s.alias("sig"))))
+    part = F.floor(F.log(n) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")
+    prefix = rows.select("fp", n.alias("n"), part.alias("part"), F.posexplode(F.slice(ordered, 1, first)).alias("r", "s"))
+    prefix = prefix.select("fp", "n", "part", F.col("s.sig").alias("sig"), (F.col("n") - F.col("r")).alias("room")).distinct()
+    # Most rare signatures belong to one set alone.
+    shared = prefix.groupBy("sig").agg(F.count("*").alias("many")).filter("many > 1").select("sig")
+    prefix = saved(prefix.join(shared, "sig", "left_semi"), "rare-signatures")
+    x = prefix.alias("x")
+    y = prefix.select("fp", "n", "sig", "room", F.explode(F.array("part", F.col("part") + 1)).alias("part")).alias("y")
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fp") < F.col("x.fp")))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") == F.col("y.part")) & smaller & (F.least("x.room", "y.room") >= least)
+    pairs = x.join(y, on).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    pairs = saved(pairs, "signature-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    sets = rows.join(small(wanted), F.col("fp") == F.col("wanted"), "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
     compared = pairs.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("sa")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("sigs").alias("sb")), "b")
-    return compared.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold - 1e-9).alias("likeness")).filter(F.col("likeness") >= threshold)
+    return compared.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold - 1e-9).alias("likeness")).filter(F.col("likeness") >= F.lit(threshold) - 1e-9)

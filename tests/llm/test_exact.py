@@ -169,6 +169,41 @@ def test_spotsigs_pairs(spark, frame):
     assert {tuple(sorted((names[a], names[b]))) for a, b in got} == want
 
 
+def test_next_over_hashed_ids(spark, frame, monkeypatch):
+    """Ids all over 62 bits: one guest a range, and the order of all ids; also where bounds come from a sample."""
+    rng = random.Random(2)
+    ids = sorted({rng.randrange(1 << 62) for _ in range(1500)})
+    for sampled in (spotsigs.SAMPLED, 3):
+        monkeypatch.setattr(spotsigs, "SAMPLED", sampled)
+        got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(frame([(i, f"t{i}") for i in rng.sample(ids, len(ids))])).collect()}
+        assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_sets_against_all_pairs(spark, seed):
+    """Small sets, sets with one core and much or little of their own, and repeated ones."""
+    rng = random.Random(seed)
+    core = [rng.randrange(1 << 40) for _ in range(40)]
+    sets = [frozenset(rng.sample(range(30), rng.randrange(1, 12))) for _ in range(150)]
+    for own in (2, 4, 5, 12):
+        sets += [frozenset(core[: 40 - own] + [rng.randrange(1 << 40) for _ in range(own)]) for _ in range(25)]
+    rows = [(sorted(s),) for s in sets + sets[:20]]
+    df = spark.createDataFrame(rows, "sigs array<bigint>").selectExpr("xxhash64(sigs) AS fp", "sigs")
+    names = {r["fp"]: frozenset(r["sigs"]) for r in df.collect()}
+    got = {frozenset((names[r["a"]], names[r["b"]])) for r in spotsigs.near_sets(df).collect()}
+    want = {frozenset((a, b)) for a, b in itertools.combinations(set(sets), 2) if 10 * len(a & b) >= 8 * len(a | b)}
+    assert got == want and len(want) > 10
+
+
+def test_number_of_near_sets(spark, frame):
+    rows = docs_of(spark)
+    got = sorted((r["doc_id"], r["near_sets"]) for r in spotsigs.with_edit(frame(rows)).collect())
+    sets = {i: frozenset(plain_signatures(t or "")) for i, t in rows}
+    different = set(sets.values())
+    near = {a: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in different) for a in different}
+    assert got == sorted((i, near[s]) for i, s in sets.items())
+
+
 def test_secrets(frame, rows):
     got = sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scanned(frame(rows)).collect()), key=repr)
     want = []
