@@ -151,7 +151,7 @@ def rare_places(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     return sets.mapInArrow(run, "key long, node long, n int, room int")
 
 
-def _across(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def across(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, node, n, root) those of keys in several groups, and apart from them all but each key's largest group."""
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("many", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
@@ -164,7 +164,7 @@ def far_links(nodes_left: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     sets = shingle_sets(nodes_left.select("node"), docs, nodes)
     places = rare_places(sets, shingle_counts(sets)).join(nodes_left, "node")
     # The smaller of two sets must stand even earlier; which of them is smaller the pair decides.
-    every, rest = _across(saved(places, "rare-places"))
+    every, rest = across(saved(places, "rare-places"))
     x, y = rest.alias("x"), every.alias("y")
     share = F.lit(LEAST / (1 + LEAST)) * (F.col("x.n") + F.col("y.n")) - 1e-9
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.room", "y.room") >= share)
@@ -197,7 +197,7 @@ def clustered(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     roots = saved(components(links), "near-roots")
     # Bands whose members are still in several groups.
     placed = full.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    left = saved(_across(placed)[0].select("node", "root").distinct(), "near-left")
+    left = saved(across(placed)[0].select("node", "root").distinct(), "near-left")
     more = far_links(left, docs, nodes)
     roots = components(links.unionByName(more))
     rooted = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

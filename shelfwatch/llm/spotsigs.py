@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import saved, small, steps, text_of, words_of
+from shelfwatch.llm.components import components
+from shelfwatch.llm.nearcopies import LEADERS, across
 
 # Common words of English, French, German and Spanish.
 ANCHORS = """
@@ -130,7 +132,7 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def with_edit(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited form, with their likenesses, and how many other sets are near its own."""
+    """Fingerprints of each text and of its edited form, with their likenesses; near_class is the smallest doc_id that likeness reaches."""
     pairs = with_next(docs).select("doc_id", "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("changed"))
     sets = pairs.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"),
@@ -140,11 +142,12 @@ def with_edit(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", F.xxhash64("a").alias("fp"), F.col("a").alias("sigs"), fingerprint(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     ), "signature-sets")
-    links = saved(near_sets(rows.select("fp", "sigs")), "signature-links")
-    near = links.select(F.explode(F.array("a", "b")).alias("near_fp")).groupBy("near_fp").agg(F.count("*").alias("near"))
-    return rows.join(small(near), F.col("fp") == F.col("near_fp"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next",
-        F.coalesce("near", F.lit(0)).cast("long").alias("near_sets"))
+    linked = saved(near_classes(rows.select("fp", "sigs")), "signature-classes")
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    placed = ids.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("near_class")), "root").select(F.col("fp").alias("named_fp"), "near_class")
+    return rows.join(named, F.col("fp") == F.col("named_fp")).select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "near_class")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -161,10 +164,19 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def near_sets(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """a, b, likeness: the pairs of different sets (fp, sigs) alike by the threshold. Repeated sets count once; pass a written table.
 
+    Every pair is a row, so of many sets alike there are many: `near_classes` groups them without.
+    """
+    early = early_signatures(rows, threshold)
+    return _compared(_meeting(early, early, threshold), rows, threshold)
+
+
+def early_signatures(rows: DataFrame, threshold: float) -> DataFrame:
+    """fp, n, part, key, room: the signatures by which sets alike by the threshold meet; only those that several sets have.
+
     All sets are put in one order, rare signatures first by counts in a table of fixed size. Sets alike by t have their first
     common signature among the first size - ceil(t * size) + 1 of both, and so early that what is left of each
-    from there on can hold all they must share. Their lengths differ by no more than the factor t, so they lie in the same or
-    the next length partition (bounds grow by 1 / t): a set looks for smaller ones in its own and the one below.
+    from there on (room) can hold all they must share. Their lengths differ by no more than the factor t, so they lie in the
+    same or the next length partition (part; bounds grow by 1 / t).
     """
     place = lambda s: F.pmod(s, F.lit(COUNTERS)).cast("int")
     spread = rows.select(F.explode("sigs").alias("sig")).groupBy(place(F.col("sig")).alias("at")).agg(F.count("*").alias("n"))
@@ -177,19 +189,44 @@ def near_sets(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     ordered = F.array_sort(F.transform("sigs", lambda s: F.struct(F.get(table, place(s)).alias("of"), s.alias("sig"))))
     part = F.floor(F.log(n) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")
     prefix = rows.select("fp", n.alias("n"), part.alias("part"), F.posexplode(F.slice(ordered, 1, first)).alias("r", "s"))
-    prefix = prefix.select("fp", "n", "part", F.col("s.sig").alias("sig"), (F.col("n") - F.col("r")).alias("room")).distinct()
+    prefix = prefix.select("fp", "n", "part", F.col("s.sig").alias("key"), (F.col("n") - F.col("r")).alias("room")).distinct()
     # Most rare signatures belong to one set alone.
-    shared = prefix.groupBy("sig").agg(F.count("*").alias("many")).filter("many > 1").select("sig")
-    prefix = saved(prefix.join(shared, "sig", "left_semi"), "rare-signatures")
-    x = prefix.alias("x")
-    y = prefix.select("fp", "n", "sig", "room", F.explode(F.array("part", F.col("part") + 1)).alias("part")).alias("y")
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.fp") < F.col("x.fp")))
+    shared = prefix.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    return saved(prefix.join(shared, "key", "left_semi"), "early-signatures")
+
+
+def _meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """a, b: sets that meet early enough at a signature, of lengths that fit; of different roots where rows have one."""
+    x = left.alias("x")
+    y = right.withColumn("part", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1))).alias("y")
+    fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
     least = F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.part") == F.col("y.part")) & smaller & (F.least("x.room", "y.room") >= least)
-    pairs = x.join(y, on).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-    pairs = saved(pairs, "signature-pairs")
+    other = F.col("x.root") != F.col("y.root") if "root" in left.columns else F.col("x.fp") != F.col("y.fp")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & other & fits & (F.least("x.room", "y.room") >= least)
+    return saved(x.join(y, on).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "signature-pairs")
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
     sets = rows.join(small(wanted), F.col("fp") == F.col("wanted"), "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
     compared = pairs.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("sa")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("sigs").alias("sb")), "b")
     return compared.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold - 1e-9).alias("likeness")).filter(F.col("likeness") >= F.lit(threshold) - 1e-9)
+
+
+def near_classes(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """node, root: sets (fp) that hang together by likeness, each with the smallest fp it reaches; sets without a link are left out.
+
+    At every signature the sets meet a few leaders first. Only where several groups are left are their other
+    members compared, across groups and with the largest one as the second side alone, so many sets alike cost about their number.
+    """
+    early = early_signatures(rows, threshold)
+    lead = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"), F.col("n"), F.col("room"), F.col("part"))).alias(f"l{i}") for i in range(LEADERS)]
+    leaders = early.groupBy("key", F.col("part").alias("_part")).agg(*lead).select("key", F.explode(F.array_distinct(F.array(
+        *[F.struct(f"l{i}.fp", f"l{i}.n", f"l{i}.part", f"l{i}.room") for i in range(LEADERS)]))).alias("l")).select("l.fp", "l.n", "l.part", "key", "l.room")
+    links = saved(_compared(_meeting(leaders, early, threshold), rows, threshold).select("a", "b"), "signature-links")
+    roots = saved(components(links), "signature-roots")
+    placed = saved(early.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "part", "key", "room", F.coalesce("root", "fp").alias("root")), "placed-signatures")
+    every, rest = across(placed)
+    more = _compared(_meeting(rest, every, threshold), rows, threshold).select("a", "b")
+    return components(links.unionByName(more))

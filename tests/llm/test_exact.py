@@ -193,15 +193,16 @@ def test_near_sets_against_all_pairs(spark, seed):
     got = {frozenset((names[r["a"]], names[r["b"]])) for r in spotsigs.near_sets(df).collect()}
     want = {frozenset((a, b)) for a, b in itertools.combinations(set(sets), 2) if 10 * len(a & b) >= 8 * len(a | b)}
     assert got == want and len(want) > 10
+    roots = {r["node"]: r["root"] for r in spotsigs.near_classes(df).collect()}
+    by_fp = {fp: roots.get(fp, fp) for fp in names}
+    assert by_fp == clusters(sorted(names), lambda a, b: 10 * len(names[a] & names[b]) >= 8 * len(names[a] | names[b]))
 
 
-def test_number_of_near_sets(spark, frame):
+def test_near_classes(spark, frame):
     rows = docs_of(spark)
-    got = sorted((r["doc_id"], r["near_sets"]) for r in spotsigs.with_edit(frame(rows)).collect())
     sets = {i: frozenset(plain_signatures(t or "")) for i, t in rows}
-    different = set(sets.values())
-    near = {a: sum(a != b and len(a & b) / len(a | b) >= 0.8 for b in different) for a in different}
-    assert got == sorted((i, near[s]) for i, s in sets.items())
+    root = clusters(sorted(sets), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert sorted((r["doc_id"], r["near_class"]) for r in spotsigs.with_edit(frame(rows)).collect()) == sorted(root.items())
 
 
 def test_secrets(frame, rows):
