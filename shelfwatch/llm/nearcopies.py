@@ -152,11 +152,11 @@ def rare_places(sets: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def across(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node, n, root) those of keys in several groups, and apart from them all but each key's largest group."""
+    """Of rows (key, node, n, root) those of keys in several groups, beside the largest (most), and apart from them all but each key's largest group."""
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("many"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("many", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
     open_rows = placed.join(largest.select("key", F.col("most.root").alias("most")), "key")
-    return open_rows.drop("most"), open_rows.filter("root <> most").drop("most")
+    return open_rows, open_rows.filter("root <> most")
 
 
 def far_links(nodes_left: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:

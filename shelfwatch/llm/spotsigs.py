@@ -34,6 +34,9 @@ BLOCK = 1024  # groups of rows without an id
 RANGES_PER_PARTITION = 2  # ranges of ids for each shuffle partition
 SAMPLED = 64  # rows sampled for the bounds of a range
 COUNTERS = 1 << 16  # places of the table of signature counts
+CROWD = 1  # sets outside the largest group at a signature, for each signature of a set there, beyond which differences are compared
+TURNS = 3  # rounds, the last of which compares all that still meet
+HUB_SHARDS = 8  # shards of a hub's members
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -139,7 +142,7 @@ def with_edit(docs: DataFrame) -> DataFrame:
         signatures(F.col("text")).alias("a"), signatures(F.col("changed")).alias("b"), signatures(F.col("next_text")).alias("c"),
     )
     rows = saved(sets.select(
-        "doc_id", "n_chars", "edited_sha256", F.xxhash64("a").alias("fp"), F.col("a").alias("sigs"), fingerprint(F.col("b")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.xxhash64("a").alias("fp"), F.col("a").alias("sigs"), F.col("b").alias("edited_sigs"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
     ), "signature-sets")
     linked = saved(near_classes(rows.select("fp", "sigs")), "signature-classes")
@@ -147,7 +150,8 @@ def with_edit(docs: DataFrame) -> DataFrame:
     placed = ids.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("near_class")), "root").select(F.col("fp").alias("named_fp"), "near_class")
     return rows.join(named, F.col("fp") == F.col("named_fp")).select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "near_class")
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "near_class")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -171,62 +175,120 @@ def near_sets(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def early_signatures(rows: DataFrame, threshold: float) -> DataFrame:
-    """fp, n, part, key, room: the signatures by which sets alike by the threshold meet; only those that several sets have.
+    """fp, n, key, room, part, d: the signatures by which sets alike by the threshold meet; only those that several sets have.
 
     All sets are put in one order, rare signatures first by counts in a table of fixed size. Sets alike by t have their first
     common signature among the first size - ceil(t * size) + 1 of both, and so early that what is left of each
     from there on (room) can hold all they must share. Their lengths differ by no more than the factor t, so they lie in the
-    same or the next length partition (part; bounds grow by 1 / t).
+    same or the next length partition (part; bounds grow by 1 / t). Here d, the size of the list, is the set's own, n.
     """
-    place = lambda s: F.pmod(s, F.lit(COUNTERS)).cast("int")
-    spread = rows.select(F.explode("sigs").alias("sig")).groupBy(place(F.col("sig")).alias("at")).agg(F.count("*").alias("n"))
+    n = F.size("sigs")
+    first = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
+    return _early(rows.select("fp", n.alias("n"), "sigs", first.alias("first")), lambda s: s, ["fp", "n"], threshold).withColumn("d", F.col("n"))
+
+
+def _early(lists: DataFrame, named, kept: list[str], threshold: float) -> DataFrame:
+    """`kept`, key, room, part: of each list (sigs) the `first` rarest, each with the key it is `named` by; only keys in several rows."""
+    place = lambda s: F.pmod(named(s), F.lit(COUNTERS)).cast("int")
+    spread = lists.select("*", F.explode("sigs").alias("sig")).groupBy(place(F.col("sig")).alias("at")).agg(F.count("*").alias("n"))
     counts = [0] * COUNTERS
     for r in spread.collect():  # COUNTERS rows at most
         counts[r["at"]] = r["n"]
     table = F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
-    n = F.size("sigs")
-    first = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
     ordered = F.array_sort(F.transform("sigs", lambda s: F.struct(F.get(table, place(s)).alias("of"), s.alias("sig"))))
-    part = F.floor(F.log(n) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")
-    prefix = rows.select("fp", n.alias("n"), part.alias("part"), F.posexplode(F.slice(ordered, 1, first)).alias("r", "s"))
-    prefix = prefix.select("fp", "n", "part", F.col("s.sig").alias("key"), (F.col("n") - F.col("r")).alias("room")).distinct()
+    part = F.floor(F.log("n") / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")
+    early = lists.withColumn("many", F.size("sigs")).select("*", F.posexplode(F.slice(ordered, F.lit(1), F.col("first"))).alias("r", "s"))
+    early = early.select(*kept, named(F.col("s.sig")).alias("key"), (F.col("many") - F.col("r")).alias("room")).distinct()
     # Most rare signatures belong to one set alone.
-    shared = prefix.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    return saved(prefix.join(shared, "key", "left_semi"), "early-signatures")
+    shared = early.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    return saved(early.join(shared, "key", "left_semi").withColumn("part", part), "early-signatures")
 
 
 def _meeting(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """a, b: sets that meet early enough at a signature, of lengths that fit; of different roots where rows have one."""
+    """a, b: sets that meet early enough at a signature, of lengths that fit; of different roots where rows have one.
+
+    Two sets are alike by t if no more than (1 - t) / (1 + t) of their lengths' sum is in one of them alone. So their lists, of
+    d signatures each, must share half of what d adds up to beyond that; lists are the sets or how they differ from a third one.
+    """
     x = left.alias("x")
     y = right.withColumn("part", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1))).alias("y")
     fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
-    least = F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    least = (F.col("x.d") + F.col("y.d") - F.lit((1 - threshold) / (1 + threshold)) * (F.col("x.n") + F.col("y.n"))) / 2 - 1e-9
     other = F.col("x.root") != F.col("y.root") if "root" in left.columns else F.col("x.fp") != F.col("y.fp")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & other & fits & (F.least("x.room", "y.room") >= least)
     return saved(x.join(y, on).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "signature-pairs")
 
 
+def _sets_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """fp, sigs of the `wanted` sets."""
+    return rows.join(small(wanted), F.col("fp") == F.col("wanted"), "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
+
+
 def _compared(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    sets = rows.join(small(wanted), F.col("fp") == F.col("wanted"), "left_semi").groupBy("fp").agg(F.first("sigs").alias("sigs"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), rows)
     compared = pairs.join(sets.select(F.col("fp").alias("a"), F.col("sigs").alias("sa")), "a").join(
         sets.select(F.col("fp").alias("b"), F.col("sigs").alias("sb")), "b")
     return compared.select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold - 1e-9).alias("likeness")).filter(F.col("likeness") >= F.lit(threshold) - 1e-9)
 
 
-def near_classes(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
+def _differences(members: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """hub, fp, root, n, d, first, over, sigs: of members (hub, fp, root) the signatures in which a set differs from those that over half of its hub's members have."""
+    members = saved(members, "crowd-members")
+    own = saved(members.join(_sets_of(members.select(F.col("fp").alias("wanted")).distinct(), rows), "fp"), "crowd-sets")
+    half = own.groupBy("hub").agg((F.count("*") / 2).alias("half"))
+    held = own.select("hub", F.explode("sigs").alias("sig")).groupBy("hub", "sig").agg(F.count("*").alias("many")).join(half, "hub").filter("many > half")
+    # A hub stands in several shards, as one may have very many members.
+    middle = held.groupBy("hub").agg(F.collect_list("sig").alias("middle")).select("hub", "middle", F.explode(steps(F.lit(HUB_SHARDS))).alias("shard"))
+    both = own.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(HUB_SHARDS)).cast("int")).join(middle, ["hub", "shard"], "left")
+    n, middle = F.size("sigs"), F.coalesce("middle", F.array().cast("array<bigint>"))
+    differs = F.concat(F.array_except("sigs", middle), F.array_except(middle, "sigs"))
+    first = F.floor(F.lit((1 - threshold) / threshold) * n + 1e-9).cast("int") + 1
+    over = F.size(differs) - F.lit((1 - threshold) / (1 + threshold)) * n
+    return saved(both.select("hub", "fp", "root", n.alias("n"), F.size(differs).alias("d"), first.alias("first"), over.alias("over"), differs.alias("sigs")), "set-differences")
+
+
+def _group_links(open_rows: DataFrame, rows: DataFrame, threshold: float, crowd: float) -> DataFrame:
+    """a, b: links by which all alike sets that meet in the open rows (of `across`) hang together.
+
+    Keys are compared in pairs where these are no more than the signatures of their members. Members of others meet anew by their differences from the signatures that most
+    of them have; keys with one hub, a member of the largest group, are taken together. A set's difference is d
+    signatures, its length n, and over = d - n * (1 - t) / (1 + t). Alike sets share at least half the sum of their overs of their
+    differences. Where that sum is 0 or less, the two are alike, and both to the member of least over too, which links them.
+    All others share a difference, and one among the (1 - t) / t * n + 1 rarest of each, as the d of alike sets are no more
+    than the sets' difference apart. Sets that have most signatures in common thus meet only where they also lack, or add,
+    the same; where these are many again, they are taken apart once more.
+    """
+    found = []
+    for turn in range(TURNS):
+        every = saved(open_rows, "open-signatures")
+        hub = F.min(F.struct(F.col("root") != F.col("most"), F.xxhash64("fp"), F.col("fp"))).alias("h")
+        crowds = every.groupBy("key").agg(F.count_if(F.col("root") != F.col("most")).alias("many"), F.avg("n").alias("n"), hub).filter(F.col("many") > F.lit(crowd) * F.col("n"))
+        crowds = saved(crowds.select("key", F.col("h.fp").alias("hub")), "signature-crowds")
+        last = turn == TURNS - 1 or crowds.isEmpty()
+        rest = every.filter("root <> most")
+        found.append(_meeting(rest if last else rest.join(crowds, "key", "left_anti"), every, threshold))
+        if last:
+            break
+        apart = _differences(every.join(crowds, "key").select("hub", "fp", "root").distinct(), rows, threshold)
+        least = apart.groupBy("hub").agg(F.min(F.struct("over", "fp")).alias("l"))
+        near = apart.join(small(least), "hub").filter(F.col("over") + F.col("l.over") <= 1e-9).filter(F.col("fp") != F.col("l.fp"))
+        found.append(near.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b")))
+        open_rows = across(_early(apart, lambda s: F.xxhash64("hub", s), ["fp", "n", "d", "root"], threshold))[0]
+    return _compared(saved(reduce(DataFrame.unionByName, found).distinct(), "signature-pairs"), rows, threshold).select("a", "b")
+
+
+def near_classes(rows: DataFrame, threshold: float = 0.8, crowd: float = CROWD) -> DataFrame:
     """node, root: sets (fp) that hang together by likeness, each with the smallest fp it reaches; sets without a link are left out.
 
     At every signature the sets meet a few leaders first. Only where several groups are left are their other
-    members compared, across groups and with the largest one as the second side alone, so many sets alike cost about their number.
+    members compared, across groups and with the largest one as the second side alone; where they are a crowd they
+    meet by their differences from one of them (`_group_links`), so many sets that are nearly alike cost about their number.
     """
     early = early_signatures(rows, threshold)
-    lead = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"), F.col("n"), F.col("room"), F.col("part"))).alias(f"l{i}") for i in range(LEADERS)]
+    lead = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"), F.col("n"), F.col("d"), F.col("room"), F.col("part"))).alias(f"l{i}") for i in range(LEADERS)]
     leaders = early.groupBy("key", F.col("part").alias("_part")).agg(*lead).select("key", F.explode(F.array_distinct(F.array(
-        *[F.struct(f"l{i}.fp", f"l{i}.n", f"l{i}.part", f"l{i}.room") for i in range(LEADERS)]))).alias("l")).select("l.fp", "l.n", "l.part", "key", "l.room")
+        *[F.struct(f"l{i}.fp", f"l{i}.n", f"l{i}.d", f"l{i}.part", f"l{i}.room") for i in range(LEADERS)]))).alias("l")).select("l.fp", "l.n", "l.d", "l.part", "key", "l.room")
     links = saved(_compared(_meeting(leaders, early, threshold), rows, threshold).select("a", "b"), "signature-links")
     roots = saved(components(links), "signature-roots")
-    placed = saved(early.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "part", "key", "room", F.coalesce("root", "fp").alias("root")), "placed-signatures")
-    every, rest = across(placed)
-    more = _compared(_meeting(rest, every, threshold), rows, threshold).select("a", "b")
-    return components(links.unionByName(more))
+    placed = saved(early.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "d", "part", "key", "room", F.coalesce("root", "fp").alias("root")), "placed-signatures")
+    return components(links.unionByName(_group_links(across(placed)[0], rows, threshold, crowd)))

@@ -205,6 +205,30 @@ def test_near_classes(spark, frame):
     assert sorted((r["doc_id"], r["near_class"]) for r in spotsigs.with_edit(frame(rows)).collect()) == sorted(root.items())
 
 
+@pytest.mark.parametrize("crowd", [0, spotsigs.CROWD, 1000])
+def test_near_classes_of_a_crowd(spark, monkeypatch, crowd):
+    """Sets with most of one core that are seldom alike: the groups of all pairs, with few candidates beside the pairs of a crowd."""
+    rng = random.Random(5)
+    core = list(range(27))
+    sets = {frozenset(rng.sample(core, 27 - k)) | {100 + rng.randrange(10**9) for _ in range(m)} for k, m in [(3, 2), (2, 3), (3, 3)] * 60 + [(2, 2)] * 9}
+    # A second crowd around a subset, sets that share what they add, and one set inside all others.
+    sets |= {frozenset(core[:14]) | {50, 51, 100 + rng.randrange(10**9)} | set(rng.sample(range(60, 90), 2)) for _ in range(40)} | {frozenset(core[:3])}
+    df = spark.createDataFrame([(sorted(x),) for x in sets], "sigs array<bigint>").selectExpr("xxhash64(sigs) AS fp", "sigs")
+    names, write, candidates = {r["fp"]: frozenset(r["sigs"]) for r in df.collect()}, spotsigs.saved, []
+
+    def saved(frame, name):
+        out = write(frame, name)
+        candidates.append(out.count() if name == "signature-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(spotsigs, "saved", saved)
+    roots = {r["node"]: r["root"] for r in spotsigs.near_classes(df, crowd=crowd).collect()}
+    want = clusters(sorted(names), lambda a, b: 10 * len(names[a] & names[b]) >= 8 * len(names[a] | names[b]))
+    assert {fp: roots.get(fp, fp) for fp in names} == want and 20 < len(set(want.values())) < len(sets)
+    if crowd == spotsigs.CROWD:
+        assert sum(candidates) < 16 * len(sets)
+
+
 def test_secrets(frame, rows):
     got = sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scanned(frame(rows)).collect()), key=repr)
     want = []
